@@ -32,9 +32,12 @@ def dim_channels(spark: SparkSession) -> DataFrame:
 
 
 def dim_date(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(start), F.lit(end))).alias("event_date")
-    )
+    return date_spine(spark.range(1).select(F.lit(start).alias("first_day"), F.lit(end).alias("last_day")))
+
+
+def date_spine(bounds: DataFrame) -> DataFrame:
+    """Calendar rows for every day of the one-row range ``first_day .. last_day``."""
+    days = bounds.select(F.explode(F.sequence("first_day", "last_day")).alias("event_date"))
     key = F.md5(F.col("event_date").cast("string")).alias("date_key")
     return days.select(key, "event_date", *calendar_parts())
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from funnelspark.functions.events import any_of
 from funnelspark.functions.numeric import safe_divide
 from funnelspark.operators.daily import COUNTS
+from funnelspark.operators.decompose import decompose_change, summarize_effects
+from funnelspark.operators.significance import two_proportion_ztest
 
 # Tolerances of the checks.
 RECONCILE_TOLERANCE = 0.005
@@ -120,3 +122,24 @@ def reconciles(segment_total: Column | str, canonical_total: Column | str, toler
     segment_total, canonical_total = (F.col(c) if isinstance(c, str) else c for c in (segment_total, canonical_total))
     base = F.when(F.abs(canonical_total) == 0, F.lit(1.0)).otherwise(F.abs(canonical_total))
     return safe_divide(F.abs(segment_total - canonical_total), base) <= tolerance
+
+
+def critique_segments(segments: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """Verdict on bare segment tables: no money and no funnel, so those two checks stay neutral."""
+    effects = decompose_change(segments, by)
+    best = F.min(F.struct((-F.abs("total")).alias("rank"), F.col("segment").alias("segment"))).alias("best")
+    tops = effects.groupBy(*by).agg(
+        best, *[F.sum(c).alias(c) for c in ("num_t0", "den_t0", "num_t1", "den_t1")]
+    )
+    tested = two_proportion_ztest(tops, "num_t0", "den_t0", "num_t1", "den_t1", alpha)
+    sessions_t1 = F.when(F.col("den_t1") > 0, F.col("den_t1")).otherwise(1.0)
+    neutral = summarize_effects(effects, by).join(tested, by).select(
+        "*",
+        F.col("r_t0").alias("conv_t0"), F.col("r_t1").alias("conv_t1"),
+        sessions_t1.alias("sessions_t1"), F.lit(1.0).alias("aov"),
+        (F.col("rate") * sessions_t1).alias("revenue_at_risk"),
+        F.array(F.struct(F.col("best.segment").alias("segment"))).alias("drivers"),
+        *[F.struct(*[F.lit(0).alias(c) for c in COUNTS]).alias(f"funnel_t{side}") for side in (0, 1)],
+    )
+    judged = critique(neutral)
+    return judged.select(*by, "delta", "mix", "rate", "interaction", "dominant", "p_value", "significant", "checks", "verdict")

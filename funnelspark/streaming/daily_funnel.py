@@ -72,9 +72,10 @@ def stream_raw_events(spark: SparkSession, landing_path: str, files_per_batch: i
 
 def _replace_touched_days(landing_path: str, mart_path: str) -> Callable[[DataFrame, int], None]:
     def replace(batch: DataFrame, batch_id: int) -> None:
-        # an event can move a session of its own day or of the day before
-        days = batch.select(F.explode(F.array("event_date", F.date_sub("event_date", 1))).alias("day")).distinct()
-        touched = sorted(row.day for row in days.collect())  # calendar days, not rows
+        days = batch.select("event_date").distinct().collect()  # calendar days, not rows
+        # a new event can change a session that starts on the day before, or
+        # take over one that so far started on the day after
+        touched = sorted({row.event_date + dt.timedelta(days=shift) for row in days for shift in (-1, 0, 1)})
         if not touched:
             return
         needed = sorted({d + dt.timedelta(days=shift) for d in touched for shift in (-1, 0, 1)})
