@@ -147,8 +147,9 @@ def classify_change(segments: DataFrame, by: Sequence[str] = ("scenario_id",)) -
     by = list(by)
     flagged = segments.withColumn("inconsistent", inconsistent())
     effects = decompose_change(flagged, by, carry=["inconsistent"])
-    gross = F.abs("mix") + F.abs("rate") + F.abs("interaction")
-    effects = effects.withColumn("gross", gross)
+    activity = F.abs("mix") + F.abs("rate") + F.abs("interaction")
+    # rounding noise of segments that did not move must not rank them
+    effects = effects.withColumn("gross", F.when(activity < EPSILON, 0.0).otherwise(activity))
     top = F.min_by(F.struct("segment", "mix", "rate", "gross", "inconsistent"), F.struct(-F.col("gross"), F.col("segment")))
     per = effects.groupBy(*by).agg(
         top.alias("top"), F.sum("gross").alias("all_gross"), F.sum(F.col("w_t0") * F.col("r_t0")).alias("r_t0")

@@ -285,7 +285,7 @@ WHERE NOT EXISTS (SELECT 1 FROM fk o WHERE day(o.w1) % 3 = 0 AND o.w1 + 10 >= DA
 ORACLES["similar_findings"] = f"""
 WITH q AS (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS c FROM embeddings),
 s AS (SELECT vec_id, label, DATE '2024-06-01' - CAST(vec_id % 180 AS INT) AS as_of, vec_id % 180 AS age_days, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) AS similarity FROM embeddings, q)
-SELECT vec_id, label, as_of, age_days, {r('similarity', 6)} AS similarity, {r('similarity * exp(-age_days / 60.0)', 6)} AS score FROM s ORDER BY similarity * exp(-age_days / 60.0) DESC LIMIT 10"""
+SELECT vec_id, CAST(label AS BIGINT) AS label, as_of, age_days, {r('similarity', 6)} AS similarity, {r('similarity * exp(-age_days / 60.0)', 6)} AS score FROM s ORDER BY similarity * exp(-age_days / 60.0) DESC LIMIT 10"""
 _p1, _p2 = "p", "(p * 1.1::DOUBLE)"
 _bar = f"(({_p1} + {_p2}) / 2)"
 SIZE = f"""(CASE WHEN p > 0 AND p < 1 AND {_p2} < 1 THEN CAST(ceil(pow({Z95} * sqrt(2 * {_bar} * (1 - {_bar})) + {Z80} * sqrt({_p1} * (1 - {_p1}) + {_p2} * (1 - {_p2})), 2)
@@ -327,8 +327,8 @@ segs AS (SELECT scenario_id, bucket, truth_effect, segment, target_rank > 0 AND
 TRUTH = """
 truth AS (SELECT scenario_id, bucket, truth_effect, max(CASE WHEN is_target THEN segment END) AS truth_segment FROM segs GROUP BY 1, 2, 3)"""
 BENCH = (WEEKLY, BASE_SEGMENTS, injected(DEFAULT_SCENARIOS), TRUTH, effects("scenario_id"), NAIVE.format(by="scenario_id"), """
-bs AS (SELECT t.scenario_id, truth_segment, truth_effect, k.segment AS predicted_segment, sm.dominant AS predicted_effect, k.segment = truth_segment AS segment_correct,
- sm.dominant = truth_effect AS effect_correct, naive_segment, naive_segment = truth_segment AS naive_correct
+bs AS (SELECT t.scenario_id, truth_segment, t.truth_effect, k.segment AS predicted_segment, sm.dominant AS predicted_effect, k.segment = truth_segment AS segment_correct,
+ sm.dominant = t.truth_effect AS effect_correct, naive_segment, naive_segment = truth_segment AS naive_correct
  FROM truth t JOIN sm USING (scenario_id) JOIN ranked k ON k.scenario_id = t.scenario_id AND k.driver_rank = 1 JOIN naive ON naive.scenario_id = t.scenario_id)""")
 ORACLES["inject_benchmark"] = with_sessions(
     f"SELECT * REPLACE ({r('num_t1')} AS num_t1, {r('den_t1')} AS den_t1, {r('cons_t1')} AS cons_t1) FROM segs", WEEKLY, BASE_SEGMENTS, injected(DEFAULT_SCENARIOS))
@@ -343,7 +343,7 @@ def _rel(c: str) -> str:
 
 
 CLASSIFY = (WEEKLY, BASE_SEGMENTS, injected(LABELED_SCENARIOS), TRUTH, effects("scenario_id"), f"""
-gr AS (SELECT *, abs(mix) + abs(rate) + abs(interaction) AS g, ({_rel('num')} > 0.10 AND {_rel('cons')} < 0.03) OR ({_rel('den')} > 0.10 AND {_rel('num')} < 0.03 AND {_rel('cons')} < 0.03)
+gr AS (SELECT *, CASE WHEN abs(mix) + abs(rate) + abs(interaction) < 1e-12 THEN 0 ELSE abs(mix) + abs(rate) + abs(interaction) END AS g, ({_rel('num')} > 0.10 AND {_rel('cons')} < 0.03) OR ({_rel('den')} > 0.10 AND {_rel('num')} < 0.03 AND {_rel('cons')} < 0.03)
   OR num_t1 > den_t1 * (1 + 1e-6) AS dq FROM eff),
 tp AS (SELECT scenario_id, arg_min(segment, (-g, segment)) AS segment, sum(g) AS tg, sum(w_t0 * r_t0) AS r0, max(g) AS mg FROM gr GROUP BY 1),
 cl0 AS (SELECT tp.scenario_id, tp.segment, mg / (CASE WHEN tg = 0 THEN 1e-12 ELSE tg END) AS concentration, (CASE WHEN tg = 0 THEN 1e-12 ELSE tg END) / greatest(abs(r0), 1e-12) AS activity,
