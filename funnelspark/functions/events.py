@@ -41,8 +41,9 @@ def event_param(key: str, kind: str = "string", params: str = "event_params") ->
     Reads the key array and one value slot only, so the parquet scan prunes the
     other slots, and all of it compiles into generated code.
     """
-    position = F.array_position(F.col(f"{params}.key"), key)
-    return F.get(F.col(f"{params}.value.{PARAM_SLOTS[kind]}"), (position - 1).cast("int"))
+    name = key.replace("\\", "\\\\").replace("'", "\\'")
+    position = f"CAST(array_position({params}.key, '{name}') - 1 AS INT)"
+    return F.expr(f"get({params}.value.{PARAM_SLOTS[kind]}, {position})")
 
 
 def param_text(value: str = "value") -> Column:

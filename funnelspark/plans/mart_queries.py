@@ -12,6 +12,7 @@ from funnelspark.functions.numeric import money_sum
 from funnelspark.operators import attribution, cohorts, daily, dims, orders, rfm, sessions, staging
 from funnelspark.plans.common import query, report
 from funnelspark.plans.marts import Marts
+from funnelspark.session import spread
 
 RFM_AS_OF = dt.date(2001, 1, 1)
 FUNNEL_DIMS = ("channel_group", "device_category", "country", "operating_system")
@@ -178,7 +179,7 @@ def priced_parts(m: Marts) -> DataFrame:
     """Unit price of every sold part on its ship date."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     unit_cents = F.floor(cents / F.col("l_quantity").cast("long"))
-    lines = m.table("lineitem").select(
+    lines = spread(m.table("lineitem")).select(
         F.col("l_partkey"), F.col("l_shipdate").cast("timestamp").alias("observed_ts"),
         (unit_cents / 100).alias("price_in_usd"),
     )

@@ -5,12 +5,11 @@ The rules are those of FIXTURES.md section 4; the oracle SQL repeats them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from funnelspark.functions.numeric import money
-from funnelspark.schema import ITEM, PARAM_VALUE
+from funnelspark.schema import TEST_TABLES
+from funnelspark.session import spread
 
 # Fixed values of the mapping: source/medium pair per index.
 CHANNEL_PAIRS = (
@@ -27,158 +26,148 @@ ITEM_PARTS = 100
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(TEST_TABLES[name]) if name in TEST_TABLES else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _pick(values, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+def _pick(values, index: str) -> str:
+    """SQL: the entry of a fixed list."""
+    return "get(array({}), cast({} AS INT))".format(", ".join(f"'{v}'" for v in values), index)
 
 
-def _param(key: str, slot: str, value: Column) -> Column:
-    kinds = {f.name: f.dataType for f in PARAM_VALUE.fields}
-    slots = [
-        (value if name == slot else F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()
-    ]
-    entry = F.struct(F.lit(key).alias("key"), F.struct(*slots).alias("value"))
-    return F.when(value.isNotNull(), entry)
+SOURCES, MEDIUMS = ([pair[i] for pair in CHANNEL_PAIRS] for i in (0, 1))
+
+FLAT = (
+    "event_id", "user_id", "event_type", "value",
+    "CAST(get_json_object(props, '$.k') AS INT) AS k",
+    "CAST(ts AS DATE) AS event_date",
+    "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS micros",
+    "unix_date(CAST(ts AS DATE)) AS d",
+)
+
+EVENT_NAME = """
+CASE event_type
+  WHEN 'view' THEN 'view_item'
+  WHEN 'click' THEN 'add_to_cart'
+  WHEN 'signup' THEN CASE k % 3 WHEN 0 THEN 'begin_checkout' WHEN 1 THEN 'add_shipping_info' ELSE 'add_payment_info' END
+  WHEN 'purchase' THEN if(k % 5 = 0, 'purchase', 'page_view')
+  ELSE 'page_view'
+END AS event_name"""
+
+# parameter -> slot and value; a NULL value leaves the parameter out
+PARAMS = {
+    "ga_session_id": ("int", "if(event_id % 50 <> 0, d, NULL)"),
+    "ga_session_number": ("int", "session_number"),
+    "page_location": ("string", "if(k % 10 <> 9, concat('/p/', k), NULL)"),
+    "session_engaged": ("string", "if(k % 4 = 0, '1', NULL)"),
+    "engagement_time_msec": ("int", "floor(CAST(value AS DECIMAL(18,2)) * 100)"),
+    "source": ("string", f"if(event_id % 4 <> 0, {_pick(SOURCES, 'pair')}, NULL)"),
+    "medium": ("string", f"if(event_id % 4 <> 0, {_pick(MEDIUMS, 'pair')}, NULL)"),
+    "campaign": ("string", "if(event_id % 4 <> 0 AND pair IN (2, 3, 4), concat('cmp', pair), NULL)"),
+    "gclid": ("string", "if(pair = 2 AND user_id % 2 = 0, concat('g', user_id), NULL)"),
+}
+
+
+def _param(key: str, slot: str, value: str) -> str:
+    text = value if slot == "string" else "NULL"
+    number = value if slot == "int" else "NULL"
+    return f"""named_struct('key', '{key}', 'value', named_struct(
+      'string_value', CAST({text} AS STRING), 'int_value', CAST({number} AS BIGINT),
+      'float_value', CAST(NULL AS DOUBLE), 'double_value', CAST(NULL AS DOUBLE)))"""
+
+
+EVENT_PARAMS = "filter(array({}), p -> p.value.string_value IS NOT NULL OR p.value.int_value IS NOT NULL) AS event_params".format(
+    ",\n".join(_param(key, slot, value) for key, (slot, value) in PARAMS.items())
+)
+
+
+def _amount(share: str) -> str:
+    """SQL: share of ``value`` in whole cents, rounded in decimal arithmetic."""
+    return f"CAST(round(CAST(value AS DECIMAL(18,2)) * CAST({share} AS DECIMAL(3,2)), 2) AS DOUBLE)"
+
+
+RAW = (
+    "event_date",
+    "event_name",
+    "micros AS event_timestamp",
+    "concat('u', user_id) AS user_pseudo_id",
+    "CAST(NULL AS STRING) AS user_id",
+    EVENT_PARAMS,
+    f"""named_struct('source', {_pick(SOURCES, 'user_id % 12')}, 'medium', {_pick(MEDIUMS, 'user_id % 12')},
+      'name', concat('ft', user_id % 12)) AS traffic_source""",
+    f"""named_struct('category', {_pick(DEVICES, 'user_id % 3')}, 'operating_system', {_pick(SYSTEMS, 'user_id % 4')},
+      'language', CAST(NULL AS STRING), 'web_info', named_struct('browser', {_pick(BROWSERS, 'user_id % 4')})) AS device""",
+    "named_struct('country', country, 'region', region, 'city', CAST(NULL AS STRING)) AS geo",
+    f"""named_struct(
+      'transaction_id', if(bought AND event_id % 20 <> 0, concat('T', user_id, '-', d), NULL),
+      'purchase_revenue_in_usd', if(bought, value, NULL),
+      'refund_value_in_usd', if(bought AND k % 10 = 0, {_amount('0.5')}, NULL),
+      'shipping_value_in_usd', if(bought, {_amount('0.1')}, NULL),
+      'tax_value_in_usd', if(bought, {_amount('0.08')}, NULL),
+      'total_item_quantity', if(bought, 1 + event_id % 3, NULL),
+      'unique_items', if(bought, 1L, NULL)) AS ecommerce""",
+)
+
+
+def _item(part: str) -> str:
+    return f"""if({part}.p_partkey IS NOT NULL, named_struct(
+      'item_id', CAST({part}.p_partkey AS STRING), 'item_name', {part}.p_name, 'item_brand', {part}.p_brand,
+      'item_category', {part}.p_type, 'price_in_usd', {part}.p_retailprice, 'quantity', 1 + event_id % 3,
+      'item_revenue_in_usd',
+      if(event_name = 'purchase', CAST(CAST({part}.p_retailprice AS DECIMAL(18,2)) * (1 + event_id % 3) AS DOUBLE), NULL)), NULL)"""
 
 
-def _amount(share: float) -> Column:
-    """Share of ``value`` in whole cents, rounded in decimal arithmetic."""
-    return F.round(money("value") * F.lit(share).cast("decimal(3,2)"), 2).cast("double")
+ITEMS = f"""if(event_name IN ('view_item', 'purchase'),
+  array_compact(array({_item('first')}, if(k % 3 = 0, {_item('second')}, NULL))), NULL) AS items"""
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with the helper columns of the mapping."""
-    events = read_table(spark, sf_dir, "events").select(
-        "event_id",
-        "user_id",
-        "event_type",
-        "value",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.to_date("ts").alias("event_date"),
-        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType()), F.col("ts")).alias("micros"),
-    )
-    return events.withColumn("d", F.unix_date("event_date"))
+    return spread(read_table(spark, sf_dir, "events")).selectExpr(*FLAT)
 
 
 def _with_session_number(events: DataFrame) -> DataFrame:
     """Rank of each day among the user's days.
 
-    The days are made distinct before they are gathered per user, so even a user
-    with a third of all events gathers one small integer per calendar day.
+    Distinct days combine on the map side, so even a user with a third of all
+    events gathers one small integer per calendar day. The events are joined on
+    (user, day), which spreads such a user over as many tasks as days.
     """
     days = (
-        events.select("user_id", "d").distinct()
-        .groupBy("user_id").agg(F.array_sort(F.collect_list("d")).alias("days"))
-        .select("user_id", F.posexplode("days").alias("position", "d"))
-        .select("user_id", "d", (F.col("position") + 1).cast("long").alias("session_number"))
+        events.groupBy("user_id").agg(F.expr("array_sort(collect_set(d)) AS days"))
+        .selectExpr("user_id", "posexplode(days) AS (position, d)")
+        .selectExpr("user_id", "d", "position + 1L AS session_number")
     )
     return events.join(days, ["user_id", "d"])
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     # user_id % 25 picks the key, so at most 25 rows can match
-    nation = read_table(spark, sf_dir, "nation").filter(F.col("n_nationkey").between(0, 24))
+    nation = read_table(spark, sf_dir, "nation").filter("n_nationkey BETWEEN 0 AND 24")
     region = read_table(spark, sf_dir, "region")
-    joined = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
-    return joined.select("n_nationkey", F.col("n_name").alias("country"), F.col("r_name").alias("region"))
-
+    joined = nation.join(region, F.expr("n_regionkey = r_regionkey"), "left")
+    return joined.selectExpr("n_nationkey", "n_name AS country", "r_name AS region")
 
-def _item(part: str, revenue: Column) -> Column:
-    fields = {
-        "item_id": F.col(f"{part}.p_partkey"), "item_name": F.col(f"{part}.p_name"),
-        "item_brand": F.col(f"{part}.p_brand"), "item_category": F.col(f"{part}.p_type"),
-        "price_in_usd": F.col(f"{part}.p_retailprice"), "quantity": F.col("quantity"),
-        "item_revenue_in_usd": revenue,
-    }
-    kinds = {f.name: f.dataType for f in ITEM.fields}
-    return F.struct(*[c.cast(kinds[name]).alias(name) for name, c in fields.items()])
 
-
-def _with_items(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds the items array of view and purchase events: one part, or two."""
+def _join_parts(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins the one or two parts an event can name."""
     parts = (
         read_table(spark, sf_dir, "part")
-        .filter(F.col("p_partkey").between(0, ITEM_PARTS - 1))
+        .filter(f"p_partkey BETWEEN 0 AND {ITEM_PARTS - 1}")
         .select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
     )
     first = F.broadcast(parts).alias("first")  # at most ITEM_PARTS rows
     second = F.broadcast(parts).alias("second")
-    joined = (
-        events.withColumn("quantity", F.lit(1) + F.col("event_id") % 3)
-        .join(first, F.col("k") == F.col("first.p_partkey"), "left")
-        .join(second, (F.col("k") * 7) % 100 == F.col("second.p_partkey"), "left")
-    )
-
-    def line(part: str) -> Column:
-        bought = money(f"{part}.p_retailprice") * F.col("quantity")
-        return _item(part, F.when(F.col("event_name") == "purchase", bought.cast("double")))
-
-    lines = F.array_compact(F.array(line("first"), F.when(F.col("k") % 3 == 0, line("second"))))
-    has_items = F.col("event_name").isin("view_item", "purchase")
-    return joined.withColumn("items", F.when(has_items, lines)).drop(
-        "quantity", "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"
-    )
+    with_first = events.join(first, F.expr("k = first.p_partkey"), "left")
+    return with_first.join(second, F.expr(f"(k * 7) % {ITEM_PARTS} = second.p_partkey"), "left")
 
 
 def raw_events(spark: SparkSession, sf_dir: str, items: bool = False) -> DataFrame:
     """Nested raw events. ``items`` adds the line items (two small joins)."""
-    k, user, event_id = F.col("k"), F.col("user_id"), F.col("event_id")
-    event_name = (
-        F.when(F.col("event_type") == "view", "view_item")
-        .when(F.col("event_type") == "click", "add_to_cart")
-        .when(F.col("event_type") == "signup", _pick(("begin_checkout", "add_shipping_info", "add_payment_info"), k % 3))
-        .when((F.col("event_type") == "purchase") & (k % 5 == 0), "purchase")
-        .otherwise("page_view")
-    )
-    events = _with_session_number(flat_events(spark, sf_dir)).withColumn("event_name", event_name)
-    events = events.join(_geo(spark, sf_dir), F.col("user_id") % 25 == F.col("n_nationkey"), "left")
-    if items:
-        events = _with_items(events, spark, sf_dir)
-
-    pair = (user + F.col("d")) % 12
-    tagged = event_id % 4 != 0
-    first_touch = user % 12
-    source, medium = ([p[i] for p in CHANNEL_PAIRS] for i in (0, 1))
-    params = F.array_compact(F.array(
-        _param("ga_session_id", "int_value", F.when(event_id % 50 != 0, F.col("d"))),
-        _param("ga_session_number", "int_value", F.col("session_number")),
-        _param("page_location", "string_value", F.when(k % 10 != 9, F.concat(F.lit("/p/"), k.cast("string")))),
-        _param("session_engaged", "string_value", F.when(k % 4 == 0, F.lit("1"))),
-        _param("engagement_time_msec", "int_value", F.floor(money("value") * 100)),
-        _param("source", "string_value", F.when(tagged, _pick(source, pair))),
-        _param("medium", "string_value", F.when(tagged, _pick(medium, pair))),
-        _param("campaign", "string_value", F.when(tagged & pair.isin(2, 3, 4), F.concat(F.lit("cmp"), pair.cast("string")))),
-        _param("gclid", "string_value", F.when((pair == 2) & (user % 2 == 0), F.concat(F.lit("g"), user.cast("string")))),
-    ))
-    bought = F.col("event_name") == "purchase"
-    transaction = F.concat(F.lit("T"), user.cast("string"), F.lit("-"), F.col("d").cast("string"))
-    none = F.lit(None).cast("string")
-    columns = [
-        "event_date",
-        "event_name",
-        F.col("micros").alias("event_timestamp"),
-        F.concat(F.lit("u"), user.cast("string")).alias("user_pseudo_id"),
-        none.alias("user_id"),
-        params.alias("event_params"),
-        F.struct(
-            _pick(source, first_touch).alias("source"), _pick(medium, first_touch).alias("medium"),
-            F.concat(F.lit("ft"), first_touch.cast("string")).alias("name"),
-        ).alias("traffic_source"),
-        F.struct(
-            _pick(DEVICES, user % 3).alias("category"), _pick(SYSTEMS, user % 4).alias("operating_system"),
-            none.alias("language"), F.struct(_pick(BROWSERS, user % 4).alias("browser")).alias("web_info"),
-        ).alias("device"),
-        F.struct("country", "region", none.alias("city")).alias("geo"),
-        F.struct(
-            F.when(bought & (event_id % 20 != 0), transaction).alias("transaction_id"),
-            F.when(bought, F.col("value")).alias("purchase_revenue_in_usd"),
-            F.when(bought & (k % 10 == 0), _amount(0.5)).alias("refund_value_in_usd"),
-            F.when(bought, _amount(0.1)).alias("shipping_value_in_usd"),
-            F.when(bought, _amount(0.08)).alias("tax_value_in_usd"),
-            F.when(bought, F.lit(1) + event_id % 3).alias("total_item_quantity"),
-            F.when(bought, F.lit(1)).cast("long").alias("unique_items"),
-        ).alias("ecommerce"),
-    ]
-    return events.select(*columns, *(["items"] if items else []))
+    events = _with_session_number(flat_events(spark, sf_dir))
+    events = events.join(_geo(spark, sf_dir), F.expr("user_id % 25 = n_nationkey"), "left")
+    named = events.selectExpr("*", EVENT_NAME, "(user_id + d) % 12 AS pair")
+    named = named.selectExpr("*", "event_name = 'purchase' AS bought")
+    if not items:
+        return named.selectExpr(*RAW)
+    return _join_parts(named, spark, sf_dir).selectExpr(*RAW, ITEMS)
