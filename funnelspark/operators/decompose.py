@@ -39,6 +39,7 @@ def decompose_change(
     error = F.when(empty, F.raise_error(F.lit(NO_TOTAL)) if strict else F.lit(NO_TOTAL))
     shares = segments.join(totals, by).select(
         *by, "segment", *carry, "num_t0", "den_t0", "num_t1", "den_t1",
+        "all_den_t1",
         safe_divide("den_t0", "all_den_t0").alias("w_t0"),
         safe_divide("den_t1", "all_den_t1").alias("w_t1"),
         rate_or_zero("num_t0", "den_t0").alias("r_t0"),
@@ -69,13 +70,19 @@ def is_additive(tolerance: float = ADDITIVE_TOLERANCE) -> Column:
     return F.abs(F.col("mix") + F.col("rate") + F.col("interaction") - F.col("delta")) <= tolerance
 
 
-def summarize_effects(effects: DataFrame, by: Sequence[str] = ("comparison_id",)) -> DataFrame:
-    """One row per comparison: both rates, the change, its three parts, the dominant one."""
+def summarize_effects(
+    effects: DataFrame, by: Sequence[str] = ("comparison_id",), extra: Sequence[Column] = ()
+) -> DataFrame:
+    """One row per comparison: both rates, the change, its three parts, the dominant one.
+
+    ``extra`` adds aggregates over the same rows.
+    """
     summed = effects.groupBy(*by).agg(
         F.sum(F.col("w_t0") * F.col("r_t0")).alias("r_t0"),
         F.sum(F.col("w_t1") * F.col("r_t1")).alias("r_t1"),
         *[F.sum(c).alias(c) for c in ("mix", "rate", "interaction")],
         F.max("error").alias("error"),
+        *extra,
     )
     with_delta = summed.withColumn("delta", F.col("r_t1") - F.col("r_t0"))
     return with_delta.select("*", dominant_effect().alias("dominant"), is_additive().alias("additive"))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelspark.functions.events import segment_label
-from funnelspark.functions.numeric import money_sum, rate_or_zero
+from funnelspark.functions.numeric import money, money_sum, rate_or_zero
 from funnelspark.operators.daily import COUNTS, conversion_series
 from funnelspark.operators.decompose import decompose_change, summarize_effects, top_drivers
 from funnelspark.operators.series import detect_anomaly
@@ -85,25 +85,34 @@ def select_move(weekly: DataFrame, selector: str = "anomaly") -> DataFrame:
     return selectors[selector](weekly)
 
 
-def week_segments(
-    weekly: DataFrame, pairs: DataFrame, dims: Sequence[str] = ("channel_group", "device_category"),
-    num: str = "purchasing_sessions", den: str = "sessions", period: str = "week",
-) -> DataFrame:
-    """Segment counts of both periods side by side; an absent side counts 0.
+def pair_sides(pairs: DataFrame, period: str, *keys: str) -> DataFrame:
+    """Two rows per pair, one for each of its periods, so that facts join on equality.
 
-    Each pair names its two periods in two rows, so an equi-join on the period
-    and one conditional sum replace a self-join of the facts.
+    A period paired with itself only has a baseline.
     """
-    sides = pairs.select(*PAIR, F.inline(F.array(
+    sides = pairs.select(*PAIR, *keys, F.inline(F.array(
         F.struct(F.col("w0").alias(period), F.lit(0).alias("side")),
         F.struct(F.col("w1").alias(period), F.lit(1).alias("side")),
-    ))).filter((F.col("side") == 0) | (F.col("w0") != F.col("w1"))).distinct()
-    keyed = weekly.join(sides, period)
-    measures = {"num": num, "den": den}
-    return keyed.groupBy(*PAIR, segment_label(*dims).alias("segment")).agg(*[
-        F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))), F.lit(0)).cast("double").alias(f"{name}_t{side}")
-        for side in (0, 1) for name, c in measures.items()
-    ])
+    )))
+    return sides.filter((F.col("side") == 0) | (F.col("w0") != F.col("w1"))).distinct()
+
+
+def _both_sides(columns: dict[str, str]) -> list[Column]:
+    """Sums per side as ``<name>_t0`` and ``<name>_t1``; an absent side counts 0."""
+    def total(side: int, c: str) -> Column:
+        value = F.when(F.col("side") == side, money(c) if c == "revenue" else F.col(c))
+        return F.coalesce(F.sum(value), F.lit(0)).cast("double")
+
+    return [total(side, c).alias(f"{name}_t{side}") for side in (0, 1) for name, c in columns.items()]
+
+
+def week_segments(
+    weekly: DataFrame, pairs: DataFrame, dims: Sequence[str] = ("channel_group", "device_category"),
+    num: str = "purchasing_sessions", den: str = "sessions", period: str = "week",
+) -> DataFrame:
+    """Segment counts of both periods side by side, from one conditional sum instead of a self-join."""
+    keyed = weekly.join(pair_sides(pairs, period), period)
+    return keyed.groupBy(*PAIR, segment_label(*dims).alias("segment")).agg(*_both_sides({"num": num, "den": den}))
 
 
 def pair_totals(weekly: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -120,28 +129,36 @@ def funnel_struct(side: int):
 
 
 def diagnose(weekly: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per pair: change, effects, significance, price, top drivers, both funnels."""
-    segments = week_segments(weekly, pairs)
-    effects = decompose_change(segments, PAIR)
-    summary = summarize_effects(effects, PAIR)
-    totals = two_proportion_ztest(
-        pair_totals(weekly, pairs), "purchasing_sessions_t0", "sessions_t0", "purchasing_sessions_t1", "sessions_t1"
+    """One row per pair: change, effects, significance, price, top drivers, both funnels.
+
+    All counts of both weeks are summed per pair and cell once; effects, totals
+    and drivers are aggregates of those few rows.
+    """
+    measures = {c: c for c in (*COUNTS, "revenue")}
+    keyed = weekly.join(pair_sides(pairs, "week"), "week")
+    cells = keyed.groupBy(*PAIR, segment_label("channel_group", "device_category").alias("segment")).agg(*_both_sides(measures))
+    cells = materialize(cells, "pair-cells")
+    carried = [f"{c}_t{side}" for c in measures for side in (0, 1)]
+    for side in (0, 1):
+        cells = cells.withColumn(f"num_t{side}", F.col(f"purchasing_sessions_t{side}")).withColumn(f"den_t{side}", F.col(f"sessions_t{side}"))
+    effects = decompose_change(cells, PAIR, carry=carried)
+
+    totals = [
+        money_sum(c).alias(c) if c.startswith("revenue") else F.sum(c).cast("long").alias(c) for c in carried
+    ]
+    summary = two_proportion_ztest(
+        summarize_effects(effects, PAIR, totals), "purchasing_sessions_t0", "sessions_t0", "purchasing_sessions_t1", "sessions_t1"
     )
-    drivers = (
-        top_drivers(effects, PAIR, MAX_DRIVERS)
-        .join(totals.select(*PAIR, F.col("sessions_t1").alias("all_sessions_t1")), list(PAIR))
-        .groupBy(*PAIR)
-        .agg(F.array_sort(F.collect_list(F.struct(  # at most MAX_DRIVERS entries
+    drivers = top_drivers(effects, PAIR, MAX_DRIVERS).groupBy(*PAIR).agg(
+        F.array_sort(F.collect_list(F.struct(  # at most MAX_DRIVERS entries
             "driver_rank", "segment",
             (F.col("total") * 100).alias("total_pts"), (F.col("mix") * 100).alias("mix_pts"),
             (F.col("rate") * 100).alias("rate_pts"),
             (F.col("r_t0") * 100).alias("conv_t0_pct"), (F.col("r_t1") * 100).alias("conv_t1_pct"),
-            F.bround(F.col("w_t1") * F.col("all_sessions_t1")).cast("long").alias("sessions_t1"),
-        ))).alias("drivers"))
+            F.bround(F.col("w_t1") * F.col("all_den_t1")).cast("long").alias("sessions_t1"),
+        ))).alias("drivers")
     )
-    aov = rate_or_zero("revenue_t1", "purchasing_sessions_t1")
-    joined = summary.join(totals, list(PAIR)).join(drivers, list(PAIR), "left")
-    priced = joined.withColumn("aov", aov)
+    priced = summary.join(drivers, list(PAIR), "left").withColumn("aov", rate_or_zero("revenue_t1", "purchasing_sessions_t1"))
     return priced.select(
         *PAIR, F.col("r_t0").alias("conv_t0"), F.col("r_t1").alias("conv_t1"), "delta",
         "mix", "rate", "interaction", "dominant", "p_value", "significant", "sessions_t1", "aov",
@@ -171,14 +188,10 @@ def drill_tree(
         parent_path = F.lit("") if path is None else path
         rows = cells.withColumn("parent", parent_path).withColumn("node", own)
         path = own if path is None else F.concat(parent_path, F.lit(" > "), own)
-        sides = parents.select(*PAIR, "parent", F.inline(F.array(
-            F.struct(F.col("w0").alias(period), F.lit(0).alias("side")),
-            F.struct(F.col("w1").alias(period), F.lit(1).alias("side")),
-        )))
-        segments = rows.join(sides, [period, "parent"]).groupBy(*PAIR, "parent", F.col("node").alias("segment")).agg(*[
-            F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))), F.lit(0)).cast("double").alias(f"{name}_t{side}")
-            for side in (0, 1) for name, c in (("num", "purchasing_sessions"), ("den", "sessions"))
-        ])
+        sides = pair_sides(parents, period, "parent")
+        segments = rows.join(sides, [period, "parent"]).groupBy(*PAIR, "parent", F.col("node").alias("segment")).agg(
+            *_both_sides({"num": "purchasing_sessions", "den": "sessions"})
+        )
         effects = decompose_change(segments, (*PAIR, "parent"))
         tested = two_proportion_ztest(effects, "num_t0", "den_t0", "num_t1", "den_t1", alpha)
         kept = tested.filter(

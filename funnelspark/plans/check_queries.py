@@ -40,6 +40,7 @@ def check_not_null(m: Marts) -> DataFrame:
 
 @query
 def check_unique(m: Marts) -> DataFrame:
+    m.share_sessions()
     return checks.all_checks(
         checks.check_unique(m.funnel, "sessions.session_key", "session_key"),
         checks.check_unique(m.daily, "daily.daily_funnel_key", "daily_funnel_key"),
@@ -58,6 +59,7 @@ def check_accepted_values(m: Marts) -> DataFrame:
 
 @query
 def check_ranges(m: Marts) -> DataFrame:
+    m.share_sessions()
     orders = checks.check_rows(m.orders, {
         "orders.gross_revenue": outside("gross_revenue", low=0),
         "orders.net_revenue": outside("net_revenue", low=0),
@@ -68,6 +70,7 @@ def check_ranges(m: Marts) -> DataFrame:
 
 @query
 def check_relationships(m: Marts) -> DataFrame:
+    m.share_sessions()
     parents = dim_channels(m.spark)
     return checks.all_checks(
         checks.check_relationship(m.funnel, "channel_group", parents, "channel_group", "sessions.channel_group"),
@@ -101,6 +104,7 @@ def check_conversion_bounds(m: Marts) -> DataFrame:
 
 @query
 def check_revenue_reconcile(m: Marts) -> DataFrame:
+    m.share_sessions()
     return report(checks.all_checks(
         checks.revenue_reconciles(m.orders, "gross_revenue", m.raw, "orders.gross_revenue"),
         checks.revenue_reconciles(m.funnel, "session_revenue", m.raw, "sessions.session_revenue"),

@@ -72,7 +72,7 @@ def day_diagnoses(m: Marts) -> DataFrame:
 
 @query
 def decompose_week_pairs(m: Marts) -> DataFrame:
-    return report(decompose.decompose_change(diagnosis.week_segments(m.weekly, week_pairs(m)), PAIR))
+    return report(decompose.decompose_change(diagnosis.week_segments(m.weekly, week_pairs(m)), PAIR).drop("all_den_t1"))
 
 
 @query
@@ -87,7 +87,7 @@ def decompose_countries(m: Marts) -> DataFrame:
     weekly = m.funnel.groupBy(time_grain("event_date", "week").alias("week"), "country").agg(*funnel_counts())
     weekly = materialize(weekly, "country-cells")
     segments = diagnosis.week_segments(weekly, diagnosis.adjacent_pairs(weekly), ("country",), "add_to_cart_sessions", "view_item_sessions")
-    return report(decompose.decompose_change(segments, PAIR))
+    return report(decompose.decompose_change(segments, PAIR).drop("all_den_t1"))
 
 
 @query
@@ -248,6 +248,7 @@ def recommended_action(m: Marts) -> DataFrame:
 
 @query
 def identity_check(m: Marts) -> DataFrame:
+    m.share_sessions()
     funnel = metric_query(
         m, ["sessions", "view_item_sessions", "add_to_cart_sessions", "begin_checkout_sessions", "purchasing_sessions", "revenue"],
         ["week"], order_by_time=False,
@@ -259,6 +260,7 @@ def identity_check(m: Marts) -> DataFrame:
 @query
 def reconcile_totals(m: Marts) -> DataFrame:
     """Totals of the weekly cells against the session facts, one row per measure."""
+    m.share_sessions()
     weekly = m.weekly.agg(F.sum("sessions").alias("sessions"), F.sum("purchasing_sessions").alias("purchasing_sessions"), money_sum("revenue").alias("revenue"))
     canonical = metric_query(m, ["sessions", "purchasing_sessions", "revenue"])
     rows = weekly.select(F.inline(F.array(*[

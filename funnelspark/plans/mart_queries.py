@@ -207,6 +207,7 @@ def cohort_retention(m: Marts) -> DataFrame:
 
 @query
 def retention_curve(m: Marts) -> DataFrame:
+    m.share_sessions()
     return report(cohorts.retention_curve(m.sessions))
 
 
@@ -218,9 +219,11 @@ def rfm_scores(m: Marts) -> DataFrame:
 
 @query
 def attribution_models(m: Marts) -> DataFrame:
+    m.share_sessions()
     return report(attribution.attribution_by_channel(m.sessions))
 
 
 @query
 def last_non_direct(m: Marts) -> DataFrame:
+    m.share_sessions()
     return report(attribution.last_non_direct(m.sessions, 7), "session_key", "event_date", "channel_group", "last_non_direct_channel")

@@ -59,6 +59,13 @@ class Marts(Mapping):
     def sessions(self) -> DataFrame:
         return sessions.fct_sessions(self.rollup)
 
+    def share_sessions(self) -> "Marts":
+        """Write the session table once, for a query that reads it in several branches."""
+        facts = sessions.funnel_facts(self.rollup).columns
+        self.sessions = materialize(sessions.fct_sessions(self.rollup), "sessions")
+        self.funnel = self.sessions.select(*facts)
+        return self
+
     @cached_property
     def daily(self) -> DataFrame:
         return daily.fct_daily_funnel(self.funnel)

@@ -77,6 +77,7 @@ def metric_retention(m: Marts) -> DataFrame:
 
 @query
 def metric_product(m: Marts) -> DataFrame:
+    m.share_sessions()
     metrics = [
         "product_revenue", "product_conversion_rate", "product_attach_rate", "item_views", "item_purchases",
         "orders_with_item",
@@ -86,12 +87,14 @@ def metric_product(m: Marts) -> DataFrame:
 
 @query
 def metric_product_view(m: Marts) -> DataFrame:
+    m.share_sessions()
     metrics = ["product_view_rate", "item_view_sessions"]
     return report(metric_query(m, metrics, ["channel_group", "item_brand"]))
 
 
 @query
 def attach_rate(m: Marts) -> DataFrame:
+    m.share_sessions()
     return report(metric_query(m, ["product_attach_rate", "orders_with_item"], ["item_name"]))
 
 
@@ -135,5 +138,6 @@ def metric_total_orders(m: Marts) -> DataFrame:
 
 @query
 def metric_total_products(m: Marts) -> DataFrame:
+    m.share_sessions()
     item_filter = [{"dimension": "item_category", "op": "IN", "value": ["ECONOMY", "SMALL"]}]
     return report(metric_query(m, ["product_attach_rate", "item_views", "product_revenue"], (), item_filter))
