@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelspark.functions.numeric import money, money_sum
+from funnelspark.session import materialize
 
 QUINTILES = 5
 RANGES = 4096
@@ -31,8 +32,8 @@ def _quintile(users: DataFrame, column: str, best_is_low: bool) -> DataFrame:
     """
     value = -F.col(column) if best_is_low else F.col(column)
     values = users.select(money(value).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("users"))
-    bounds = values.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("users").alias("n"))
-    low, high, n = (bounds.select(c).scalar() for c in ("low", "high", "n"))
+    bounds = values.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("users").alias("n"))).scalar()
+    low, high, n = (bounds.getField(c) for c in ("low", "high", "n"))
     position = (F.col("value") - low).cast("double") / F.greatest((high - low).cast("double"), F.lit(1e-9))
     placed = values.withColumn("range", F.floor(position * RANGES))
     within = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,8 +59,12 @@ def rfm_label() -> Column:
 
 
 def rfm_segment(users: DataFrame) -> DataFrame:
-    """Scores of ``user_id, recency, frequency, monetary`` rows and a label; few days since an order score high."""
-    result = users
+    """Scores of ``user_id, recency, frequency, monetary`` rows and a label; few days since an order score high.
+
+    The buyers are written once: each score reads them for its values and joins
+    them again.
+    """
+    users = result = materialize(users, "buyers")
     for column, best_is_low in (("recency", True), ("frequency", False), ("monetary", False)):
         scores = _quintile(users, column, best_is_low)
         result = result.join(scores, money(column) == F.col(f"{column}_value")).drop(f"{column}_value")

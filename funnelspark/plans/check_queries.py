@@ -70,7 +70,7 @@ def check_ranges(m: Marts) -> DataFrame:
 
 @query
 def check_relationships(m: Marts) -> DataFrame:
-    m.share_sessions()
+    m.share_sessions().share_orders()
     parents = dim_channels(m.spark)
     return checks.all_checks(
         checks.check_relationship(m.funnel, "channel_group", parents, "channel_group", "sessions.channel_group"),

@@ -162,6 +162,7 @@ def item_view_lines(m: Marts) -> DataFrame:
 
 @query
 def buyer_order_counts(m: Marts) -> DataFrame:
+    m.share_orders()
     return report(m.buyer_orders, "order_key", "buyer_user_id", "user_order_count")
 
 

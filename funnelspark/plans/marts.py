@@ -66,6 +66,11 @@ class Marts(Mapping):
         self.funnel = self.sessions.select(*facts)
         return self
 
+    def share_orders(self) -> "Marts":
+        """The same for the orders, which buyer counts are joined back to."""
+        self.orders = materialize(orders.fct_orders(self.raw, self.funnel), "orders")
+        return self
+
     @cached_property
     def daily(self) -> DataFrame:
         return daily.fct_daily_funnel(self.funnel)

@@ -110,6 +110,7 @@ def cac_proxy(m: Marts) -> DataFrame:
 
 @query
 def repeat_purchase_rate(m: Marts) -> DataFrame:
+    m.share_orders()
     metrics = ["repeat_purchase_rate", "purchasers", "repeat_purchasers", "orders"]
     return report(metric_query(m, metrics, ["device_category", "country"]))
 
@@ -133,6 +134,7 @@ def metric_total(m: Marts) -> DataFrame:
 
 @query
 def metric_total_orders(m: Marts) -> DataFrame:
+    m.share_orders()
     return report(metric_query(m, ["orders", "net_revenue", "aov", "repeat_purchase_rate", "purchasers"]))
 
 
