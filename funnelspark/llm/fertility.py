@@ -1,20 +1,10 @@
-"""Token statistics of many texts with a public sentencepiece vocabulary.
-
-No piece of the vocabulary holds a word boundary anywhere but at its start, so
-a text is segmented word by word, and the segmentation of a word is remembered.
-Texts with runs of spaces, or with the boundary character itself, are
-segmented as a whole. The result is that of encoding each whole text.
-"""
+"""Token statistics of whole texts with a public sentencepiece vocabulary."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
-#: Words remembered by a worker; the memory is emptied when full.
-REMEMBERED = 300_000
-BOUNDARY = "▁"
-
 #: First code points of the scripts told apart, in order.
 SCRIPTS = (
     (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Other"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
@@ -26,7 +16,7 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _CODES = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 
-def script(text: str) -> str:
+def script(text: str) -> str | None:
     """The script with most letters in the text; None without letters."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     points = points[(points >= 0xAA) | ((points >= 65) & (points < 91)) | ((points >= 97) & (points < 123))]
@@ -37,18 +27,15 @@ def script(text: str) -> str:
 
 
 class Vocabulary:
+    """A sentencepiece model, loaded once per worker."""
+
     _held: dict[str, Vocabulary] = {}
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
-        pieces = (self.model.id_to_piece(i) for i in range(size))
-        self.by_word = all(BOUNDARY not in p.lstrip(BOUNDARY) for p in pieces)
-        self.known: dict[str, int] = {}
-        self._reset()
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
 
     @classmethod
     def of(cls, path: str) -> Vocabulary:
@@ -56,45 +43,11 @@ class Vocabulary:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def _reset(self) -> None:
-        self.known.clear()
-        self.ids = np.zeros(1 << 20, dtype=np.int32)
-        self.start = np.zeros(1, dtype=np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        encoded = self.model.encode(new, num_threads=1)
-        lengths = np.fromiter(map(len, encoded), np.int64, len(new))
-        flat = np.fromiter((i for e in encoded for i in e), np.int32, int(lengths.sum()))
-        base, n = int(self.start[-1]), len(self.known)
-        while base + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[base : base + len(flat)] = flat
-        self.start = np.concatenate([self.start, base + np.cumsum(lengths)])
-        self.known.update(zip(new, range(n, n + len(new))))
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        parts = text.split(" ")
-        if not self.by_word or BOUNDARY in text or "" in parts:
-            return np.array(self.model.encode(text), dtype=np.int32)
-        if len(self.known) > REMEMBERED:
-            self._reset()
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        start, length = self.start[at], self.start[at + 1] - self.start[at]
-        done = np.cumsum(length)
-        return self.ids[np.arange(done[-1]) + np.repeat(start - done + length, length)]
-
     def fertility(self, column: pa.Array) -> list[pa.Array]:
         """script, n_tokens, characters per token, byte share and relative entropy of each text; null for texts without tokens."""
         out: list[tuple] = []
         for text in column.to_pylist():
-            ids = self.encode(text or "")
+            ids = np.array(self.model.encode(text), dtype=np.int32) if text else ()
             n = len(ids)
             if not n:
                 out.append((None, 0, None, None, None))

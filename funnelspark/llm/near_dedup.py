@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelspark.llm.common import materialize, small_batches
-from funnelspark.llm.textarrays import mix, shingles
+from funnelspark.llm.textarrays import mix, shingles, sorted_in_rows
 
 WORDS = 5
 THRESHOLD = 75
@@ -91,8 +91,9 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         sides = [shingles(batch.column(c), WORDS) for c in ("text_a", "text_b")]
         (ra, va), (rb, vb) = sides
         row, value = np.concatenate([ra, rb]), np.concatenate([va, vb])
-        order = np.lexsort((value, row))
-        row, value = row[order], value[order]
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        value = sorted_in_rows(row, value[order])
         both = np.bincount(row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])], minlength=batch.num_rows)
         union = np.bincount(row, minlength=batch.num_rows) - both
         keep = pa.array((100 * both >= THRESHOLD * union) & (union > 0))

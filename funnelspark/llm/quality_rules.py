@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from funnelspark.llm.common import materialize, small_batches
 from funnelspark.llm.fertility import Vocabulary
-from funnelspark.llm.textarrays import distinct, grams, hashes, is_space, lines, utf8, words
+from funnelspark.llm.textarrays import distinct, grams, hashes, is_space, lines, sorted_in_rows, utf8, words
 
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 8
@@ -59,7 +59,7 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
 
     # words that lie in a window whose words occur at two places or more
     value, row = grams(hashes(data, spans), spans.row, WINDOW)
-    order = np.lexsort((value, row))
+    order = sorted_in_rows(row, value, places=True)
     r, v = row[order], value[order]
     same = (r[1:] == r[:-1]) & (v[1:] == v[:-1])
     twice = np.zeros(len(r), dtype=bool)

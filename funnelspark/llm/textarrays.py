@@ -137,10 +137,26 @@ def grams(word: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return mix(total)[whole], row[:n][whole]
 
 
+def sorted_in_rows(row: np.ndarray, value: np.ndarray, places: bool = False) -> np.ndarray:
+    """Values sorted within each row, where rows come in order; with ``places``, the order that sorts them."""
+    edges = np.flatnonzero(np.diff(row)) + 1
+    bounds = np.concatenate([[0], edges, [len(row)]]).tolist()
+    out = np.arange(len(row)) if places else value.copy()
+    for start, end in zip(bounds, bounds[1:]):
+        if end - start > 1:
+            if places:
+                out[start:end] = np.argsort(value[start:end]) + start
+            else:
+                out[start:end].sort()
+    return out
+
+
 def distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (row, value) pairs in order, and how often each occurs."""
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+    if len(row) > 1 and (np.diff(row) < 0).any():
+        order = np.argsort(row, kind="stable")
+        row, value = row[order], value[order]
+    value = sorted_in_rows(row, value)
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     at = np.flatnonzero(new)
