@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from funnelspark.session import materialize, scratch_path
 
-__all__ = ["bounded_rows", "materialize", "read_table", "release", "scratch_path", "small_batches", "with_row_key"]
+__all__ = ["bounded_rows", "let", "materialize", "read_table", "release", "scratch_path", "small_batches", "with_row_key"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*parts)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def with_row_key(docs: DataFrame, name: str = "row_key") -> DataFrame:
     return docs.withColumn(name, row_key("doc_id", "text"))
 

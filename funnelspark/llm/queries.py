@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelspark.llm import language_id, near_dedup, packing, quality_rules
+from funnelspark.llm import language_id, line_dedup, near_dedup, packing, quality_rules, secret_scan
 from funnelspark.llm.common import read_table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda x: x["kind"] < 3)
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(kind).alias(f"n_{name}") for kind, name in enumerate(secret_scan.KINDS[:3])),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"),
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = line_dedup.mark(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ranges = F.coalesce("removed_ranges", F.array().cast("array<struct<first:int,last:int>>"))
+    removed = F.aggregate(ranges, F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    listed = F.array_join(F.transform(ranges, lambda x: F.concat_ws("-", x["first"], x["last"])), ",")
+    text = line_dedup.without_ranges(F.col("text"), F.col("removed_ranges"))
+    return marked.select("doc_id", removed.alias("removed_lines"), listed.alias("removed_ranges"), text.alias("text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -29,6 +48,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_language_id, op8_minhash_near_dedup, op9_packing, op10_quality_rules)
+    f.__name__: f for f in (
+        op1_secret_scan, op3_line_dedup, op5_language_id, op8_minhash_near_dedup, op9_packing, op10_quality_rules,
+    )
 }
 ORACLES: dict[str, str] = {}
