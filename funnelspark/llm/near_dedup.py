@@ -33,7 +33,7 @@ WORDS = 5
 THRESHOLD = 75
 BINS = 128
 ROWS = 4
-ROUNDS = ("leader", "drawn", "pairs", "drawn2")
+ROUNDS = ("leader", "drawn", "pairs")
 
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, 2 * BINS, dtype=np.uint64)
 
@@ -106,8 +106,12 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is two grouped minima and joins; no neighbourhood is collected.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    state = None
     while True:
+        # done when every node has one edge, to a node that has none itself
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out")))
+        open_ = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count("*").alias("n")).filter("out > 1 OR (out = 1 AND n > 1)")
+        if open_.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
@@ -116,31 +120,23 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
         )).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         edges = materialize(small, "edges")
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = seen
 
 
-def _proposals(classes: DataFrame, kind: str) -> DataFrame:
-    """(key, rep, n, component): the buckets that each class takes part in."""
-    if kind.startswith("pairs"):
-        step = 1 if kind == "pairs" else 5
-        parts = F.transform(F.col("bands"), lambda h, i: F.xxhash64(i, h, F.element_at("bands", (i + step) % (BINS // ROWS) + 1)))
-    else:
-        parts = F.transform(F.col("bands"), lambda h, i: F.xxhash64(i, h))
-    return classes.select("rep", "n", "component", F.explode(parts).alias("key"))
+def _buckets(classes: DataFrame, step: int = 0) -> DataFrame:
+    """(key, rep, n): the buckets of each class, by one band or by two bands ``step`` apart."""
+    last = F.lit(BINS // ROWS)
+    parts = F.transform(F.col("bands"), lambda h, i: F.xxhash64(i, h, F.element_at("bands", (i + step) % last + 1)) if step else F.xxhash64(i, h))
+    return classes.select("rep", "n", F.explode(parts).alias("key"))
 
 
-def _candidates(classes: DataFrame, kind: str) -> DataFrame:
+def _candidates(inside: DataFrame, kind: str) -> DataFrame:
     """Pairs (a, b) of a bucket's leader and its other classes in other components, where sizes allow a link."""
-    spread = _proposals(classes, kind)
     rank = F.struct("rep", "n", "component") if kind == "leader" else F.struct(
-        F.xxhash64("key", "rep", F.lit(kind)).alias("draw"), "rep", "n", "component")
-    leaders = spread.groupBy("key").agg(F.min(rank).alias("top"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1")
+        F.xxhash64("key", "rep").alias("draw"), "rep", "n", "component")
+    leaders = inside.groupBy("key").agg(F.min(rank).alias("top"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1")
     leaders = leaders.select("key", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"), F.col("top.component").alias("lead_c"))
     fits = (100 * F.least("n", "lead_n") >= THRESHOLD * F.greatest("n", "lead_n")) & (F.col("component") != F.col("lead_c"))
-    pairs = spread.join(leaders, "key").filter(fits)
+    pairs = inside.join(leaders, "key").filter(fits)
     return pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
 
@@ -148,8 +144,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
     Null, empty and blank texts have no shingle and are linked with nothing, as
-    are rows without doc_id (component_id null, kept). Rows that share a doc_id
-    are one document. Extra columns are ignored.
+    are rows without doc_id (component_id null, kept). Repeated rows are one
+    document; texts that differ under one doc_id are linked each on its own.
+    Extra columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialize(texts.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
@@ -158,20 +155,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         usable.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")),
         "classes",
     )
-    member = usable.select("doc_id", "d1", "d2", F.col("n_shingles").alias("n")).join(classes.drop("bands"), ["d1", "d2", "n"])
-    # rows that share a doc_id join their classes
-    links = materialize(member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "links")
-    plain = classes.select("rep", "n", "bands").withColumn("component", F.col("rep"))
-
-    # the texts of all classes that share a bucket, taken out of the documents once
-    spread = _proposals(plain, "leader")
+    # buckets of two classes or more, and the texts of those classes, taken out of the documents once
+    spread = _buckets(classes)
     shared = spread.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    wanted = materialize(spread.join(shared, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    inside = materialize(spread.join(shared, "key", "left_semi"), "buckets")
+    wanted = materialize(inside.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     held = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate_texts")
+    grouped = classes.join(wanted, F.col("rep") == F.col("doc_id"), "left_semi")
 
-    confirmed, current, tested = None, plain, None
+    confirmed = tested = label = None
     for kind in ROUNDS:
-        pairs = _candidates(current, kind)
+        members = _buckets(grouped, 1) if kind == "pairs" else inside
+        if label is None:
+            members = members.withColumn("component", F.col("rep"))
+        else:
+            members = members.join(label, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+        pairs = _candidates(members, kind)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -183,12 +182,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             continue
         confirmed = found if confirmed is None else confirmed.unionByName(found)
         label = components(confirmed)
-        current = plain.drop("component").join(label, F.col("rep") == F.col("node"), "left").drop("node").withColumn(
-            "component", F.coalesce("component", "rep"))
-    edges = links if confirmed is None else links.unionByName(confirmed)
-    label = components(edges)
-    return sets.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
+    member = classes.drop("bands")
+    if label is not None:
+        member = member.join(label, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep")).drop("node", "component")
+    rows = sets.select("doc_id", "d1", "d2", F.col("n_shingles").alias("n"))
+    component = F.when(F.col("n") > 0, F.least("doc_id", "rep")).otherwise(F.col("doc_id"))
+    return rows.join(member, ["d1", "d2", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
