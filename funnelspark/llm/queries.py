@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelspark.llm import language_id, line_dedup, lm_scoring, near_dedup, packing, quality_rules, secret_scan
+from funnelspark.llm import language_id, line_dedup, lm_scoring, near_dedup, packing, quality_rules, secret_scan, warc
 from funnelspark.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read_table(spark, sf_dir, "pages"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.score(read_table(spark, sf_dir, "documents"))
     return scored.withColumns({"log_score": F.round("log_score", 4), "per_word": F.round("per_word", 6)})
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op3_line_dedup, op5_language_id, op7_lm_scoring, op8_minhash_near_dedup, op9_packing, op10_quality_rules,
+        op1_secret_scan, op3_line_dedup, op5_language_id, op6_warc, op7_lm_scoring, op8_minhash_near_dedup, op9_packing, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {"op7_lm_scoring": lm_scoring.ORACLE}
+ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE, "op7_lm_scoring": lm_scoring.ORACLE}
