@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelspark.llm import language_id, line_dedup, lm_scoring, near_dedup, packing, quality_rules, secret_scan, warc
+from funnelspark.llm import ann, language_id, line_dedup, lm_scoring, near_dedup, packing, quality_rules, secret_scan, warc
 from funnelspark.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", removed.alias("removed_lines"), listed.alias("removed_ranges"), text.alias("text"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op3_line_dedup, op5_language_id, op6_warc, op7_lm_scoring, op8_minhash_near_dedup, op9_packing, op10_quality_rules,
+        op1_secret_scan, op3_line_dedup, op4_nearest_neighbours, op5_language_id, op6_warc, op7_lm_scoring, op8_minhash_near_dedup, op9_packing, op10_quality_rules,
     )
 }
 ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE, "op7_lm_scoring": lm_scoring.ORACLE}
