@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelspark.llm import ann, language_id, line_dedup, lm_scoring, near_dedup, packing, quality_rules, secret_scan, warc
+from funnelspark.llm import ann, language_id, line_dedup, lm_scoring, near_dedup, packing, piece_sampling, quality_rules, secret_scan, warc
 from funnelspark.llm.common import read_table
 
 
@@ -21,6 +21,15 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = piece_sampling.encode_digest(docs)
+    return found.select(
+        "doc_id", "sample", F.col("ids.n").alias("n_ids"), F.crc32("ids.ids").alias("ids_crc32"), F.crc32("ids.text").alias("decoded_crc32"),
+        "log_prob", "perturbed", "inclusion",
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.mark(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     ranges = F.coalesce("removed_ranges", F.array().cast("array<struct<first:int,last:int>>"))
@@ -62,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secret_scan, op3_line_dedup, op4_nearest_neighbours, op5_language_id, op6_warc, op7_lm_scoring, op8_minhash_near_dedup, op9_packing, op10_quality_rules,
+        op1_secret_scan, op2_sentencepiece_sampling, op3_line_dedup, op4_nearest_neighbours, op5_language_id, op6_warc, op7_lm_scoring, op8_minhash_near_dedup, op9_packing, op10_quality_rules,
     )
 }
 ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE, "op7_lm_scoring": lm_scoring.ORACLE}
