@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from funnelspark.session import materialize, scratch_path
 
-__all__ = ["bounded_rows", "let", "materialize", "read_table", "release", "scratch_path", "small_batches", "with_row_key"]
+__all__ = ["bounded_rows", "let", "materialize", "read_table", "release", "replace_text", "scratch_path", "small_batches", "with_row_key"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def replace_text(docs: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """``docs`` with a new ``text``; ``n_chars``, where there is one, follows it in rows that ``changed``."""
+    out = docs.withColumns({"_changed": changed, "text": text})
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.drop("_changed")
+
+
 def with_row_key(docs: DataFrame, name: str = "row_key") -> DataFrame:
     return docs.withColumn(name, row_key("doc_id", "text"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import let, materialize
+from funnelspark.llm.common import let, materialize, replace_text
 
 MIN_LINES = 2
 
@@ -91,19 +91,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text are one document: they keep the same lines. Rows without doc_id come first.
     """
     marked = mark(docs)
-    columns = {"text": without_ranges(F.col("text"), F.col("removed_ranges"))}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col("removed_ranges").isNull(), F.col("n_chars")).otherwise(F.length(columns["text"])).cast(kind)
-    return marked.withColumns(columns).select(*docs.columns)
+    text = without_ranges(F.col("text"), F.col("removed_ranges"))
+    return replace_text(marked, text, F.col("removed_ranges").isNotNull()).select(*docs.columns)
 
 
 def drop_emptied(docs: DataFrame) -> DataFrame:
     """``dedup_lines`` without the rows that lost all of their text."""
     marked = mark(docs)
-    whole = without_ranges(F.col("text"), F.col("removed_ranges"))
-    columns = {"text": whole}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("removed_ranges").isNull(), F.col("n_chars")).otherwise(F.length(whole)).cast(docs.schema["n_chars"].dataType)
-    kept = marked.withColumns(columns).filter(F.col("removed_ranges").isNull() | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
-    return kept.select(*docs.columns)
+    text = without_ranges(F.col("text"), F.col("removed_ranges"))
+    new = replace_text(marked, text, F.col("removed_ranges").isNotNull())
+    return new.filter(F.col("removed_ranges").isNull() | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")).select(*docs.columns)

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import bounded_rows, let, row_key
+from funnelspark.llm.common import bounded_rows, let, replace_text, row_key
 
 # The patterns, in the order in which spans at one place are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -172,7 +172,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", model: list[float] | None =
     )
     pieces = F.aggregate("secrets", state, step, lambda a: F.concat(a["out"], F.array(F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))))
     text = F.when(F.col("_n") == 0, F.col("text")).otherwise(F.array_join(pieces, ""))
-    columns = {"text": text}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_n") == 0, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return found.withColumns(columns).select(*docs.columns)
+    return replace_text(found, text, F.col("_n") > 0).select(*docs.columns)
