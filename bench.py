@@ -16,9 +16,9 @@ from funnelspark.plans.registry import REGISTRY
 from funnelspark.session import local_session
 
 HEADLINE = (
-    "stg_events", "stg_event_params", "sessionized", "fct_funnel", "fct_daily_funnel", "fct_orders", "fct_order_items",
-    "funnel_by_dim", "metric_traffic", "metric_revenue", "metric_retention", "metric_product", "attribution_models",
-    "items_scd2", "rfm_scores", "decompose_week_pairs", "anomaly_weekly", "diagnosis_weeks", "suppression",
+    "stg_events", "stg_event_params", "sessionized", "funnel_steps", "fct_funnel", "fct_daily_funnel", "weekly_funnel", "fct_orders", "fct_order_items",
+    "funnel_by_dim", "metric_funnel", "metric_conversion", "traffic_share", "metric_traffic", "metric_revenue", "metric_retention", "metric_product", "attribution_models",
+    "items_scd2", "rfm_scores", "decompose_week_pairs", "anomaly_weekly", "diagnosis_weeks", "critic_verdict", "suppression",
     "experiment_design", "benchmark_accuracy", "check_relationships", "streaming_daily_funnel",
 )
 

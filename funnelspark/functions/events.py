@@ -150,9 +150,9 @@ def calendar_parts(date: Column | str = "event_date") -> list[Column]:
     ]
 
 
-def typed_literal(value) -> Column:
-    """Literal with the type a filter value means; ISO dates become DATE."""
-    if isinstance(value, str) and len(value) == 10 and value[4] == value[7] == "-":
+def typed_literal(value, is_date: bool) -> Column:
+    """Literal of a filter value; the dimension says whether it is a date. A malformed date is a ValueError."""
+    if is_date and isinstance(value, str):
         return F.lit(dt.date.fromisoformat(value))
     return F.lit(value)
 

@@ -17,7 +17,14 @@ HORIZONS = (1, 7, 30)
 
 
 def user_days(sessions: DataFrame, dims=COHORT_DIMS) -> DataFrame:
-    """One row per user: first session's dimensions and the sorted days with a session."""
+    """One row per user: first session's dimensions and the sorted days with a session.
+
+    Without dimensions only user and day are read.
+    """
+    if not dims:
+        days = sessions.select("user_pseudo_id", "event_date").distinct().groupBy("user_pseudo_id").agg(
+            F.array_sort(F.collect_list("event_date")).alias("days"))
+        return days.select("user_pseudo_id", F.get("days", F.lit(0)).alias("first_date"), "days")
     daily = sessions.groupBy("user_pseudo_id", "event_date").agg(
         F.min(F.struct("session_start_ts", "session_key", *dims)).alias("first")
     )
@@ -64,7 +71,10 @@ def retention_curve(sessions: DataFrame) -> DataFrame:
 
 
 def cohort_retention(sessions: DataFrame, periods: int, grain: str = "week") -> DataFrame:
-    """Share of each cohort active 0 .. periods-1 grains after its first, one column per age."""
+    """Share of each cohort active 0 .. periods-1 grains after its first, one column per age.
+
+    A period that starts after the newest day of the data is NULL: nobody could be seen in it.
+    """
     if grain not in ("day", "week", "month"):
         raise ValueError(f"unknown cohort grain {grain!r}")
     users = user_days(sessions, ())
@@ -80,8 +90,10 @@ def cohort_retention(sessions: DataFrame, periods: int, grain: str = "week") ->
         .groupBy("cohort").pivot("age", list(range(periods))).agg(F.count(F.lit(1)))
         .fillna(0)
     )
+    newest = sessions.agg(F.max("event_date")).scalar()
+    begins = lambda p: F.expr(f"cohort + make_interval(0, {p}, 0, 0)" if grain == "month" else f"date_add(cohort, {p * (7 if grain == 'week' else 1)})")
     # everyone is active in period 0, so its count is the size of the cohort
     return matrix.select(
         "cohort", F.col("0").alias("cohort_size"),
-        *[safe_divide(str(p), "0").alias(f"period_{p}") for p in range(periods)],
+        *[F.when(begins(p) <= newest, safe_divide(str(p), "0")).alias(f"period_{p}") for p in range(periods)],
     )

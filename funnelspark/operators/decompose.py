@@ -88,10 +88,11 @@ def summarize_effects(
     return with_delta.select("*", dominant_effect().alias("dominant"), is_additive().alias("additive"))
 
 
-def top_drivers(effects: DataFrame, by: Sequence[str] = ("comparison_id",), k: int = 8) -> DataFrame:
-    """The k segments with the largest total effect; Spark cuts to k before the shuffle."""
+def top_drivers(effects: DataFrame, by: Sequence[str] = ("comparison_id",), k: int | None = None) -> DataFrame:
+    """All segments ranked by total effect, or the first k, to which Spark cuts before the shuffle."""
     order = Window.partitionBy(*by).orderBy(F.abs("total").desc(), "segment")
-    return effects.withColumn("driver_rank", F.row_number().over(order)).filter(F.col("driver_rank") <= k)
+    ranked = effects.withColumn("driver_rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("driver_rank") <= k)
 
 
 def top_segment(effects: DataFrame, by: Sequence[str] = ("comparison_id",)) -> DataFrame:

@@ -20,7 +20,6 @@ from funnelspark.operators.significance import two_proportion_ztest
 from funnelspark.session import materialize
 
 PAIR = ("w0", "w1")
-MAX_DRIVERS = 8
 
 # Bounds of the drill-down.
 MAX_BRANCHING = 4
@@ -29,10 +28,6 @@ MIN_RATE_EFFECT = 0.003
 DRILL_ALPHA = 0.05
 
 
-def weeks_in(weekly: DataFrame) -> DataFrame:
-    return weekly.select("week").distinct().orderBy("week")
-
-
 def _weekly_conversion(weekly: DataFrame) -> DataFrame:
     """One row per week with the conversion of the week before it in the data."""
     series = conversion_series(weekly).select("week", F.coalesce("conversion", F.lit(0.0)).alias("conversion"))
@@ -149,8 +144,8 @@ def diagnose(weekly: DataFrame, pairs: DataFrame) -> DataFrame:
     summary = two_proportion_ztest(
         summarize_effects(effects, PAIR, totals), "purchasing_sessions_t0", "sessions_t0", "purchasing_sessions_t1", "sessions_t1"
     )
-    drivers = top_drivers(effects, PAIR, MAX_DRIVERS).groupBy(*PAIR).agg(
-        F.array_sort(F.collect_list(F.struct(  # at most MAX_DRIVERS entries
+    drivers = top_drivers(effects, PAIR).groupBy(*PAIR).agg(
+        F.array_sort(F.collect_list(F.struct(  # one entry for each segment of the pair
             "driver_rank", "segment",
             (F.col("total") * 100).alias("total_pts"), (F.col("mix") * 100).alias("mix_pts"),
             (F.col("rate") * 100).alias("rate_pts"),

@@ -74,9 +74,9 @@ def design_experiments(
 def experiment_population(judged: DataFrame) -> DataFrame:
     """Baseline and traffic of the population to test, for rate findings that were not refuted.
 
-    The drivers that share the top driver's device are pooled, weighted by their
-    traffic of the compare week. Drivers are few per diagnosis, so this is array
-    work on one row.
+    All segments that share the top driver's device are pooled, weighted by their
+    traffic of the compare week. A diagnosis has an entry for each segment, so this
+    is array work on one row.
     """
     def device(segment: Column) -> Column:
         return F.element_at(F.split(segment, " / "), -1)

@@ -132,11 +132,12 @@ def drop_acknowledged(candidates: DataFrame, suppressions: DataFrame, now: dt.da
 
 def similar_findings(
     memory: DataFrame, candidate: Column, as_of: dt.date, k: int = 10,
-    vector: str = "embedding", reported: str = "as_of", decay_days: float = PRIOR_DECAY_DAYS,
+    vector: str = "embedding", reported: str = "as_of", decay_days: float = PRIOR_DECAY_DAYS, key: str = "vec_id",
 ) -> DataFrame:
     """The k remembered findings closest to ``candidate``, older ones counting less.
 
     Cosine similarity times exp(-age / decay); one scan and a distributed top-k.
+    Equal scores are ordered by ``key``.
     """
     def dot(a: Column, b: Column) -> Column:
         products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -151,5 +152,5 @@ def similar_findings(
         scored.withColumn("age_days", age)
         .withColumn("score", F.col("similarity") * F.exp(-F.col("age_days") / decay_days))
         .drop("candidate", vector)
-        .orderBy(F.col("score").desc()).limit(k)
+        .orderBy(F.col("score").desc(), key).limit(k)
     )

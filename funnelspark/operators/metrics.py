@@ -258,16 +258,22 @@ class Filter:
     def condition(self) -> Column:
         column, op = _dimension(self.dimension), self.op.upper()
         if op in _COMPARE:
-            return _COMPARE[op](column, typed_literal(self.value))
+            return _COMPARE[op](column, self._literal(self.value))
         if op == "BETWEEN":
             low, high = self.value
-            return column.between(typed_literal(low), typed_literal(high))
+            return column.between(self._literal(low), self._literal(high))
         if op == "IN":
-            return column.isin(*[typed_literal(v) for v in self.value])
+            return column.isin(*[self._literal(v) for v in self.value])
         if op == "NOT IN":
-            return ~column.isin(*[typed_literal(v) for v in self.value])
+            return ~column.isin(*[self._literal(v) for v in self.value])
         raise SemanticError(f"unsupported filter op {self.op!r}")
 
+    def _literal(self, value) -> Column:
+        try:
+            return typed_literal(value, self.dimension in TIME_DIMS)
+        except ValueError as error:
+            raise SemanticError(f"{value!r} is not a date, which {self.dimension} asks for") from error
+
 
 # ── query ─────────────────────────────────────────────────────────────────────
 
@@ -405,6 +411,10 @@ def metric_query(
     def frame(source: str, over_all_items: bool, group: list[Part]) -> tuple[list[str], DataFrame]:
         skip = ITEM_DIMS if over_all_items else ()
         kept = [c for d, c in conditions if d not in skip]
+        have = set(tables[source].columns)
+        absent = [d for d, _ in conditions if d not in skip and d not in TIME_DIMS and d not in have]
+        if absent:
+            raise SemanticError(f"metrics of {source} cannot be filtered by {absent[0]}")
         names = [d for d in dims if d not in skip]
         table = tables[source].filter(all_of(kept)) if kept else tables[source]
         return names, _aggregate(table, source, [_dimension(d) for d in names], names, group, trust_grain)

@@ -82,10 +82,11 @@ def with_order_counts(orders: DataFrame) -> DataFrame:
 
     A window over the buyer would gather all orders of one buyer in one task;
     the counts combine on the map side, and adaptive execution can split the
-    orders of a hot buyer in the join.
+    orders of a hot buyer in the join. An order without a buyer stands alone.
     """
     counts = orders.groupBy("buyer_user_id").agg(F.count(F.lit(1)).alias("user_order_count"))
-    return orders.join(counts, "buyer_user_id")
+    joined = orders.join(counts, "buyer_user_id", "left")
+    return joined.withColumn("user_order_count", F.coalesce("user_order_count", F.lit(1).cast("long")))
 
 
 def order_line_key():
@@ -112,20 +113,32 @@ def item_view_lines(raw: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row per session and viewed item, with the session's dimensions.
 
     Repeated views of an item in a session are counted in ``views`` before the
-    join, so the join sees each (session, item) once.
+    join, so the join sees each (session, item) once. Views without a session
+    are counted per item and day, in channel Other, as orders are.
     """
     views = (
         raw.filter(F.col("event_name") == "view_item")
         .select(
             session_key("user_pseudo_id", event_param("ga_session_id", "int")).alias("session_key"),
+            F.to_date(F.timestamp_micros("event_timestamp")).alias("view_date"),
             F.explode("items").alias("item"),
         )
-        .filter(F.col("session_key").isNotNull())
-        .groupBy("session_key", "item.item_id", "item.item_name", "item.item_brand", "item.item_category")
-        .agg(F.count(F.lit(1)).alias("views"))
+        .withColumn("lone_date", F.when(F.col("session_key").isNull(), F.col("view_date")))
+        .groupBy("session_key", "lone_date", "item.item_id", "item.item_name", "item.item_brand", "item.item_category")
+        .agg(F.count(F.lit(1)).alias("views"), F.min("view_date").alias("view_date"))
+    )
+    # a key of their own spreads the rows without a session over the join
+    own_key = F.concat_ws(" ", F.lit("no session"), "lone_date", "item_id")
+    keyed = views.withColumn("join_key", F.coalesce("session_key", own_key))
+    dims = sessions.select(F.col("session_key").alias("join_key"), "event_date", "channel_group", "device_category", "country")
+    joined = keyed.join(dims, "join_key", "left").withColumns({
+        "event_date": F.coalesce("event_date", "view_date"), "channel_group": F.coalesce("channel_group", F.lit("Other")),
+        "item_viewed_in_session": F.lit(True),
+    })
+    return joined.select(
+        "session_key", "item_id", "item_name", "item_brand", "item_category", "views", "event_date", "channel_group", "device_category",
+        "country", "item_viewed_in_session",
     )
-    dims = sessions.select("session_key", "event_date", "channel_group", "device_category", "country")
-    return views.join(dims, "session_key").withColumn("item_viewed_in_session", F.lit(True))
 
 
 def item_lines(order_items: DataFrame, view_lines: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from funnelspark.functions.numeric import money, money_sum
 from funnelspark.session import materialize
 
 QUINTILES = 5
-RANGES = 4096
+RANGES = 512
 
 
 def buyer_totals(orders: DataFrame, as_of: dt.date, user: str, order_date: str, amount: str) -> DataFrame:
@@ -27,18 +27,20 @@ def _quintile(users: DataFrame, column: str, best_is_low: bool) -> DataFrame:
     """Score 1..5 per distinct value, from the share of users below it; equal values score alike.
 
     Users are first counted per distinct value. The running count over values is
-    taken in two steps, inside equal value ranges and over the range totals, so
-    no single task sees all values.
+    taken in two steps, inside ranges between quantiles of the values and over the
+    range totals, so no task sees more than a few hundredths of the values,
+    however they are spread.
     """
     value = -F.col(column) if best_is_low else F.col(column)
     values = users.select(money(value).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("users"))
-    bounds = values.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("users").alias("n"))).scalar()
-    low, high, n = (bounds.getField(c) for c in ("low", "high", "n"))
-    position = (F.col("value") - low).cast("double") / F.greatest((high - low).cast("double"), F.lit(1e-9))
-    placed = values.withColumn("range", F.floor(position * RANGES))
+    shares = [i / RANGES for i in range(1, RANGES)]
+    bounds = values.agg(F.struct(F.percentile_approx("value", shares, 10 * RANGES).alias("cuts"), F.sum("users").alias("n"))).scalar()
+    cuts, n = bounds.getField("cuts"), bounds.getField("n")
+    # the place of a value among the cuts; equal values share theirs
+    placed = values.withColumn("range", F.array_position(F.sort_array(F.array_append(cuts, F.col("value"))), F.col("value")))
     within = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     per_range = placed.groupBy("range").agg(F.sum("users").alias("range_users"))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
     offsets = per_range.select("range", F.coalesce(F.sum("range_users").over(earlier), F.lit(0)).alias("before_range"))
     below = F.col("before_range") + F.coalesce(F.sum("users").over(within), F.lit(0))
     scored = placed.join(offsets, "range").withColumn("below", below)

@@ -19,6 +19,8 @@ SIGMA_FLOOR = 1e-12
 # Defaults of the alternative detectors.
 SCORE_THRESHOLD = 3.0
 EWMA_ALPHA = 0.3
+# Points folded into one array before they are added to the rest.
+EWMA_BLOCK = 256
 IQR_FENCE = 1.5
 
 
@@ -103,7 +105,8 @@ def ewma_anomaly(
     """Residuals against an exponentially weighted level of the earlier points.
 
     The level depends on its own previous value, so the points of a series (one
-    per period) are folded in order as one array.
+    per period) are folded in order, in blocks that carry the level on; the cost
+    is linear in the length of the series.
     """
     entry = F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("value"))
     ordered = points.groupBy(series).agg(F.array_sort(F.collect_list(entry)).alias("points"))
@@ -116,7 +119,16 @@ def ewma_anomaly(
         following = F.when(level.isNull(), point["value"]).otherwise(alpha * point["value"] + (1 - alpha) * level)
         return F.struct(following.alias("level"), F.concat(state["out"], F.array(scored)).alias("out"))
 
-    folded = ordered.select(series, F.explode(F.aggregate("points", start, step, lambda s: s["out"])).alias("p"))
+    # a block's points are added to a short array, the blocks to an array of blocks
+    starts = F.sequence(F.lit(0), F.size("points") - 1, F.lit(EWMA_BLOCK))
+    blocks = F.transform(starts, lambda s: F.slice("points", s + 1, EWMA_BLOCK))
+    empty = F.struct(F.lit(None).cast("double").alias("level"), F.array().cast(f"array<{out_type}>").alias("out"))
+
+    def fold(state: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(state["level"].alias("level"), start["out"].alias("out")), step)
+        return F.transform(F.array(inner), lambda r: F.struct(r["level"].alias("level"), F.concat(state["out"], F.array(r["out"])).alias("out")))[0]
+
+    folded = ordered.select(series, F.explode(F.flatten(F.aggregate(blocks, empty, fold, lambda s: s["out"]))).alias("p"))
     flat = folded.select(series, F.col("p.t").alias(t), F.col("p.value").alias(value), F.col("p.level").alias("level"))
     residual = F.col(value) - F.col("level")
     sigma = F.stddev_pop(residual).over(Window.partitionBy(series))

@@ -12,7 +12,6 @@ from funnelspark.functions.numeric import money_sum
 from funnelspark.operators import attribution, cohorts, daily, dims, orders, rfm, sessions, staging
 from funnelspark.plans.common import query, report
 from funnelspark.plans.marts import Marts
-from funnelspark.session import spread
 
 RFM_AS_OF = dt.date(2001, 1, 1)
 FUNNEL_DIMS = ("channel_group", "device_category", "country", "operating_system")
@@ -180,7 +179,7 @@ def priced_parts(m: Marts) -> DataFrame:
     """Unit price of every sold part on its ship date."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     unit_cents = F.floor(cents / F.col("l_quantity").cast("long"))
-    lines = spread(m.table("lineitem")).select(
+    lines = m.table("lineitem").select(
         F.col("l_partkey"), F.col("l_shipdate").cast("timestamp").alias("observed_ts"),
         (unit_cents / 100).alias("price_in_usd"),
     )
@@ -206,6 +205,13 @@ def cohort_retention(m: Marts) -> DataFrame:
     return report(cohorts.cohort_retention(m.sessions, periods=5, grain="week"))
 
 
+@query
+def cohort_retention_orders(m: Marts) -> DataFrame:
+    """Monthly retention of the buyers of years of orders: a matrix of many cohorts."""
+    visits = m.table("orders").select(F.col("o_custkey").alias("user_pseudo_id"), F.to_date("o_orderdate").alias("event_date"))
+    return report(cohorts.cohort_retention(visits, periods=5, grain="month"))
+
+
 @query
 def retention_curve(m: Marts) -> DataFrame:
     m.share_sessions()

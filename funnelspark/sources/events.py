@@ -33,9 +33,9 @@ def read_events_default_window(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_event_shards(spark: SparkSession, pattern: str, start=None, end=None) -> DataFrame:
-    """Union of day folders named ``<prefix>YYYYMMDD``; the name gives the date."""
+    """Union of day folders named ``<prefix>YYYYMMDD``; the name gives the date, and only files of the window are read."""
     shards = spark.read.schema(RAW_EVENT).parquet(pattern)
-    suffix = F.regexp_extract(F.input_file_name(), r"(\d{8})(?:/[^/]*)?$", 1)
+    suffix = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{8})(?:/[^/]*)?$", 1)
     return date_window(shards.withColumn("event_date", F.to_date(suffix, "yyyyMMdd")), start, end)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelspark.schema import TEST_TABLES
-from funnelspark.session import spread
 
 # Fixed values of the mapping: source/medium pair per index.
 CHANNEL_PAIRS = (
@@ -21,8 +20,8 @@ DEVICES = ("mobile", "desktop", "tablet")
 SYSTEMS = ("Windows", "Macintosh", "iOS", "Android")
 BROWSERS = ("Chrome", "Safari", "Edge", "Firefox")
 
-# The JSON field k is 0..99, so items only ever name the first hundred parts.
-ITEM_PARTS = 100
+# Fixed values of the mapping: factors that spread the items of events over all parts.
+ITEM_FACTORS = (7919, 104729)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,7 +122,7 @@ ITEMS = f"""if(event_name IN ('view_item', 'purchase'),
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with the helper columns of the mapping."""
-    return spread(read_table(spark, sf_dir, "events")).selectExpr(*FLAT)
+    return read_table(spark, sf_dir, "events").selectExpr(*FLAT)
 
 
 def _with_session_number(events: DataFrame) -> DataFrame:
@@ -142,28 +141,27 @@ def _with_session_number(events: DataFrame) -> DataFrame:
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # user_id % 25 picks the key, so at most 25 rows can match
-    nation = read_table(spark, sf_dir, "nation").filter("n_nationkey BETWEEN 0 AND 24")
+    nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
     joined = nation.join(region, F.expr("n_regionkey = r_regionkey"), "left")
     return joined.selectExpr("n_nationkey", "n_name AS country", "r_name AS region")
 
 
 def _join_parts(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joins the one or two parts an event can name."""
-    parts = (
-        read_table(spark, sf_dir, "part")
-        .filter(f"p_partkey BETWEEN 0 AND {ITEM_PARTS - 1}")
-        .select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
-    )
-    first = F.broadcast(parts).alias("first")  # at most ITEM_PARTS rows
-    second = F.broadcast(parts).alias("second")
-    with_first = events.join(first, F.expr("k = first.p_partkey"), "left")
-    return with_first.join(second, F.expr(f"(k * 7) % {ITEM_PARTS} = second.p_partkey"), "left")
+    """Joins the one or two parts an event names, out of all parts; events without items name none."""
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
+    count = parts.agg(F.count(F.lit(1))).scalar()
+    shows = F.col("event_name").isin("view_item", "purchase")
+    named = events.withColumns({
+        "first_part": F.when(shows, F.pmod(F.col("event_id") * ITEM_FACTORS[0] + F.col("k"), count)),
+        "second_part": F.when(shows & (F.col("k") % 3 == 0), F.pmod(F.col("event_id") * ITEM_FACTORS[1] + F.col("k") * 7, count)),
+    })
+    with_first = named.join(parts.alias("first"), F.expr("first_part = first.p_partkey"), "left")
+    return with_first.join(parts.alias("second"), F.expr("second_part = second.p_partkey"), "left")
 
 
 def raw_events(spark: SparkSession, sf_dir: str, items: bool = False) -> DataFrame:
-    """Nested raw events. ``items`` adds the line items (two small joins)."""
+    """Nested raw events. ``items`` adds the line items (two joins with the parts)."""
     events = _with_session_number(flat_events(spark, sf_dir))
     events = events.join(_geo(spark, sf_dir), F.expr("user_id % 25 = n_nationkey"), "left")
     named = events.selectExpr("*", EVENT_NAME, "(user_id + d) % 12 AS pair")

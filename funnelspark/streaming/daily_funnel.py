@@ -99,9 +99,3 @@ def stream_daily_funnel(
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
-
-
-def windowed_event_counts(stream: DataFrame) -> DataFrame:
-    """Events per day and name; rows later than the watermark are left out of the stream's result."""
-    counts = stream.groupBy(F.window("event_ts", "1 day"), "event_name").agg(F.count(F.lit(1)).alias("events"))
-    return counts.select(F.to_date("window.start").alias("event_date"), "event_name", "events")

@@ -205,7 +205,7 @@ _driver = ", ".join(f"{r(f'{c} * 100', 6)} AS {n}" for c, n in (
     ("total", "total_pts"), ("mix", "mix_pts"), ("rate", "rate_pts"), ("r_t0", "conv_t0_pct"), ("r_t1", "conv_t1_pct")))
 ORACLES["top_drivers"] = with_sessions(f"""
 SELECT w0, w1, driver_rank, segment, {_driver}, CAST(round_even(w_t1 * sessions_t1, 0) AS BIGINT) AS sessions_t1
-FROM ranked JOIN tot USING (w0, w1) WHERE driver_rank <= 8""", *WEEK_DIAG)
+FROM ranked JOIN tot USING (w0, w1)""", *WEEK_DIAG)
 ORACLES["funnel_totals"] = with_sessions("\nUNION ALL\n".join(
     f"SELECT w0, w1, CAST({s} AS BIGINT) AS side, " + ", ".join(f"{c}_t{s} AS {c}" for c in COUNT_NAMES) + " FROM tot" for s in (0, 1)
 ), WEEKLY, PAIRS, TOTALS)
@@ -238,7 +238,7 @@ SELECT week, sessions, view_item_sessions, add_to_cart_sessions, begin_checkout_
  {r('gross_revenue')} AS gross_revenue, {r('rps')} AS revenue_per_session, {r('conv')} AS conversion, {r('av')} AS aov, {r('chain')} AS step_product,
  abs(rps - conv * av) <= 0.005 * abs(rps) AS revenue_identity, abs(conv - chain) <= 1e-9 AS conversion_identity FROM c""", ORDERS)
 ORACLES["reconcile_totals"] = with_sessions("\nUNION ALL\n".join(
-    f"SELECT '{n}' AS measure, CAST((SELECT {a} FROM weekly) AS DOUBLE) AS segment_total, CAST({b} AS DOUBLE) AS canonical_total, true AS reconciles FROM fct"
+    f"SELECT *, abs(segment_total - canonical_total) <= 0.005 * abs(canonical_total) AS reconciles FROM (SELECT '{n}' AS measure, CAST((SELECT {a} FROM weekly) AS DOUBLE) AS segment_total, CAST({b} AS DOUBLE) AS canonical_total FROM fct)"
     for n, a, b in (
         ("sessions", "sum(sessions)", "count(*)"), ("purchasing_sessions", "sum(purchasing_sessions)", "count(*) FILTER (reached_purchase)"),
         ("revenue", money("revenue"), money("session_revenue")))), WEEKLY)
@@ -285,7 +285,7 @@ WHERE NOT EXISTS (SELECT 1 FROM fk o WHERE day(o.w1) % 3 = 0 AND o.w1 + 10 >= DA
 ORACLES["similar_findings"] = f"""
 WITH q AS (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS c FROM embeddings),
 s AS (SELECT vec_id, label, DATE '2024-06-01' - CAST(vec_id % 180 AS INT) AS as_of, vec_id % 180 AS age_days, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) AS similarity FROM embeddings, q)
-SELECT vec_id, CAST(label AS BIGINT) AS label, as_of, age_days, {r('similarity', 6)} AS similarity, {r('similarity * exp(-age_days / 60.0)', 6)} AS score FROM s ORDER BY similarity * exp(-age_days / 60.0) DESC LIMIT 10"""
+SELECT vec_id, CAST(label AS BIGINT) AS label, as_of, age_days, {r('similarity', 6)} AS similarity, {r('similarity * exp(-age_days / 60.0)', 6)} AS score FROM s ORDER BY similarity * exp(-age_days / 60.0) DESC, vec_id LIMIT 10"""
 _p1, _p2 = "p", "(p * 1.1::DOUBLE)"
 _bar = f"(({_p1} + {_p2}) / 2)"
 SIZE = f"""(CASE WHEN p > 0 AND p < 1 AND {_p2} < 1 THEN CAST(ceil(pow({Z95} * sqrt(2 * {_bar} * (1 - {_bar})) + {Z80} * sqrt({_p1} * (1 - {_p1}) + {_p2} * (1 - {_p2})), 2)
@@ -302,7 +302,7 @@ ORACLES["experiment_design"] = with_sessions(DESIGN.format(keys=""), WEEKLY, BAS
     "\npop AS (SELECT segment, num / CAST(den AS DOUBLE) AS p, den / 30.0::DOUBLE AS daily FROM bseg)", SIZED)
 ORACLES["recommended_experiment"] = with_sessions(DESIGN.format(keys="w0, w1, "), *DAY_DIAG, """
 dr AS (SELECT r.w0, r.w1, r.segment, r.driver_rank, split_part(r.segment, ' / ', 2) AS device, r.r_t1, CAST(round_even(r.w_t1 * j.sessions_t1, 0) AS BIGINT) AS n1, j.top_segment
- FROM ranked r JOIN jd j ON r.w0 = j.w0 AND r.w1 = j.w1 WHERE r.driver_rank <= 8 AND j.verdict <> 'REFUTE' AND j.dominant = 'rate'),
+ FROM ranked r JOIN jd j ON r.w0 = j.w0 AND r.w1 = j.w1 WHERE j.verdict <> 'REFUTE' AND j.dominant = 'rate'),
 pop AS (SELECT w0, w1, CASE WHEN count(*) > 1 THEN any_value(device) ELSE any_value(top_segment) END AS segment, sum(r_t1 * n1) / sum(n1) AS p, CAST(sum(n1) AS DOUBLE) / 7 AS daily
  FROM dr WHERE n1 > 0 AND device = split_part(top_segment, ' / ', 2) GROUP BY 1, 2)""", SIZED)
 ORACLES["ice_backlog"] = with_sessions(f"""

@@ -102,12 +102,22 @@ ORACLES["retention_curve"] = with_sessions(f"""
 SELECT a.cohort_week, date_diff('day', a.cohort_week, event_date) AS age_days, count(*) AS active_users, any_value(n) AS cohort_size,
  {r(div('count(*)', 'any_value(n)'))} AS retention_rate
 FROM act a JOIN (SELECT cohort_week, count(DISTINCT user_pseudo_id) AS n FROM act GROUP BY 1) s ON a.cohort_week = s.cohort_week GROUP BY 1, 2""", COHORTS, _act)
-_period = ", ".join(
-    r(div(f"count(DISTINCT CASE WHEN age = {p} THEN user_pseudo_id END)", "count(DISTINCT user_pseudo_id)")) + f" AS period_{p}" for p in range(5)
-)
+def _periods(start: str, newest: str) -> str:
+    """Share of a cohort per age; NULL for a period that starts after the newest day."""
+    share = lambda p: r(div(f"count(DISTINCT CASE WHEN age = {p} THEN user_pseudo_id END)", "count(DISTINCT user_pseudo_id)"))
+    return ", ".join(f"CASE WHEN {start.format(p=p)} <= {newest} THEN {share(p)} END AS period_{p}" for p in range(5))
+
+
 ORACLES["cohort_retention"] = with_sessions(f"""
-SELECT cohort_week AS cohort, count(DISTINCT user_pseudo_id) AS cohort_size, {_period}
+SELECT cohort_week AS cohort, count(DISTINCT user_pseudo_id) AS cohort_size,
+ {_periods("cohort_week + {p} * 7", "(SELECT max(event_date) FROM fs)")}
 FROM (SELECT *, date_diff('week', cohort_week, event_date) AS age FROM act) GROUP BY 1""", COHORTS, _act)
+ORACLES["cohort_retention_orders"] = f"""
+WITH o AS (SELECT o_custkey AS user_pseudo_id, CAST(o_orderdate AS DATE) AS event_date FROM orders),
+f AS (SELECT user_pseudo_id, CAST(date_trunc('month', min(event_date)) AS DATE) AS cohort FROM o GROUP BY 1),
+a AS (SELECT DISTINCT user_pseudo_id, cohort, date_diff('month', cohort, event_date) AS age FROM o JOIN f USING (user_pseudo_id))
+SELECT cohort, count(DISTINCT user_pseudo_id) AS cohort_size, {_periods("CAST(cohort + to_months({p}) AS DATE)", "(SELECT max(event_date) FROM o)")}
+FROM a GROUP BY 1"""
 ORACLES["rfm_scores"] = f"""
 WITH u AS (SELECT o_custkey AS user_id, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-01-01') AS recency, count(*) AS frequency,
  {money('o_totalprice')} AS monetary FROM orders GROUP BY 1),
