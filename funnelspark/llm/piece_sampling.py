@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from funnelspark.llm.common import row_key, small_batches
 from funnelspark.llm.textarrays import mix
@@ -354,7 +355,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     import public_tokenizers
 
     path = model or public_tokenizers.path("piece_bpe_32k.model")
-    schema = encoded.schema.add("text", "string")
+    schema = StructType([*encoded.schema.fields, StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices.of(path)
