@@ -57,9 +57,10 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = _chunks(docs)
     counted = chunks.groupBy("chunk_hash").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1").drop("n")
     counted = materialize(counted, "repeated_hashes")
-    members = materialize(chunks.join(counted, "chunk_hash").withColumn("is_first", place.eqNullSafe(F.col("least"))).drop("least"), "repeated_chunks")
+    # merge joins whatever the sizes: the small sides grow with the documents
+    members = materialize(chunks.join(counted.hint("merge"), "chunk_hash").withColumn("is_first", place.eqNullSafe(F.col("least"))).drop("least"), "repeated_chunks")
     firsts = members.filter("is_first").select("chunk_hash", F.col("chunk").alias("first_chunk")).dropDuplicates(["chunk_hash"])
-    same = members.filter("NOT is_first").join(firsts, "chunk_hash").filter(F.col("chunk") == F.col("first_chunk"))
+    same = members.filter("NOT is_first").join(firsts.hint("merge"), "chunk_hash").filter(F.col("chunk") == F.col("first_chunk"))
     return same.select("doc_id", "text_hash", "first", "last").distinct()
 
 
@@ -68,7 +69,7 @@ def mark(docs: DataFrame) -> DataFrame:
     gone = repeated_chunks(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed_ranges"))
     gone = materialize(gone, "removed_ranges")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
 
 
 def without_ranges(text: Column, ranges: Column) -> Column:
