@@ -297,10 +297,15 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
     return [(paths, max((node[0] for node in left), default=-np.inf)) for paths, left in zip(out, behind)]
 
 
+def _log_inclusion(over: float) -> float:
+    """log(1 - exp(-exp(over))): a long text's segmentations are too unlikely for the plain number."""
+    return over if over < -30 else float(np.log(-np.expm1(-np.exp(min(over, 700.0)))))
+
+
 def encode(docs: DataFrame, samples: int = SAMPLES, model: str | None = None) -> DataFrame:
-    """doc_id, sample (from 1), ids, log_prob, perturbed and inclusion: up to ``samples`` distinct segmentations of each text.
+    """doc_id, sample (from 1), ids, log_prob, perturbed and log_inclusion: up to ``samples`` distinct segmentations of each text.
 
-    A text with fewer segmentations has a row for each, with inclusion 1. A null
+    A text with fewer segmentations has a row for each, with log_inclusion 0. A null
     or empty text has one row with no ids and log_prob 0. Repeated rows have
     equal keys and so equal samples. Extra columns are ignored.
     """
@@ -331,18 +336,18 @@ def _encode(docs: DataFrame, samples: int, model: str | None, form, kind: str) -
             rows, ids = [], []
             for doc, (paths, limit) in zip(batch.column("doc_id").to_pylist(), found):
                 if not paths:
-                    rows.append((doc, 1, 0.0, 0.0, 1.0))
+                    rows.append((doc, 1, 0.0, 0.0, 0.0))
                     ids.append(np.zeros(0, np.int32))
                 for number, (edges, log, value) in enumerate(paths):
-                    rows.append((doc, number + 1, log, value, float(-np.expm1(-np.exp(min(log - limit, 700.0))))))
+                    rows.append((doc, number + 1, log, value, _log_inclusion(log - limit)))
                     ids.append(lattices.ids(edges))
             doc, number, log, value, inclusion = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), form(lattices, ids), pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())],
-                names=["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("key"))
-    return rows.mapInArrow(run, f"doc_id long, sample int, {kind}, log_prob double, perturbed double, inclusion double")
+    return rows.mapInArrow(run, f"doc_id long, sample int, {kind}, log_prob double, perturbed double, log_inclusion double")
 
 
 def decode_bytes(lattices: Lattices, ids: np.ndarray) -> bytes:

@@ -26,7 +26,7 @@ def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = piece_sampling.encode_digest(docs)
     return found.select(
         "doc_id", "sample", F.col("ids.n").alias("n_ids"), F.crc32("ids.ids").alias("ids_crc32"), F.crc32("ids.text").alias("decoded_crc32"),
-        "log_prob", "perturbed", "inclusion",
+        "log_prob", "perturbed", "log_inclusion",
     )
 
 

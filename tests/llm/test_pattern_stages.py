@@ -112,10 +112,10 @@ def test_line_dedup_equals_plain_python(documents, odd_docs, make_docs):
 
 
 def test_a_shifted_passage_is_found_and_unique_text_stays(make_docs):
-    passage = [f"line {i} of a passage that many documents share" for i in range(12)]
+    passage = [f"line {i} of a passage that many documents share" for i in range(60)]
     docs = make_docs((1, "\n".join(["start", *passage, "end"])), (2, "\n".join(["one", "two", "three", *passage, "four"])), (3, "quite\nanother\ntext\naltogether"))
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
-    assert out[1].count("passage") == 12 and out[2].count("passage") < 6 and out[2].startswith("one\ntwo") and out[3] == "quite\nanother\ntext\naltogether"
+    assert out[1].count("passage") == 60 and out[2].count("passage") < 20 and out[2].startswith("one\ntwo") and out[3] == "quite\nanother\ntext\naltogether"
 
 
 def test_emptied_rows_leave_the_pipeline_stage(make_docs):
