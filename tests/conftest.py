@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "funnelspark-tests")
+    session = local_session(int(os.environ.get("TEST_CPUS", "8")), "funnelspark-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
