@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from funnelspark.operators import cohorts, daily, orders, sessions, staging
 from funnelspark.session import materialize
 from funnelspark.sources import testtables
+from funnelspark.sources.marts import read_mart, write_mart
 
 
 class Marts(Mapping):
@@ -103,3 +104,34 @@ class Marts(Mapping):
     @cached_property
     def cohorts(self) -> DataFrame:
         return cohorts.fct_cohorts(self.sessions)
+
+
+def build_marts(marts: Marts, root: str, names: tuple[str, ...] = tuple(Marts.METRIC_TABLES)) -> "StoredMarts":
+    """Write the tables that metric requests read under ``root``, in day partitions where they have days.
+
+    Sessions are built once and read by what is built on them. A table that is
+    there already is replaced.
+    """
+    marts.share_sessions()
+    for name in names:
+        table = marts[name]
+        write_mart(table, f"{root.rstrip('/')}/{name}", "event_date" if "event_date" in table.columns else None)
+    return StoredMarts(marts.spark, root, names)
+
+
+class StoredMarts(Mapping):
+    """Tables written by ``build_marts``; a metric request on them reads no raw event."""
+
+    def __init__(self, spark: SparkSession, root: str, names: tuple[str, ...] = tuple(Marts.METRIC_TABLES)):
+        self.spark, self.root, self.names = spark, root.rstrip("/"), names
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        return read_mart(self.spark, f"{self.root}/{name}")
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 
 from funnelspark.operators.metrics import metric_query
 from funnelspark.plans.common import query, report
-from funnelspark.plans.marts import Marts
+from funnelspark.plans.marts import Marts, build_marts
+from funnelspark.session import scratch_path
 
 STEPS = (
     "view_item_sessions", "add_to_cart_sessions", "begin_checkout_sessions", "add_shipping_info_sessions",
@@ -42,6 +43,14 @@ def metric_conversion(m: Marts) -> DataFrame:
     return report(metric_query(m, metrics, ["day", "is_new_user"]))
 
 
+@query
+def metric_stored(m: Marts) -> DataFrame:
+    """``metric_conversion`` on marts that were built and stored first."""
+    stored = build_marts(m, scratch_path(m.spark, "marts"), ("fct_sessions", "fct_funnel", "fct_orders"))
+    metrics = ["session_conversion_rate", "user_conversion_rate", "purchasing_users", "purchasing_sessions"]
+    return report(metric_query(stored, metrics, ["day", "is_new_user"]))
+
+
 @query
 def metric_channel_conversion(m: Marts) -> DataFrame:
     return report(metric_query(m, ["channel_conversion_rate", "sessions"], ["channel_group", "source", "medium"]))

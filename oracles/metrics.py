@@ -30,6 +30,7 @@ ORACLES["metric_conversion"] = with_sessions(f"""
 SELECT event_date AS day, is_new_user, {r(div(step('purchase'), SESSIONS))} AS session_conversion_rate,
  {r(div(users('reached_purchase'), USERS))} AS user_conversion_rate, {users('reached_purchase')} AS purchasing_users,
  {step('purchase')} AS purchasing_sessions FROM fct GROUP BY 1, 2""")
+ORACLES["metric_stored"] = ORACLES["metric_conversion"]
 ORACLES["metric_channel_conversion"] = with_sessions(f"""
 SELECT channel_group, source, medium, {r(div(step('purchase'), SESSIONS))} AS channel_conversion_rate, {SESSIONS} AS sessions
 FROM fct GROUP BY 1, 2, 3""")
