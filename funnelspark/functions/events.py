@@ -150,9 +150,13 @@ def calendar_parts(date: Column | str = "event_date") -> list[Column]:
     ]
 
 
-def typed_literal(value, is_date: bool) -> Column:
-    """Literal of a filter value; the dimension says whether it is a date. A malformed date is a ValueError."""
-    if is_date and isinstance(value, str):
+def typed_literal(value, is_date: bool | None = None) -> Column:
+    """Literal of a filter value. A dimension says whether it is a date; a malformed one is a ValueError.
+
+    Without that, text that looks like an ISO date is one.
+    """
+    looks_like = isinstance(value, str) and len(value) == 10 and value[4] == value[7] == "-"
+    if isinstance(value, str) and (looks_like if is_date is None else is_date):
         return F.lit(dt.date.fromisoformat(value))
     return F.lit(value)
 
