@@ -158,8 +158,9 @@ def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> list[t
     those rows; they are what the driver gathers.
     """
     usable = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows"))
-    drawn = usable.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) * F.col("rows") < (rows_per_language << 30))
+    # one entry for each language
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("rows")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "rows")))).scalar()
+    drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) * F.element_at(sizes, F.col("lang")) < (rows_per_language << 30))
     counted = drawn.select("lang", "text").mapInArrow(_count_batches, "lang string, key long, n long")
     table = counted.groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     out = []
