@@ -22,7 +22,6 @@ from funnelspark.session import materialize
 PAIR = ("w0", "w1")
 
 # Bounds of the drill-down.
-MAX_BRANCHING = 4
 MIN_SEGMENT_SESSIONS = 500
 MIN_RATE_EFFECT = 0.003
 DRILL_ALPHA = 0.05
@@ -164,15 +163,15 @@ def diagnose(weekly: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def drill_tree(
     cells: DataFrame, pairs: DataFrame, dims: Sequence[str], period: str = "week",
-    branching: int = MAX_BRANCHING, min_sessions: int = MIN_SEGMENT_SESSIONS,
+    branching: int | None = None, min_sessions: int = MIN_SEGMENT_SESSIONS,
     min_rate_effect: float = MIN_RATE_EFFECT, alpha: float = DRILL_ALPHA,
 ) -> DataFrame:
     """Best-first search for the slice whose own behaviour changed, one dimension per level.
 
     Every kept slice of one level is split by the next dimension in a single
     batched decomposition. A child is kept when its rate effect is large enough,
-    its traffic in the compare period sufficient and its change significant; the
-    strongest ``branching`` children of a parent go on. ``cells`` holds
+    its traffic in the compare period sufficient and its change significant; all
+    of them go on, or the strongest ``branching`` of each parent. ``cells`` holds
     ``sessions`` and ``purchasing_sessions`` by period and dimensions.
     """
     parents = pairs.select(*PAIR, F.lit("").alias("parent"))
@@ -193,7 +192,9 @@ def drill_tree(
             (F.abs("rate") >= min_rate_effect) & (F.col("den_t1") >= min_sessions) & F.col("significant")
         )
         order = Window.partitionBy(*PAIR, "parent").orderBy(F.abs("rate").desc(), "segment")
-        strongest = kept.withColumn("node_rank", F.row_number().over(order)).filter(F.col("node_rank") <= branching)
+        strongest = kept.withColumn("node_rank", F.row_number().over(order))
+        if branching is not None:
+            strongest = strongest.filter(F.col("node_rank") <= branching)
         nodes = strongest.select(
             *PAIR, F.lit(depth).alias("depth"), "parent",
             F.concat_ws(" > ", F.when(F.col("parent") != "", F.col("parent")), F.col("segment")).alias("node"),

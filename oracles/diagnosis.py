@@ -243,6 +243,36 @@ ORACLES["reconcile_totals"] = with_sessions("\nUNION ALL\n".join(
         ("sessions", "sum(sessions)", "count(*)"), ("purchasing_sessions", "sum(purchasing_sessions)", "count(*) FILTER (reached_purchase)"),
         ("revenue", money("revenue"), money("session_revenue")))), WEEKLY)
 
+# ── drill-down: one group of CTEs per level ───────────────────────────────────
+DRILL_DIMS = ("channel_group", "device_category", "landing_page")
+_cells = f"""
+weekly AS (SELECT {WEEK} AS week, {", ".join(DRILL_DIMS)}, {counts()} FROM fct GROUP BY ALL)"""
+
+
+def _drill_level(depth: int, min_sessions: int, min_rate: float, alpha: float) -> str:
+    labels = [f"'{d}=' || coalesce({d}, 'None')" for d in DRILL_DIMS]
+    above = " || ' > ' || ".join(labels[: depth - 1]) or "''"
+    side = lambda w, c: f"CAST(sum(CASE WHEN week = {w} THEN {c} ELSE 0 END) AS DOUBLE)"
+    parents = "SELECT w0, w1, '' AS parent FROM pairs" if depth == 1 else f"SELECT w0, w1, node AS parent FROM nd{depth - 1}"
+    share = lambda t: f"den_{t} / nullif(sum(den_{t}) OVER (PARTITION BY w0, w1, parent), 0)"
+    return f"""
+pr{depth} AS ({parents}),
+sg{depth} AS (SELECT p.w0, p.w1, p.parent, {labels[depth - 1]} AS segment, {side('w0', 'purchasing_sessions')} AS num_t0, {side('w0', 'sessions')} AS den_t0,
+  {side('w1', 'purchasing_sessions')} AS num_t1, {side('w1', 'sessions')} AS den_t1
+ FROM pr{depth} p JOIN weekly ON week IN (p.w0, p.w1) AND {above} = p.parent GROUP BY 1, 2, 3, 4),
+sh{depth} AS (SELECT *, {share('t0')} AS w_t0, {share('t1')} AS w_t1, coalesce(num_t0 / nullif(den_t0, 0), 0) AS r_t0, coalesce(num_t1 / nullif(den_t1, 0), 0) AS r_t1,
+  {z_test('num_t0', 'den_t0', 'num_t1', 'den_t1')} AS z FROM sg{depth}),
+ef{depth} AS (SELECT *, (w_t1 - w_t0) * r_t0 AS mix, w_t0 * (r_t1 - r_t0) AS rate, (w_t1 - w_t0) * (r_t1 - r_t0) AS interaction, {p_value('z')} AS p_value FROM sh{depth}),
+nd{depth} AS (SELECT w0, w1, {depth} AS depth, parent, CASE WHEN parent <> '' THEN parent || ' > ' ELSE '' END || segment AS node,
+  row_number() OVER (PARTITION BY w0, w1, parent ORDER BY abs(rate) DESC, segment) AS node_rank, den_t1, r_t0, r_t1, mix, rate, interaction, p_value
+ FROM ef{depth} WHERE abs(rate) >= {min_rate} AND den_t1 >= {min_sessions} AND z IS NOT NULL AND p_value < {alpha})"""
+
+
+_drilled = ", ".join(f"{r(c)} AS {c}" for c in ("r_t0", "r_t1", "mix", "rate", "interaction", "p_value"))
+ORACLES["drill_tree"] = with_sessions("\nUNION ALL\n".join(
+    f"SELECT w0, w1, depth, parent, node, node_rank, den_t1, {_drilled} FROM nd{d}" for d in (1, 2, 3)
+), _cells, PAIRS, *(_drill_level(d, 5, 0.0005, 0.25) for d in (1, 2, 3)))
+
 # ── memory, experiments ───────────────────────────────────────────────────────
 SEASON = "(VALUES (0, 'New Year', DATE '2024-01-01', DATE '2024-01-02'), (1, 'Sale', DATE '2024-01-15', DATE '2024-01-17')) cal(ordinal, event, a, b)"
 NEW_YEAR = SEASON.replace(", (1, 'Sale', DATE '2024-01-15', DATE '2024-01-17')", "")

@@ -2,12 +2,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from funnelspark.plans.registry import REGISTRY
 from tests.conftest import SF
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 SAMPLE = (
     "fct_funnel", "fct_orders", "metric_product", "metric_retention", "repeat_purchase_rate", "rfm_scores", "last_non_direct",
     "diagnosis_weeks", "suppression", "classify_change", "check_relationships", "ewma_anomaly",
+    "drill_tree", "metric_stored", "cohort_retention_orders", "item_view_lines",
 )
 
 
@@ -25,9 +27,9 @@ def test_entry_gives_rows(spark):
     assert result.count() > 0
 
 
-def test_every_oracle_has_a_query_and_nearly_every_query_an_oracle():
+def test_every_oracle_has_a_query_and_every_query_of_the_registry_an_oracle():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"drill_tree"}
+    assert set(REGISTRY) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
