@@ -140,9 +140,8 @@ def inconsistent() -> Column:
 def classify_change(segments: DataFrame, by: Sequence[str] = ("scenario_id",)) -> DataFrame:
     """data_quality, none, mixed, rate or mix per comparison, with the segment to blame.
 
-    Segments are ranked by gross activity, the sum of the three absolute effects,
-    so a cell whose mix and rate cancel still surfaces. One aggregation keeps the
-    most active cell and the totals.
+    The cell to blame is the one with the largest sum of absolute effects, which
+    opposite signs don't shrink. One aggregation keeps it and the totals.
     """
     by = list(by)
     flagged = segments.withColumn("inconsistent", inconsistent())

@@ -11,7 +11,7 @@ from funnelspark.operators.daily import COUNTS
 from funnelspark.operators.decompose import decompose_change, summarize_effects
 from funnelspark.operators.significance import two_proportion_ztest
 
-# Tolerances of the checks.
+# Tolerances and names of the checks.
 RECONCILE_TOLERANCE = 0.005
 MATERIALITY = 0.0005
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
@@ -63,19 +63,19 @@ def data_quality_status() -> Column:
 def _detail(name: str) -> Column:
     """Short reason of a check that did not pass."""
     if name == "mix-vs-rate framing":
-        mix = F.concat(F.lit("composition moved, not behaviour; driver: "), top_driver("the shifted segment"))
-        return F.when(F.col("dominant") == "mix", mix).otherwise("mix and rate moved together")
+        mix = F.concat(F.lit("mix_only:"), top_driver("none"))
+        return F.when(F.col("dominant") == "mix", mix).otherwise("mix_with_rate")
     if name == "data quality":
         return (
-            F.when(funnel_broken("funnel_t0"), "funnel not monotonic in the baseline week")
-            .when(funnel_broken("funnel_t1"), "funnel not monotonic in the compare week")
-            .otherwise("conversion outside [0, 1]")
+            F.when(funnel_broken("funnel_t0"), "funnel_order_t0")
+            .when(funnel_broken("funnel_t1"), "funnel_order_t1")
+            .otherwise("conversion_range")
         )
     return F.lit({
-        "reconcile": "effects do not add up to the change",
-        "materiality": "change below the materiality floor",
-        "significance": "change not statistically significant",
-        "dollar sanity": "revenue at risk is not plausible",
+        "reconcile": "effects_sum",
+        "materiality": "small_change",
+        "significance": "chance",
+        "dollar sanity": "revenue_range",
     }[name])
 
 
@@ -103,13 +103,13 @@ def verdict(checks: str = "checks") -> Column:
 
 
 def recommended_action() -> Column:
-    """The one next step that fits verdict, significance and dominant effect."""
+    """A code for the next step that fits verdict, significance and dominant effect, with its object after a colon."""
     failed = F.get(F.filter("checks", lambda c: c["status"] == FAIL), F.lit(0))["detail"]
     return (
-        F.when(F.col("verdict") == "REFUTE", F.concat(F.lit("do not act; fix the data: "), F.coalesce(failed, F.lit("failed check"))))
-        .when(~F.col("significant"), F.lit("monitor; not significant yet"))
-        .when(F.col("dominant") == "mix", F.concat(F.lit("investigate traffic mix; driver: "), top_driver("the shifted segment")))
-        .otherwise(F.concat(F.lit("drill the rate change in "), top_driver("the top segment")))
+        F.when(F.col("verdict") == "REFUTE", F.concat(F.lit("repair_data:"), F.coalesce(failed, F.lit("unknown"))))
+        .when(~F.col("significant"), F.lit("keep_watching"))
+        .when(F.col("dominant") == "mix", F.concat(F.lit("study_mix:"), top_driver("none")))
+        .otherwise(F.concat(F.lit("study_rate:"), top_driver("none")))
     )
 
 

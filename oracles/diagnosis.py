@@ -224,10 +224,10 @@ SELECT w0, w1, {r('delta')} AS delta, {_PARTS}, dominant, {r(p_value('z'))} AS p
  CASE WHEN 'FAIL' IN (c1, c2, c3, c4, c5, c6) THEN 'REFUTE' WHEN 'WARN' IN (c1, c2, c3, c4, c5, c6) THEN 'REVISE' ELSE 'SHIP' END AS verdict,
  concat_ws(',', c1, c2, c3, c4, c5, c6) AS statuses FROM x""", CELLS, PAIRS, segments(), effects())
 ORACLES["recommended_action"] = with_sessions("""
-SELECT w0, w1, CASE WHEN verdict = 'REFUTE' THEN 'do not act; fix the data: ' || CASE WHEN c1 = 'FAIL' THEN 'effects do not add up to the change'
-   WHEN c5 = 'FAIL' THEN 'revenue at risk is not plausible' ELSE 'funnel not monotonic in the baseline week' END
- WHEN NOT significant THEN 'monitor; not significant yet'
- WHEN dominant = 'mix' THEN 'investigate traffic mix; driver: ' || top_segment ELSE 'drill the rate change in ' || top_segment END AS action FROM jd""", *DAY_DIAG)
+SELECT w0, w1, CASE WHEN verdict = 'REFUTE' THEN 'repair_data:' || CASE WHEN c1 = 'FAIL' THEN 'effects_sum'
+   WHEN c5 = 'FAIL' THEN 'revenue_range' ELSE 'funnel_order_t0' END
+ WHEN NOT significant THEN 'keep_watching'
+ WHEN dominant = 'mix' THEN 'study_mix:' || top_segment ELSE 'study_rate:' || top_segment END AS action FROM jd""", *DAY_DIAG)
 ORACLES["identity_check"] = with_sessions(f"""
 , a AS (SELECT {WEEK} AS week, {counts()} FROM fct GROUP BY 1),
 b AS (SELECT {WEEK} AS week, count(*) AS orders, {money('gross_revenue')} AS gross_revenue FROM ord GROUP BY 1),
