@@ -12,8 +12,9 @@ A document's score is the sum of the natural logs. The back-off term is summed
 over all words first; a bigram that is in the table adds the difference. So
 words and bigrams are joined apart, and counts of words reach bigrams once for
 each different bigram, not for each occurrence. Every task adds up its own
-occurrences before the shuffle: a row is a gram with the documents that hold
-it, so a frequent gram is one row for each batch.
+occurrences before the shuffle: counts for a batch of texts, occurrences for
+each document. Bigrams are exploded with their 64-bit hash alone; the table's
+rows are hashed alike.
 """
 
 from __future__ import annotations
@@ -25,87 +26,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import materialize, release, row_key, small_batches
+from funnelspark.llm.common import materialize, release, saved, small_batches
 from funnelspark.llm.textarrays import hashes, utf8, words
 
 ALPHA = 0.4
 MIN_COUNT = 2
-BATCH = 6 << 20
+BATCH = 3 << 20
 
+# Primes of the 64-bit hash that Spark's xxhash64 computes of long columns.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+SEED = 42
 
-def _grams(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(a[, b], n, docs: array of (key, times)) of the words or bigrams of each batch."""
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def xxhash_longs(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of columns of longs."""
+    out = np.full(len(columns[0]), SEED, dtype=np.uint64)
+    for c in columns:
+        out = out + _P5 + np.uint64(8)
+        out ^= _turn(c.view(np.uint64) * _P2, 31) * _P1
+        out = _turn(out, 27) * _P1 + _P4
+        out = (out ^ (out >> np.uint64(33))) * _P2
+        out = (out ^ (out >> np.uint64(29))) * _P3
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
+
+
+def _runs(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of the columns, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word hash, row, key of each row) of each batch of texts."""
     for batch in small_batches(batches, "text", BATCH):
-        key = batch.column("key").to_numpy()
         data, offsets = utf8(batch.column("text"))
         spans = words(data, offsets)
-        word = hashes(data, spans, lower=True).astype(np.int64)
-        if size == 1:
-            columns, row = [word], spans.row
-        else:
-            same = spans.row[1:] == spans.row[:-1]
-            columns, row = [word[:-1][same], word[1:][same]], spans.row[1:][same]
-        order = np.lexsort((row, *reversed(columns)))
-        columns, row = [c[order] for c in columns], row[order]
-        if not len(row):
-            continue
-        new_gram = np.ones(len(row), dtype=bool)
-        new_gram[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-        new_pair = new_gram.copy()
-        new_pair[1:] |= row[1:] != row[:-1]
-        pair = np.flatnonzero(new_pair)
-        gram = np.flatnonzero(new_gram)
-        times = np.diff(np.append(pair, len(row))).astype(np.int32)
-        held = pa.StructArray.from_arrays([pa.array(key[row[pair]]), pa.array(times)], names=["key", "times"])
-        edges = np.append(np.searchsorted(pair, gram), len(pair)).astype(np.int32)
-        n = np.diff(np.append(gram, len(row))).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c[gram]) for c in columns), pa.array(n), pa.ListArray.from_arrays(pa.array(edges), held)],
-            names=[*"ab"[:size], "n", "docs"],
-        )
-
-
-def _by_document(joined: DataFrame, value: str) -> DataFrame:
+        if len(spans.row):
+            yield hashes(data, spans, lower=True).astype(np.int64), spans.row, batch.column("key").to_numpy()
+
+
+def _rows(columns: list[np.ndarray], names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for word, row, key in _batches(batches):
+        (row, word), n = _runs([row, word])
+        yield _rows([word, key[row], n.astype(np.int32)], "a key times")
+
+
+def _bigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for word, row, _ in _batches(batches):
+        same = row[1:] == row[:-1]
+        (a, b), n = _runs([word[:-1][same], word[1:][same]])
+        yield _rows([a, b, n.astype(np.int64)], "a b n")
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for word, row, key in _batches(batches):
+        same = row[1:] == row[:-1]
+        (row, gram), n = _runs([row[1:][same], xxhash_longs(word[:-1][same], word[1:][same])])
+        yield _rows([gram, key[row], n.astype(np.int32)], "gram key times")
+
+
+def _by_document(joined: DataFrame) -> DataFrame:
     """Sum of a gram's value over its occurrences in each document."""
-    spread = joined.select(F.explode("docs").alias("d"), F.col(value).alias("v"))
-    return spread.groupBy(F.col("d.key").alias("key")).agg(F.sum(F.col("d.times") * F.col("v")).alias("s"), F.sum("d.times").alias("n"))
+    return joined.groupBy("key").agg(F.sum(F.col("times") * F.col("v")).alias("s"), F.sum("times").alias("n"))
 
 
 def score(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_words, log_score and per_word of every row of ``docs`` (doc_id, text).
 
     Counts cover all rows. Texts without words, null ones included, have 0 words,
-    log_score 0 and per_word null. Repeated rows count as often as they occur,
-    and get equal scores. Extra columns are ignored.
+    log_score 0 and per_word null. Rows that share a doc_id, or have none, are
+    scored together and get their mean, so repeated rows get equal scores. Extra
+    columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", row_key("doc_id", "text"))
-    texts = rows.select("key", "text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
 
-    unigrams = texts.mapInArrow(lambda b: _grams(b, 1), "a long, n long, docs array<struct<key:long,times:int>>")
-    counts = materialize(unigrams.groupBy("a").agg(F.sum("n").alias("c")), "word_counts")
+    found = texts.mapInArrow(_words, "a long, key long, times int")
+    counts, counts_path = saved(found.groupBy("a").agg(F.sum("times").alias("c")), "word_counts")
     release(spark)
     total = F.lit(counts.agg(F.sum("c")).first()[0] or 1).cast("double")
-    backoff = counts.withColumn("v", F.log(F.col("c") / total) + F.log(F.lit(alpha)))
-    base = materialize(_by_document(unigrams.select("a", "docs").join(backoff, "a"), "v"), "word_sums")
+    backoff = counts.select("a", (F.log(F.col("c") / total) + F.log(F.lit(alpha))).alias("v"))
+    base = materialize(_by_document(found.join(backoff.hint("merge"), "a")), "word_sums")
     release(spark)
 
-    bigrams = texts.mapInArrow(lambda b: _grams(b, 2), "a long, b long, n long, docs array<struct<key:long,times:int>>")
-    seen = materialize(bigrams.groupBy("a", "b").agg(F.sum("n").alias("c2")).filter(F.col("c2") >= min_count), "bigram_counts")
+    counted = texts.mapInArrow(_bigram_counts, "a long, b long, n long")
+    seen, seen_path = saved(counted.groupBy("a", "b").agg(F.sum("n").alias("c2")).filter(F.col("c2") >= min_count), "bigram_counts")
     release(spark)
-    known = seen.join(counts.select("a", F.col("c").alias("ca")), "a").join(counts.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
+    known = seen.join(counts.select("a", F.col("c").alias("ca")).hint("merge"), "a")
+    known = known.join(counts.select(F.col("a").alias("b"), F.col("c").alias("cb")).hint("merge"), "b")
     gain = F.log(F.col("c2") / F.col("ca")) - F.log(F.col("cb") / total) - F.log(F.lit(alpha))
-    table = materialize(known.select("a", "b", gain.alias("v")), "bigram_gains")
-    release(spark)
-    gains = materialize(_by_document(bigrams.select("a", "b", "docs").join(table, ["a", "b"]), "v"), "bigram_sums")
-    release(spark)
-
-    copies = rows.select("key", "doc_id").groupBy("key", "doc_id").agg(F.count("*").alias("copies"))
+    table, table_path = saved(known.select(F.xxhash64("a", "b").alias("gram"), gain.alias("v")), "bigram_gains")
+    del known
+    release(spark, seen_path, counts_path)
+    grams = texts.mapInArrow(_bigrams, "gram long, key long, times int")
+    gains = materialize(_by_document(grams.join(table.hint("merge"), "gram")), "bigram_sums")
+    release(spark, table_path)
+
+    copies = docs.select("doc_id", key.alias("key")).groupBy("key", "doc_id").agg(F.count("*").alias("copies"))
     sums = copies.join(base, "key", "left").join(gains.select("key", F.col("s").alias("g")), "key", "left")
-    n = (F.coalesce("n", F.lit(0)) / F.col("copies")).cast("long")
+    n = F.floor(F.coalesce("n", F.lit(0)) / F.col("copies"))
     # a first word has no context and so no weight
     log_score = F.when(n > 0, (F.col("s") + F.coalesce("g", F.lit(0.0))) / F.col("copies") - F.log(F.lit(alpha))).otherwise(0.0)
-    out = sums.select("doc_id", n.alias("n_words"), log_score.alias("log_score"), "copies")
+    out = sums.select("doc_id", n.cast("long").alias("n_words"), log_score.alias("log_score"), "copies")
     out = out.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "_copy")
 
