@@ -17,7 +17,7 @@ import pyarrow as pa
 from funnelspark.llm.textarrays import Spans, hashes, is_space, utf8
 
 #: Stretches remembered by a worker; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 SPECIAL = b"<|endoftext|>"
 
 
@@ -30,15 +30,23 @@ class ByteBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.path, self._whole = tokenizer, None
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.part = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.known: dict[bytes, int] = {}
         self._reset()
 
+    @property
+    def whole(self):
+        """The tokenizer itself, loaded with the first text that needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     @classmethod
     def of(cls, tokenizer: str, ranks: str) -> ByteBpe:
         key = tokenizer, ranks

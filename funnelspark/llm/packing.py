@@ -27,6 +27,8 @@ from funnelspark.llm.common import small_batches
 CAPACITY = 2048
 PIECE = 512
 GROUP = 4096
+#: Pieces handed on at once.
+EMIT = 512
 END = 1
 
 
@@ -136,12 +138,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
                         waiting.append(piece)
                 if len(waiting) >= GROUP:
                     settle()
-                if len(done) >= GROUP:
-                    yield _emit(done)
-                    done = []
+                while len(done) >= EMIT:
+                    yield _emit(done[:EMIT])
+                    del done[:EMIT]
         settle()
-        if done:
-            yield _emit(done)
+        for at in range(0, len(done), EMIT):
+            yield _emit(done[at : at + EMIT])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -43,7 +43,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1); long texts get their own, short ones share."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
