@@ -6,6 +6,12 @@ follow from a few lines around them and a passage is cut alike wherever it
 stands. Chunks of two lines or more that occur again anywhere are compared byte
 by byte with their first occurrence and removed. First means least in
 (doc_id, text hash, place). Everything is a column expression.
+
+``dedup_lines`` stops there, so it keeps what lies between the edge of a repeated
+passage and its outermost boundaries. ``mark``, which the query and the pipeline
+use, compares every run instead: each two lines, and each line of over
+LONG_WORDS words. A repeated passage of two lines or more is the union of its
+runs of two, so it goes whatever its length and whatever stands around it.
 """
 
 from __future__ import annotations
@@ -16,6 +22,8 @@ from pyspark.sql import functions as F
 from funnelspark.llm.common import let, materialize, replace_text
 
 MIN_LINES = 2
+#: A line of more words is compared on its own.
+LONG_WORDS = 50
 
 
 def _lines(text: Column) -> Column:
@@ -64,14 +72,76 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return same.select("doc_id", "text_hash", "first", "last").distinct()
 
 
-def mark(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``removed_ranges``: the ranges of lines (first, last, from 0) to remove, in order; null if none."""
-    gone = repeated_chunks(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+def _has_text(text: Column) -> Column:
+    return F.trim(F.translate(text, "\n\t\r", "   ")) != ""
+
+
+def _run_text(lines: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
+
+
+def _all_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, first, last, run_hash) of every two lines with some text and of every long line."""
+
+    def runs(lines: Column) -> Column:
+        n = F.size(lines)
+        run = lambda i, k: F.struct(i.alias("first"), (i + k).alias("last"), _run_text(lines, i, i + k).alias("run"))
+        two = F.filter(F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: i < n - 1), lambda i: run(i, 1)), lambda r: _has_text(r["run"]))
+        long_ = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.size(F.split(F.trim(F.get(lines, i)), r"\s+")) > LONG_WORDS)
+        every = F.concat(two, F.transform(long_, lambda i: run(i, 0)))
+        return F.transform(every, lambda r: F.struct(r["first"], r["last"], F.xxhash64(r["run"], F.length(r["run"]), r["last"] - r["first"]).alias("run_hash")))
+
+    some = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), _lines(F.col("text")).alias("lines"))
+    return some.select("doc_id", "text_hash", F.explode(let(F.col("lines"), runs)).alias("r")).select("doc_id", "text_hash", "r.*")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, first, last): every run of ``_all_runs`` that equals an earlier one.
+
+    Hashes find the runs; texts are read for runs of repeated hashes alone. Two
+    equal lines after the first of their kind don't count where they overlap it.
+    """
+    place = F.struct("doc_id", "text_hash", "first")
+    before = F.struct("doc_id", "text_hash", (F.col("first") - (F.col("last") - F.col("first"))).alias("first"))
+    runs = materialize(_all_runs(docs), "runs")
+    counted = materialize(runs.groupBy("run_hash").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1").drop("n"), "repeated_hashes")
+    found = runs.join(counted.hint("merge"), "run_hash").withColumn("is_first", place.eqNullSafe(F.col("least")) | before.eqNullSafe(F.col("least")))
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("first", "last", "run_hash", "is_first")).alias("found"))
+    found = materialize(found, "runs_of_documents")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(
+        found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    cut = let(F.struct(F.col("found").alias("found"), _lines(F.col("text")).alias("lines")), lambda v: F.transform(v["found"], lambda r: F.struct(
+        r["first"].alias("first"), r["last"].alias("last"), r["run_hash"].alias("run_hash"), r["is_first"].alias("is_first"),
+        _run_text(v["lines"], r["first"], r["last"]).alias("run"))))
+    members = materialize(texts.select("doc_id", "text_hash", F.explode(cut).alias("r")).select("doc_id", "text_hash", "r.*"), "repeated_runs")
+    firsts = members.filter("is_first").select("run_hash", F.col("run").alias("first_run")).dropDuplicates(["run_hash"])
+    same = members.filter("NOT is_first").join(firsts.hint("merge"), "run_hash").filter(F.col("run") == F.col("first_run"))
+    return same.select("doc_id", "text_hash", "first", "last").distinct()
+
+
+def _united(ranges: Column) -> Column:
+    """Ordered ranges of one or two lines, with those that overlap or touch made one."""
+
+    def starts(v: Column) -> Column:
+        fresh = lambda i: (i == 0) | (F.get(v, i)["first"] > F.get(v, i - 1)["last"] + 1)
+        return F.struct(v.alias("r"), F.filter(F.sequence(F.lit(0), F.size(v) - 1), fresh).alias("s"))
+
+    return let(let(ranges, starts), lambda v: F.transform(v["s"], lambda s, i: F.struct(
+        F.get(v["r"], s)["first"].alias("first"), F.get(v["r"], F.coalesce(F.get(v["s"], i + 1), F.size(v["r"])) - 1)["last"].alias("last"))))
+
+
+def _marked(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    gone = repeated.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed_ranges"))
-    gone = materialize(gone, "removed_ranges")
+    gone = materialize(gone.withColumn("removed_ranges", _united(F.col("removed_ranges"))), "removed_ranges")
     return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
 
 
+def mark(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``removed_ranges``: the ranges of lines (first, last, from 0) to remove, apart and in order; null if none."""
+    return _marked(docs, repeated_runs(docs))
+
+
 def without_ranges(text: Column, ranges: Column) -> Column:
     """The text without the given ranges of lines."""
 
@@ -85,19 +155,19 @@ def without_ranges(text: Column, ranges: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated chunks of lines; n_chars, where there is one, follows the text.
+    """``docs`` without repeated chunks of lines alone; n_chars, where there is one, follows the text.
 
     Other columns and the number of rows stay; a text may end up empty. Null and
     empty texts and texts of one line stay as they are. Rows equal in doc_id and
     text are one document: they keep the same lines. Rows without doc_id come first.
     """
-    marked = mark(docs)
+    marked = _marked(docs, repeated_chunks(docs))
     text = without_ranges(F.col("text"), F.col("removed_ranges"))
     return replace_text(marked, text, F.col("removed_ranges").isNotNull()).select(*docs.columns)
 
 
 def drop_emptied(docs: DataFrame) -> DataFrame:
-    """``dedup_lines`` without the rows that lost all of their text."""
+    """``docs`` without repeated runs of lines, and without the rows that lost all of their text; columns as in ``dedup_lines``."""
     marked = mark(docs)
     text = without_ranges(F.col("text"), F.col("removed_ranges"))
     new = replace_text(marked, text, F.col("removed_ranges").isNotNull())

@@ -132,3 +132,37 @@ def test_native_plans_hold_no_python(documents):
 def test_empty_tables(documents):
     none = documents.limit(0)
     assert secret_scan.redact(none).count() == 0 and line_dedup.dedup_lines(none).count() == 0
+
+
+def plain_runs(rows):
+    """Texts without any two lines, or line of over 50 words, that stand in an earlier place."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        runs = [(j, j + 1) for j in range(len(lines) - 1)] + [(j, j) for j in range(len(lines)) if len(lines[j].split()) > 50]
+        for a, b in sorted(runs):
+            run = "\n".join(lines[a : b + 1])
+            if run.strip(" \n\t\r"):
+                at = seen.setdefault((b - a, run), (i, a))
+                gone |= set(range(a, b + 1)) if at not in ((i, a), (i, a - (b - a))) else set()
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+def test_repeated_passages_of_any_length_go(make_docs):
+    rows, n = [], 0
+    for size in range(1, 11):
+        for copy in range(3):
+            own = [f"own line {i} of document {n} and its text" for i in range(16)]
+            words = 60 if size == 1 else 12
+            passage = [" ".join(f"p{size}x{k}w{w}" for w in range(words)) for k in range(size)]
+            rows.append((n, "\n".join([*own[: 8 - copy], *passage, *own[8:]])))
+            n += 1
+    one = " ".join(f"word{w}" for w in range(60))
+    rows += [(n, one), (n + 1, one), (n + 2, "short line"), (n + 3, "short line"), (n + 4, "same\nsame\nsame\nsame\nother")]
+    docs = make_docs(*rows)
+    text = line_dedup.without_ranges(F.col("text"), F.col("removed_ranges"))
+    got = {r.doc_id: r.text for r in line_dedup.mark(docs).select("doc_id", text.alias("text")).collect()}
+    assert got == plain_runs(rows)
+    assert all(f"p{size}x" not in got[3 * (size - 1) + copy] for size in range(1, 11) for copy in (1, 2))
+    assert got[n] == one and got[n + 1] == "" and got[n + 3] == "short line" and got[n + 4] == "same\nsame\nother"
