@@ -14,7 +14,11 @@ with probability 5e-6.
 Groups are never expanded to pairs. Equal sets are one class. Inside a bucket,
 every class is compared with one leader of the bucket; in later rounds, with
 leaders drawn by a hash for each band and for each pair of bands, but only
-across components that aren't joined yet.
+across components that aren't joined yet. Classes of buckets that still hold
+several components beside their leader are then compared exactly: shingles are
+ordered from the rarest, and a pair at the threshold has to share one among the
+first of both, at places that leave room for the overlap. Every pair that these
+bounds don't rule out is tested, so no link inside a bucket is lost.
 """
 
 from __future__ import annotations
@@ -100,6 +104,15 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch.select(["a", "b"]).filter(keep)
 
 
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "text"):
+        row, value = shingles(batch.column("text"), WORDS)
+        n = np.bincount(row, minlength=batch.num_rows)
+        rep = batch.column("rep").to_numpy()
+        component = batch.column("component").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[row], component[row], n[row].astype(np.int64), value.view(np.int64))], names=["rep", "component", "n", "shingle"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an edge, by alternating star contractions.
 
@@ -140,6 +153,39 @@ def _candidates(inside: DataFrame, kind: str) -> DataFrame:
     return pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
 
+def _open_classes(members: DataFrame) -> DataFrame:
+    """(rep, component) of the classes of buckets where pairs besides those of the first leader are unjoined."""
+    leaders = members.groupBy("key").agg(F.min("rep").alias("lead"))
+    rest = members.join(leaders, "key").filter("rep != lead")
+    open_ = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("key")
+    return rest.join(open_, "key", "left_semi").select("rep", "component").distinct()
+
+
+def _exact_pairs(classes: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of (rep, component) classes in other components that the bounds on sizes and on rarest shingles allow.
+
+    With shingles ordered from the rarest, the first that two sets share stands
+    among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller set and the first
+    n - ceil(t n) + 1 of the larger, and the rest has to hold the overlap.
+    Shingles of one class alone come first; they only take up places.
+    """
+    ceil = lambda top, below: F.floor((top + (below - 1)) / below)
+    texts = held.withColumnRenamed("doc_id", "rep").join(classes, "rep").select("rep", "component", "text")
+    every = materialize(texts.mapInArrow(_shingle_batches, "rep long, component long, n long, shingle long"), "open_shingles")
+    often = every.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    sets = every.join(often, "shingle").groupBy("rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    placed = F.transform("s", lambda x, i: F.struct(x["shingle"].alias("shingle"), (F.col("n") - F.size("s") + i + 1).alias("place")))
+    first = F.filter(placed, lambda x: x["place"] <= F.col("n") - ceil(THRESHOLD * F.col("n"), 100) + 1)
+    rows = materialize(sets.select("rep", "component", "n", F.explode(first).alias("x")).select("rep", "component", "n", "x.*"), "rare_shingles")
+    small = rows.filter(F.col("place") <= F.col("n") - ceil(2 * THRESHOLD * F.col("n"), 100 + THRESHOLD) + 1)
+    small = small.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "place")))
+    room = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n") - F.col("place"))
+    pairs = rows.join(small.hint("merge"), "shingle").filter(
+        (F.struct("n_a", "rep_a") < F.struct("n", "rep")) & (F.col("component") != F.col("component_a"))
+        & (100 * F.col("n_a") >= THRESHOLD * F.col("n")) & ((100 + THRESHOLD) * room >= THRESHOLD * (F.col("n") + F.col("n_a"))))
+    return pairs.select(F.least("rep", "rep_a").alias("a"), F.greatest("rep", "rep_a").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
 
@@ -164,13 +210,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = classes.join(wanted, F.col("rep") == F.col("doc_id"), "left_semi")
 
     confirmed = tested = label = None
-    for kind in ROUNDS:
+    for kind in (*ROUNDS, "exact"):
         members = _buckets(grouped, 1) if kind == "pairs" else inside
         if label is None:
             members = members.withColumn("component", F.col("rep"))
         else:
             members = members.join(label, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        pairs = _candidates(members, kind)
+        if kind == "exact":
+            open_ = materialize(_open_classes(members), "open_classes")
+            if open_.isEmpty():
+                continue
+        pairs = _exact_pairs(open_, held) if kind == "exact" else _candidates(members, kind)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue

@@ -65,6 +65,13 @@ def test_many_near_copies_and_copies(make_docs):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pairs_among_documents_of_one_template_are_found(make_docs):
+    template = [f"t{i}" for i in range(304)]
+    # pairs share 310 of 410 shingles, other documents 300 of 420: their buckets hold the template
+    rows = [(i, " ".join([*template, *(f"p{i // 2}x{j}" for j in range(10)), *(f"u{i}x{j}" for j in range(50))])) for i in range(400)]
+    assert _groups(make_docs(*rows)) == {i: (360, i - i % 2) for i in range(400)}
+
+
 def test_sketch_agreement_follows_similarity():
     import numpy as np
 
