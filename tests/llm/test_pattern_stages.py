@@ -44,6 +44,17 @@ def test_markov_models_tell_random_strings_from_identifiers(documents, make_docs
     assert kinds[0].count(3) == 3 and kinds[1] == [] and kinds[2] == []
 
 
+def test_every_segment_of_a_dotted_credential_is_scored(documents, make_docs):
+    model = secret_scan.train(secret_scan.labelled_samples(documents))
+    key = "SG.x7Kq9ZpLm2Vt8RwYb3Nc5D.f1Gh6Js0Qw8ErTy2UiOp5AsDf7GhJk9LzXcVbNm3QaZ4"
+    head, body, signature = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwiaWF0IjoxNTE2MjM5MDIyfQ", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c"
+    plain = "www.internationalization.example.com this_is_a_file_name.of_words_and_words.configuration_settings"
+    docs = make_docs((0, f"a {key} b"), (1, f"a {head}.{body}.{signature} b"), (2, plain))
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs, model=model).collect()}
+    assert not any(part in out[0] for part in key.split(".")[1:])
+    assert signature not in out[1] and body not in out[1] and out[2] == plain
+
+
 def test_redaction_covers_overlapping_spans_and_keeps_columns(make_docs):
     docs = make_docs((1, "key token='24be64439e3e49cf46b2d7c90f3602a3d0b907ff' end"), (2, "nothing here"), (3, None))
     out = {r.doc_id: r for r in secret_scan.redact(docs, model=[0.0] * 128 * 128).collect()}
