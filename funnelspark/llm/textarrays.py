@@ -90,6 +90,11 @@ def _runs(inside: np.ndarray, offsets: np.ndarray) -> Spans:
     return Spans(start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, side="right") - 1, len(offsets) - 1)
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> Spans:
+    """Runs of the bytes where ``inside`` holds, row by row."""
+    return _runs(inside, offsets)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> Spans:
     return _runs(~_SPACE[data], offsets)
 
