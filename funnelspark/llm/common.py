@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,13 +14,21 @@ from pyspark.sql import functions as F
 
 from funnelspark.session import materialize, scratch_path
 
-__all__ = ["bounded_rows", "let", "materialize", "read_table", "release", "replace_text", "saved", "scratch_path", "small_batches", "with_row_key"]
+__all__ = ["bounded_rows", "crc32_sql", "let", "materialize", "read_table", "release", "replace_text", "saved", "scratch_path", "small_batches", "with_row_key"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL: crc32 of the UTF-8 bytes of a text of characters up to U+007F and from U+00C0 to U+00FF."""
+    table = ",".join(str(zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF) for i in range(256))
+    codes = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))"
+    step = f"xor(([{table}])[xor(s, b) % 256 + 1], s >> 8)"
+    return f"xor(4294967295, list_reduce(list_transform({codes}, lambda b: CAST(b AS BIGINT)), lambda s, b: {step}, 4294967295))"
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Let Spark drop the shuffle files of plans that nobody holds any more, and delete tables of ``saved``."""
     jvm = spark.sparkContext._jvm
