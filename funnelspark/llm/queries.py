@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelspark.llm import ann, language_id, line_dedup, lm_scoring, near_dedup, packing, piece_sampling, quality_rules, secret_scan, warc
+from funnelspark.llm import ann, decontamination, language_id, line_dedup, lm_scoring, near_dedup, packing, piece_sampling, prefix_trie, quality_rules, secret_scan, spelling, warc
 from funnelspark.llm.common import read_table
 
 
@@ -69,9 +69,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    listed = F.array_join("items", ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_sentencepiece_sampling, op3_line_dedup, op4_nearest_neighbours, op5_language_id, op6_warc, op7_lm_scoring, op8_minhash_near_dedup, op9_packing, op10_quality_rules,
+        op11_benchmark_decontamination, op12_spelling_variants, op13_conversation_prefix_trie,
     )
 }
-ORACLES: dict[str, str] = {"op6_warc": warc.ORACLE, "op7_lm_scoring": lm_scoring.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_warc": warc.ORACLE, "op7_lm_scoring": lm_scoring.ORACLE, "op11_benchmark_decontamination": decontamination.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE, "op13_conversation_prefix_trie": prefix_trie.ORACLE,
+}

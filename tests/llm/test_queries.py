@@ -11,7 +11,7 @@ from tests.llm.conftest import SMALL
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_oracle(spark, name):
     connection = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SMALL)
     result = connection.execute(queries.ORACLES[name])
@@ -22,7 +22,7 @@ def test_query_equals_its_oracle(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_stages_keep_columns_and_run_gives_their_result(spark, documents, odd_docs):
