@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelspark.operators import checks
@@ -13,9 +13,8 @@ from funnelspark.operators.daily import COUNTS
 from funnelspark.operators.dims import CHANNELS, dim_channels
 from funnelspark.plans.common import query, report
 from funnelspark.plans.marts import Marts
-from funnelspark.session import scratch_path
-from funnelspark.sources.events import read_events
-from funnelspark.sources.marts import read_mart, write_mart
+from funnelspark.session import materialize, scratch_path
+from funnelspark.sources.daytable import DayTable
 from funnelspark.streaming import daily_funnel
 
 CHANNEL_NAMES = [name for name, _, _ in CHANNELS]
@@ -123,26 +122,78 @@ def recency(m: Marts) -> DataFrame:
 
 # ── incremental and streaming builds, compared with the batch result ─────────
 
-def _land(m: Marts) -> str:
-    path = scratch_path(m.spark, "raw-events")
-    write_mart(m.raw, path, partition_by="event_date")
+def _land(raw: DataFrame, path: str | None = None) -> str:
+    """Add events to the day folders of a landing place."""
+    path = path or scratch_path(raw.sparkSession, "raw-events")
+    raw.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
     return path
 
 
+def two_day_sessions(raw: DataFrame) -> DataFrame:
+    """The events with sessions that span two days."""
+    halved = lambda p: p.withField("value.int_value", F.floor(p["value"]["int_value"] / 2).cast("long"))
+    return raw.withColumn("event_params", F.transform("event_params", lambda p: F.when(p["key"] == "ga_session_id", halved(p)).otherwise(p)))
+
+
+def landed_first(raw: DataFrame) -> Column:
+    """Events that land in time: not those of the last two days, nor half of the users' of the first day."""
+    first, last = (raw.agg(f("event_date")).scalar() for f in (F.min, F.max))
+    late_user = F.substring("user_pseudo_id", 2, 20).cast("long") % 2 == 0
+    return (F.col("event_date") <= F.date_sub(last, 2)) & ~((F.col("event_date") == first) & late_user)
+
+
+def _in_two_steps(raw: DataFrame, build) -> str:
+    """Land the events in two steps, with ``build`` after each; returns the mart."""
+    raw = materialize(raw, "all-events")
+    in_time, mart = landed_first(raw), scratch_path(raw.sparkSession, "daily-funnel")
+    landing = _land(raw.filter(in_time))
+    build(landing, mart)
+    _land(raw.filter(~in_time), landing)
+    build(landing, mart)
+    return mart
+
+
 @query
 def incremental_overwrite(m: Marts) -> DataFrame:
-    """Full build without the last two days, then a trailing refresh with them."""
-    landing, mart = _land(m), scratch_path(m.spark, "daily-funnel")
-    newest = read_events(m.spark, landing).agg(F.max("event_date")).first()[0]
-    daily_funnel.full_refresh(read_events(m.spark, landing, end=newest - dt.timedelta(days=2)), mart)
-    daily_funnel.refresh_trailing(read_events(m.spark, landing), mart)
-    return report(read_mart(m.spark, mart))
+    """A build without the last two days and some old events, then a refresh of the days that change with them."""
+    mart = _in_two_steps(m.raw, lambda landing, mart: daily_funnel.refresh_changed(m.spark, landing, mart))
+    return report(DayTable(m.spark, mart).read())
 
 
 @query
-def streaming_daily_funnel(m: Marts) -> DataFrame:
-    """The landed files as a stream of micro-batches, each replacing the days it touched."""
-    landing, mart = _land(m), scratch_path(m.spark, "daily-funnel")
+def late_moved_sessions(m: Marts) -> DataFrame:
+    """The same with sessions of two days, some of which move to the day before when their first events land."""
+    mart = _in_two_steps(two_day_sessions(m.raw), lambda landing, mart: daily_funnel.refresh_changed(m.spark, landing, mart))
+    return report(DayTable(m.spark, mart).read())
+
+
+@query
+def late_event_counts(m: Marts) -> DataFrame:
+    """Events that have landed after the build, by day."""
+    raw = materialize(m.raw, "all-events")
+    in_time, mart = landed_first(raw), scratch_path(m.spark, "daily-funnel")
+    landing = _land(raw.filter(in_time))
+    daily_funnel.refresh_changed(m.spark, landing, mart)
+    _land(raw.filter(~in_time), landing)
+    return daily_funnel.late_events(m.spark, landing, mart)
+
+
+def _stream(m: Marts, landing: str, mart: str, state: str) -> None:
     stream = daily_funnel.stream_raw_events(m.spark, landing, files_per_batch=20)
-    daily_funnel.stream_daily_funnel(stream, landing, mart, scratch_path(m.spark, "stream-state")).awaitTermination()
-    return report(read_mart(m.spark, mart))
+    daily_funnel.stream_daily_funnel(stream, mart, state).awaitTermination()
+
+
+@query
+def streaming_daily_funnel(m: Marts) -> DataFrame:
+    """The landed files as a stream of micro-batches, each adding its changes to the days it touched."""
+    landing, mart = _land(m.raw), scratch_path(m.spark, "daily-funnel")
+    _stream(m, landing, mart, scratch_path(m.spark, "stream-state"))
+    return report(DayTable(m.spark, mart).read())
+
+
+@query
+def streaming_moved_sessions(m: Marts) -> DataFrame:
+    """Sessions of two days; old events land late, and the stream goes on from its checkpoint."""
+    state = scratch_path(m.spark, "stream-state")
+    mart = _in_two_steps(two_day_sessions(m.raw), lambda landing, mart: _stream(m, landing, mart, state))
+    return report(DayTable(m.spark, mart).read())

@@ -51,6 +51,13 @@ ORACLES["fct_daily_funnel"] = with_sessions("SELECT * FROM daily", DAILY)
 ORACLES["fct_daily_funnel_distinct"] = ORACLES["fct_daily_funnel"]
 ORACLES["incremental_overwrite"] = ORACLES["fct_daily_funnel"]
 ORACLES["streaming_daily_funnel"] = ORACLES["fct_daily_funnel"]
+# sessions of two days: the id is the number of the day halved
+_TWO_DAYS = STG.replace("CAST(d AS BIGINT) END AS ga_session_id", "CAST(d // 2 AS BIGINT) END AS ga_session_id").replace("'-' || d)", "'-' || d // 2)")
+ORACLES["late_moved_sessions"] = sql(_TWO_DAYS, SESS, DAILY, select="SELECT * FROM daily")
+ORACLES["late_event_counts"] = sql(STG, select="""
+SELECT event_date, count(*) AS late_events FROM stg, (SELECT min(event_date) AS first, max(event_date) AS last FROM stg)
+WHERE event_date > last - 2 OR (event_date = first AND uid % 2 = 0) GROUP BY event_date""")
+ORACLES["streaming_moved_sessions"] = ORACLES["late_moved_sessions"]
 ORACLES["fct_orders"] = with_sessions("SELECT * FROM ord", ORDERS)
 ORACLES["orders_in_window"] = with_sessions(f"""
 SELECT event_date, channel_group, count(*) AS orders, {money('gross_revenue')} AS gross_revenue, {money('net_revenue')} AS net_revenue,
