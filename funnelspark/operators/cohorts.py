@@ -6,7 +6,7 @@ per user, so a user holds at most one entry per calendar day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelspark.functions.events import time_grain
@@ -38,35 +38,36 @@ def user_days(sessions: DataFrame, dims=COHORT_DIMS) -> DataFrame:
 
 
 def fct_cohorts(sessions: DataFrame) -> DataFrame:
-    """Cohort size and users back within 1, 7 and 30 days, by first day and first session's dimensions.
+    """Cohort size and users back within 1, 7 and 30 days, by first day and first session's dimensions."""
+    return cohorts_of(user_days(sessions))
+
+
+def cohorts_of(users: DataFrame) -> DataFrame:
+    """``fct_cohorts`` from one row per user.
 
     Someone returned within N days exactly when their second active day is at
     most N days after the first, so no join of users to sessions is needed.
     """
-    users = user_days(sessions).withColumn("gap", F.date_diff(F.get("days", F.lit(1)), "first_date"))
+    users = users.withColumn("gap", F.date_diff(F.get("days", F.lit(1)), "first_date"))
     retained = [F.count_if(F.col("gap") <= n).alias(f"retained_users_d{n}") for n in HORIZONS]
     keys = [F.col("first_date").alias("event_date"), *COHORT_DIMS]
     cohorts = users.groupBy(*keys).agg(F.count(F.lit(1)).alias("cohort_size"), *retained)
     return cohorts.select(time_grain("event_date", "week").alias("cohort_week"), "*")
 
 
-def _active_ages(sessions: DataFrame) -> DataFrame:
-    """One row per user and active day with the cohort's Monday."""
-    users = user_days(sessions, ())
-    cohort = time_grain("first_date", "week").alias("cohort_week")
-    return users.select("user_pseudo_id", cohort, F.explode("days").alias("day"))
-
-
 def retention_curve(sessions: DataFrame) -> DataFrame:
     """Active users of each weekly cohort by days since the cohort's Monday."""
-    age = F.date_diff("day", "cohort_week").alias("age_days")
-    active = _active_ages(sessions).groupBy("cohort_week", age).agg(F.count(F.lit(1)).alias("active_users"))
-    sizes = (
-        user_days(sessions, ())
-        .groupBy(time_grain("first_date", "week").alias("cohort_week"))
-        .agg(F.count(F.lit(1)).alias("cohort_size"))
-    )
-    joined = active.join(sizes, "cohort_week")
+    return retention_curve_of(user_days(sessions, ()))
+
+
+def retention_curve_of(users: DataFrame) -> DataFrame:
+    """``retention_curve`` from one row per user; users are counted on their first day on the way."""
+    cohort = time_grain("first_date", "week").alias("cohort_week")
+    active = users.select(cohort, "first_date", F.explode("days").alias("day"))
+    cells = active.groupBy("cohort_week", F.date_diff("day", "cohort_week").alias("age_days")).agg(
+        F.count(F.lit(1)).alias("active_users"), F.count_if(F.col("day") == F.col("first_date")).alias("new_users"))
+    sizes = cells.groupBy("cohort_week").agg(F.sum("new_users").alias("cohort_size"))
+    joined = cells.drop("new_users").join(sizes, "cohort_week")
     return joined.withColumn("retention_rate", safe_divide("active_users", "cohort_size"))
 
 
@@ -75,9 +76,13 @@ def cohort_retention(sessions: DataFrame, periods: int, grain: str = "week") ->
 
     A period that starts after the newest day of the data is NULL: nobody could be seen in it.
     """
+    return cohort_retention_of(user_days(sessions, ()), sessions.agg(F.max("event_date")).scalar(), periods, grain)
+
+
+def cohort_retention_of(users: DataFrame, newest: Column, periods: int, grain: str = "week") -> DataFrame:
+    """``cohort_retention`` from one row per user and the newest day of the data."""
     if grain not in ("day", "week", "month"):
         raise ValueError(f"unknown cohort grain {grain!r}")
-    users = user_days(sessions, ())
     cohort = time_grain("first_date", grain)
     period_start = F.transform("days", lambda d: time_grain(d, grain))
     activity = users.select(cohort.alias("cohort"), F.explode(F.array_distinct(period_start)).alias("period"))
@@ -90,7 +95,6 @@ def cohort_retention(sessions: DataFrame, periods: int, grain: str = "week") ->
         .groupBy("cohort").pivot("age", list(range(periods))).agg(F.count(F.lit(1)))
         .fillna(0)
     )
-    newest = sessions.agg(F.max("event_date")).scalar()
     begins = lambda p: F.expr(f"cohort + make_interval(0, {p}, 0, 0)" if grain == "month" else f"date_add(cohort, {p * (7 if grain == 'week' else 1)})")
     # everyone is active in period 0, so its count is the size of the cohort
     return matrix.select(

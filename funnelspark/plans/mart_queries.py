@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from funnelspark.functions.events import channel_group, event_param
 from funnelspark.functions.numeric import money_sum
-from funnelspark.operators import attribution, cohorts, daily, dims, orders, rfm, sessions, staging
+from funnelspark.operators import active_days, attribution, cohorts, daily, dims, orders, rfm, sessions, staging
 from funnelspark.plans.common import query, report
 from funnelspark.plans.marts import Marts
+from funnelspark.session import scratch_path
+from funnelspark.sources.daytable import DayTable
+from funnelspark.sources.eventstore import EventStore
 
 RFM_AS_OF = dt.date(2001, 1, 1)
 FUNNEL_DIMS = ("channel_group", "device_category", "country", "operating_system")
@@ -218,6 +221,59 @@ def retention_curve(m: Marts) -> DataFrame:
     return report(cohorts.retention_curve(m.sessions))
 
 
+# ── sessions from bucketed events, cohorts from bitmaps of active days ───────
+
+
+def event_store(m: Marts, buckets: int = 16) -> EventStore:
+    path = scratch_path(m.spark, "events")
+    return EventStore(m.spark, path.rpartition("/")[2].replace("-", "_"), path).write(m.stg, buckets)
+
+
+@query
+def bucketed_funnel(m: Marts) -> DataFrame:
+    return report(event_store(m).by_user(lambda stg: sessions.funnel_facts(sessions.session_rollup(stg))))
+
+
+@query
+def bucketed_sessions(m: Marts) -> DataFrame:
+    return report(event_store(m).by_user(lambda stg: sessions.fct_sessions(sessions.session_rollup(stg))))
+
+
+@query
+def bucketed_cohorts(m: Marts) -> DataFrame:
+    """Users are whole in their bucket, so each bucket goes from events to users in one task; cohorts are exchanged alone."""
+    users = event_store(m).by_user(lambda stg: cohorts.user_days(sessions.fct_sessions(sessions.session_rollup(stg))))
+    return report(cohorts.cohorts_of(users))
+
+
+def bitmaps_day_by_day(m: Marts) -> DayTable:
+    """Bitmaps of all sessions but those of the last two days, then those days, one after the other."""
+    m.share_sessions()
+    table = DayTable(m.spark, scratch_path(m.spark, "active-days"), active_days.STRETCH)
+    last = m.sessions.agg(F.max("event_date")).first()[0]
+    before = last - dt.timedelta(days=2)
+    active_days.add_sessions(table, m.sessions.filter(F.col("event_date") <= F.lit(before)))
+    for back in (1, 0):
+        active_days.add_sessions(table, m.sessions.filter(F.col("event_date") == F.lit(last - dt.timedelta(days=back))))
+    return table
+
+
+@query
+def bitmap_cohorts(m: Marts) -> DataFrame:
+    return report(cohorts.cohorts_of(active_days.users(bitmaps_day_by_day(m).read())))
+
+
+@query
+def bitmap_retention_curve(m: Marts) -> DataFrame:
+    return report(cohorts.retention_curve_of(active_days.users(bitmaps_day_by_day(m).read())))
+
+
+@query
+def bitmap_cohort_retention(m: Marts) -> DataFrame:
+    users = active_days.users(bitmaps_day_by_day(m).read())
+    return report(cohorts.cohort_retention_of(users, users.agg(F.max(F.element_at("days", -1))).scalar(), periods=5, grain="week"))
+
+
 @query
 def rfm_scores(m: Marts) -> DataFrame:
     totals = rfm.buyer_totals(m.table("orders"), RFM_AS_OF, "o_custkey", "o_orderdate", "o_totalprice")

@@ -1,4 +1,4 @@
-"""A table of day partitions in which one commit replaces some days and empties others.
+"""A table partitioned by day, or by the first day of a longer stretch, in which one commit replaces some days and empties others.
 
 A commit writes the new rows of its days to a folder of its own, then a manifest
 that names the folder of every day. Readers take the newest manifest, so they
@@ -24,8 +24,8 @@ MANIFEST = "version long, event_date date, folder string, run string, source str
 
 
 class DayTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, day: str = DAY):
+        self.spark, self.path, self.day = spark, path.rstrip("/"), day
 
     def _manifest(self) -> list:
         """Rows of the newest manifest: one for each day, and one without a day for the commit itself."""
@@ -63,7 +63,7 @@ class DayTable:
             raise ValueError(f"nothing was committed to {self.path}")
         schema = T._parse_datatype_json_string(self._head(held).schema)
         wanted = None if days is None else set(days)
-        folders = [f"{r.folder}/{DAY}={r.event_date}" for r in held if r.event_date is not None and (wanted is None or r.event_date in wanted)]
+        folders = [f"{r.folder}/{self.day}={r.event_date}" for r in held if r.event_date is not None and (wanted is None or r.event_date in wanted)]
         if not folders:
             return self.spark.createDataFrame([], schema)
         # the day comes from the folder's name; all commits lie side by side under one base
@@ -81,9 +81,9 @@ class DayTable:
             return False
         folder = f"commit={uuid.uuid4().hex}"
         target = f"{self.path}/data/{folder}"
-        order = [c for c in (DAY, "device_category", "channel_group") if c in df.columns]
-        df.hint("rebalance", DAY).sortWithinPartitions(*order).write.partitionBy(DAY).parquet(target)
-        written = {r[0] for r in self.spark.read.schema(df.schema).option("basePath", target).parquet(target).select(DAY).distinct().collect()}
+        order = [c for c in (self.day, "device_category", "channel_group") if c in df.columns]
+        df.hint("rebalance", self.day).sortWithinPartitions(*order).write.partitionBy(self.day).parquet(target)
+        written = {r[0] for r in self.spark.read.schema(df.schema).option("basePath", target).parquet(target).select(self.day).distinct().collect()}
         if None in written or (days is not None and not written <= set(days)):
             raise ValueError(f"rows outside the days of the commit: {sorted(map(str, written - set(days or ())))[:3]}")
         kept = [] if days is None else [(r.event_date, r.folder) for r in held if r.event_date is not None and r.event_date not in set(days)]

@@ -119,6 +119,11 @@ ORACLES["cohort_retention"] = with_sessions(f"""
 SELECT cohort_week AS cohort, count(DISTINCT user_pseudo_id) AS cohort_size,
  {_periods("cohort_week + {p} * 7", "(SELECT max(event_date) FROM fs)")}
 FROM (SELECT *, date_diff('week', cohort_week, event_date) AS age FROM act) GROUP BY 1""", COHORTS, _act)
+for _same, _name in (
+    ("bucketed_funnel", "fct_funnel"), ("bucketed_sessions", "fct_sessions"), ("bucketed_cohorts", "fct_cohorts"), ("bitmap_cohorts", "fct_cohorts"),
+    ("bitmap_retention_curve", "retention_curve"), ("bitmap_cohort_retention", "cohort_retention"),
+):
+    ORACLES[_same] = ORACLES[_name]
 ORACLES["cohort_retention_orders"] = f"""
 WITH o AS (SELECT o_custkey AS user_pseudo_id, CAST(o_orderdate AS DATE) AS event_date FROM orders),
 f AS (SELECT user_pseudo_id, CAST(date_trunc('month', min(event_date)) AS DATE) AS cohort FROM o GROUP BY 1),
