@@ -55,9 +55,9 @@ def add_sessions(table: DayTable, sessions: DataFrame) -> None:
 
 
 def users(bitmaps: DataFrame) -> DataFrame:
-    """One row per user as ``cohorts.user_days`` gives it: first day, sorted days, dimensions of the first session."""
+    """One row per user as ``cohorts.user_days`` gives it: first day, sorted days, key and dimensions of the first session."""
     held = F.array_sort(F.collect_list(F.struct(STRETCH, "bits")))
     rows = bitmaps.groupBy("user_pseudo_id").agg(F.min("first").alias("first"), held.alias("held"))
     days = F.expr(f"flatten(transform(held, h -> transform(filter(sequence(0, {DAYS - 1}), i -> bit_get(h.bits, i) = 1), i -> date_add(h.{STRETCH}, i))))")
     return rows.withColumn("days", days).select(
-        "user_pseudo_id", F.get("days", F.lit(0)).alias("first_date"), "days", *(F.col(f"first.{d}").alias(d) for d in COHORT_DIMS))
+        "user_pseudo_id", F.col("first.session_key").alias("session_key"), F.get("days", F.lit(0)).alias("first_date"), "days", *(F.col(f"first.{d}").alias(d) for d in COHORT_DIMS))

@@ -17,7 +17,7 @@ HORIZONS = (1, 7, 30)
 
 
 def user_days(sessions: DataFrame, dims=COHORT_DIMS) -> DataFrame:
-    """One row per user: first session's dimensions and the sorted days with a session.
+    """One row per user: first session's key and dimensions, and the sorted days with a session.
 
     Without dimensions only user and day are read.
     """
@@ -32,7 +32,7 @@ def user_days(sessions: DataFrame, dims=COHORT_DIMS) -> DataFrame:
         F.min("first").alias("first"), F.array_sort(F.collect_list("event_date")).alias("days")
     )
     return users.select(
-        "user_pseudo_id", F.get("days", F.lit(0)).alias("first_date"), "days",
+        "user_pseudo_id", F.col("first.session_key").alias("session_key"), F.get("days", F.lit(0)).alias("first_date"), "days",
         *[F.col(f"first.{d}").alias(d) for d in dims],
     )
 

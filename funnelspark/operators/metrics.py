@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from funnelspark.functions.events import all_of, time_grain, typed_literal
 from funnelspark.functions.numeric import money, safe_divide
+from funnelspark.operators.cohorts import cohorts_of
 
 
 class SemanticError(ValueError):
@@ -275,6 +276,52 @@ class Filter:
             raise SemanticError(f"{value!r} is not a date, which {self.dimension} asks for") from error
 
 
+# ── bridges ───────────────────────────────────────────────────────────────────
+
+@dataclass(frozen=True)
+class Bridge:
+    """How rows of a table reach filter dimensions that the table lacks.
+
+    Rows of ``base`` are kept whose ``key`` belongs to a row of another table
+    that meets all filters on it together: a session for its dimensions, a
+    viewed or bought line for those of items. The keys are joined as a
+    semi-join, ahead of any aggregation; Spark puts a Bloom filter of the keys
+    before the scan where it pays. ``build`` makes the asked table of the rows
+    that are left.
+    """
+
+    base: str
+    session: str = "session_key"
+    item: str = "session_key"
+    build: Callable[[DataFrame], DataFrame] = lambda rows: rows
+
+
+BRIDGES = {
+    "fct_funnel": Bridge("fct_funnel"),
+    "fct_sessions": Bridge("fct_sessions"),
+    "fct_orders": Bridge("fct_orders", item="order_key"),
+    "buyer_orders": Bridge("buyer_orders", item="order_key"),
+    "fct_order_items": Bridge("fct_order_items"),
+    "session_items": Bridge("session_items"),
+    # a cohort has the dimensions of its users' first sessions
+    "fct_cohorts": Bridge("cohort_users", build=cohorts_of),
+}
+
+
+def _bridged(tables: Mapping[str, DataFrame], source: str, absent: list[tuple[str, Column]]) -> DataFrame:
+    """The table with filters on dimensions of other tables applied."""
+    bridge = BRIDGES[source]
+    try:
+        rows = tables[bridge.base]
+        for via, key, items in (("fct_sessions", bridge.session, False), ("fct_order_items", bridge.item, True)):
+            conditions = [c for d, c in absent if (d in ITEM_DIMS) == items]
+            if conditions:
+                rows = rows.join(tables[via].filter(all_of(conditions)).select(key), key, "left_semi")
+    except KeyError as error:
+        raise SemanticError(f"metrics of {source} cannot be filtered by {absent[0][0]} without the table {error.args[0]}") from error
+    return bridge.build(rows)
+
+
 # ── query ─────────────────────────────────────────────────────────────────────
 
 def _validate(metrics: Sequence[str], dims: Sequence[str]) -> list[Metric]:
@@ -396,7 +443,8 @@ def metric_query(
     """The asked metrics by the asked dimensions.
 
     ``tables`` maps table names to DataFrames; only those a metric needs are
-    read. Filters apply before grouping and may use any governed dimension.
+    read. Filters apply before grouping and may use any governed dimension; one
+    that a table lacks is looked up through a bridge.
     ``trust_grain=False`` counts keys as distinct even where they are unique.
     """
     chosen = _validate(metrics, dims)
@@ -410,13 +458,12 @@ def metric_query(
 
     def frame(source: str, over_all_items: bool, group: list[Part]) -> tuple[list[str], DataFrame]:
         skip = ITEM_DIMS if over_all_items else ()
-        kept = [c for d, c in conditions if d not in skip]
         have = set(tables[source].columns)
-        absent = [d for d, _ in conditions if d not in skip and d not in TIME_DIMS and d not in have]
-        if absent:
-            raise SemanticError(f"metrics of {source} cannot be filtered by {absent[0]}")
+        absent = [(d, c) for d, c in conditions if d not in skip and d not in TIME_DIMS and d not in have]
+        kept = [c for d, c in conditions if d not in skip and (d in TIME_DIMS or d in have)]
         names = [d for d in dims if d not in skip]
-        table = tables[source].filter(all_of(kept)) if kept else tables[source]
+        table = _bridged(tables, source, absent) if absent else tables[source]
+        table = table.filter(all_of(kept)) if kept else table
         return names, _aggregate(table, source, [_dimension(d) for d in names], names, group, trust_grain)
 
     main = [frame(source, False, group)[1] for (source, scoped), group in groups.items() if not scoped]

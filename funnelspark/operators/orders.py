@@ -143,7 +143,7 @@ def item_view_lines(raw: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def item_lines(order_items: DataFrame, view_lines: DataFrame) -> DataFrame:
     """View and purchase lines in one table, told apart by 0/1 counts."""
-    dims = ["event_date", "channel_group", "device_category", "country", "item_id", "item_name", "item_brand", "item_category"]
+    dims = ["session_key", "event_date", "channel_group", "device_category", "country", "item_id", "item_name", "item_brand", "item_category"]
     bought = order_items.select(
         *dims, "order_key", F.lit(True).alias("item_in_order"), "item_revenue_in_usd",
         F.lit(0).cast("long").alias("item_views"), F.lit(1).cast("long").alias("item_purchases"),

@@ -19,6 +19,7 @@ class Marts(Mapping):
     METRIC_TABLES = {
         "fct_funnel": "funnel", "fct_sessions": "sessions", "fct_orders": "orders", "buyer_orders": "buyer_orders",
         "fct_cohorts": "cohorts", "fct_order_items": "item_lines", "session_items": "view_lines",
+        "cohort_users": "cohort_users",
     }
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -101,6 +102,10 @@ class Marts(Mapping):
     def item_lines(self) -> DataFrame:
         return orders.item_lines(self.order_items, self.view_lines)
 
+    @cached_property
+    def cohort_users(self) -> DataFrame:
+        return cohorts.user_days(self.sessions)
+
     @cached_property
     def cohorts(self) -> DataFrame:
         return cohorts.fct_cohorts(self.sessions)

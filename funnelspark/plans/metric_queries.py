@@ -152,3 +152,40 @@ def metric_total_products(m: Marts) -> DataFrame:
     m.share_sessions()
     item_filter = [{"dimension": "item_category", "op": "IN", "value": ["ECONOMY", "SMALL"]}]
     return report(metric_query(m, ["product_attach_rate", "item_views", "product_revenue"], (), item_filter))
+
+
+# ── filters on dimensions that a metric's table lacks ────────────────────────
+
+@query
+def orders_by_browser(m: Marts) -> DataFrame:
+    m.share_sessions().share_orders()
+    filters = [{"dimension": "browser", "op": "IN", "value": ["Chrome", "Edge"]}, {"dimension": "region", "op": "!=", "value": "ASIA"}]
+    return report(metric_query(m, ["orders", "gross_revenue", "aov", "repeat_purchase_rate"], ["channel_group"], filters))
+
+
+@query
+def orders_with_brand(m: Marts) -> DataFrame:
+    m.share_sessions().share_orders()
+    filters = [{"dimension": "item_brand", "op": "IN", "value": ["Brand#1", "Brand#2", "Brand#3"]}, {"dimension": "item_category", "op": "!=", "value": "SMALL"}]
+    return report(metric_query(m, ["orders", "net_revenue"], ["week"], filters))
+
+
+@query
+def product_revenue_by_source(m: Marts) -> DataFrame:
+    m.share_sessions()
+    filters = [{"dimension": "source", "op": "NOT IN", "value": ["google", "(direct)"]}, {"dimension": "day", "op": ">=", "value": "2024-01-08"}]
+    return report(metric_query(m, ["product_revenue", "item_views", "item_purchases"], ["item_category"], filters))
+
+
+@query
+def cohort_size_by_landing_page(m: Marts) -> DataFrame:
+    m.share_sessions()
+    filters = [{"dimension": "landing_page", "op": "<", "value": "/p/5"}, {"dimension": "country", "op": "!=", "value": "NATION_3"}]
+    return report(metric_query(m, ["cohort_size", "retained_users_d1", "retained_users_d7", "day_7_retention"], ["week", "device_category"], filters))
+
+
+@query
+def sessions_by_item(m: Marts) -> DataFrame:
+    m.share_sessions()
+    filters = [{"dimension": "item_category", "op": "=", "value": "ECONOMY"}, {"dimension": "browser", "op": "=", "value": "Chrome"}]
+    return report(metric_query(m, ["sessions", "users", "session_conversion_rate"], ["channel_group"], filters))

@@ -98,3 +98,27 @@ SELECT count(DISTINCT order_key) AS orders, {r(money('net_revenue'))} AS net_rev
 ORACLES["metric_total_products"] = with_sessions(f"""
 SELECT {r(div('count(DISTINCT order_key)', '(SELECT count(DISTINCT order_key) FROM ord)'))} AS product_attach_rate,
  CAST(sum(item_views) AS BIGINT) AS item_views, {r(money('item_revenue_in_usd'))} AS product_revenue FROM il WHERE item_category IN ('ECONOMY', 'SMALL')""", ORDERS, ITEMS)
+
+# filters on dimensions of other tables: sessions, lines of orders and views, first sessions of users
+_SOLD = f"""CAST(sum(item_purchases) AS BIGINT) AS item_purchases, CAST(sum(item_views) AS BIGINT) AS item_views, {r(money('item_revenue_in_usd'))} AS product_revenue"""
+ORACLES["orders_by_browser"] = with_sessions(f"""
+SELECT channel_group, count(DISTINCT order_key) AS orders, {r(money('gross_revenue'))} AS gross_revenue,
+ {r(div(money('gross_revenue'), 'count(DISTINCT order_key)'))} AS aov, {r(div(buyers(2), buyers(1)))} AS repeat_purchase_rate
+FROM bord WHERE session_key IN (SELECT session_key FROM fs WHERE browser IN ('Chrome', 'Edge') AND region <> 'ASIA') GROUP BY 1""", ORDERS)
+ORACLES["orders_with_brand"] = with_sessions(f"""
+SELECT {WEEK} AS week, count(DISTINCT order_key) AS orders, {r(money('net_revenue'))} AS net_revenue FROM ord
+WHERE order_key IN (SELECT order_key FROM oi WHERE item_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND item_category <> 'SMALL') GROUP BY 1""", ORDERS, ITEMS)
+ORACLES["product_revenue_by_source"] = with_sessions(f"""
+SELECT item_category, {_SOLD} FROM (
+ SELECT session_key, event_date, item_category, 1 AS item_purchases, 0 AS item_views, item_revenue_in_usd FROM oi
+ UNION ALL SELECT session_key, event_date, item_category, 0, views, NULL FROM vl)
+WHERE event_date >= DATE '2024-01-08' AND session_key IN (SELECT session_key FROM fs WHERE source NOT IN ('google', '(direct)')) GROUP BY 1""", ORDERS, ITEMS)
+ORACLES["cohort_size_by_landing_page"] = with_sessions(f"""
+SELECT CAST(date_trunc('week', ud.first_date) AS DATE) AS week, ud.device_category, count(*) AS cohort_size,
+ count(*) FILTER (d1) AS retained_users_d1, count(*) FILTER (d7) AS retained_users_d7, {r(div('count(*) FILTER (d7)', 'count(*)'))} AS day_7_retention
+FROM ud JOIN fd USING (user_pseudo_id) JOIN fs ON fs.session_key = fd.first_key
+WHERE fs.landing_page < '/p/5' AND ud.country <> 'NATION_3' GROUP BY 1, 2""", COHORTS)
+ORACLES["sessions_by_item"] = with_sessions(f"""
+SELECT channel_group, {SESSIONS} AS sessions, {USERS} AS users, {r(div(step('purchase'), SESSIONS))} AS session_conversion_rate FROM fct
+WHERE browser = 'Chrome' AND session_key IN (SELECT session_key FROM oi WHERE item_category = 'ECONOMY' UNION SELECT session_key FROM vl WHERE item_category = 'ECONOMY')
+GROUP BY 1""", ORDERS, ITEMS)

@@ -58,3 +58,18 @@ def test_shares_add_up_to_one(marts):
 def test_zero_denominator_is_null(marts):
     got = rows(metric_query(marts, ["sessions", "session_conversion_rate"], [], [Filter("country", "=", "NOWHERE")]))
     assert got == [{"sessions": 0, "session_conversion_rate": None}]
+
+
+def test_filters_on_other_tables_are_semi_joins_ahead_of_the_aggregation(marts):
+    request = metric_query(marts, ["orders"], ["week"], [Filter("browser", "=", "Chrome"), Filter("region", "=", "ASIA"), Filter("item_brand", "!=", "x")])
+    plan = request._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2 and "Cartesian" not in plan
+    chrome = marts.sessions.filter("browser = 'Chrome'").select("session_key")
+    got = metric_query(marts, ["orders"], [], [Filter("browser", "=", "Chrome")]).first()["orders"]
+    assert got == marts.orders.join(chrome, "session_key", "left_semi").count() > 0
+    assert metric_query(marts, ["orders"], [], [Filter("browser", "=", "none")]).first()["orders"] == 0
+
+
+def test_a_filter_needs_its_bridge(marts):
+    with pytest.raises(SemanticError, match="without the table fct_sessions"):
+        metric_query({"fct_orders": marts["fct_orders"]}, ["orders"], [], [Filter("browser", "=", "Chrome")])
