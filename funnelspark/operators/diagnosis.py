@@ -7,14 +7,15 @@ works on it or on less, and for any number of week pairs at once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelspark.functions.events import segment_label
-from funnelspark.functions.numeric import money, money_sum, rate_or_zero
+from funnelspark.functions.numeric import money, money_sum, rate_or_zero, safe_divide
 from funnelspark.operators.daily import COUNTS, conversion_series
-from funnelspark.operators.decompose import decompose_change, summarize_effects, top_drivers
+from funnelspark.operators.decompose import decompose_change, dominant_effect, summarize_effects, top_drivers
 from funnelspark.operators.series import detect_anomaly
 from funnelspark.operators.significance import two_proportion_ztest
 from funnelspark.session import materialize
@@ -25,6 +26,7 @@ PAIR = ("w0", "w1")
 MIN_SEGMENT_SESSIONS = 500
 MIN_RATE_EFFECT = 0.003
 DRILL_ALPHA = 0.05
+RECONCILE_TOLERANCE = 0.005
 
 
 def _weekly_conversion(weekly: DataFrame) -> DataFrame:
@@ -161,20 +163,46 @@ def diagnose(weekly: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _reconciles(measures: Sequence[str], tolerance: float) -> Column:
+    """Both sides' sums over a node's siblings agree with what its parent carried, each within the tolerance."""
+    agree = [
+        F.abs(F.col(f"all_{c}_t{side}") - F.col(f"parent_{c}_t{side}")) <= tolerance * F.abs(F.col(f"parent_{c}_t{side}"))
+        for c in measures for side in (0, 1)
+    ]
+    return reduce(lambda a, b: a & b, agree)
+
+
 def drill_tree(
     cells: DataFrame, pairs: DataFrame, dims: Sequence[str], period: str = "week",
     branching: int | None = None, min_sessions: int = MIN_SEGMENT_SESSIONS,
     min_rate_effect: float = MIN_RATE_EFFECT, alpha: float = DRILL_ALPHA,
+    canonical: DataFrame | None = None, tolerance: float = RECONCILE_TOLERANCE, min_revenue: float = 0.0,
 ) -> DataFrame:
     """Best-first search for the slice whose own behaviour changed, one dimension per level.
 
     Every kept slice of one level is split by the next dimension in a single
     batched decomposition. A child is kept when its rate effect is large enough,
     its traffic in the compare period sufficient and its change significant; all
-    of them go on, or the strongest ``branching`` of each parent. ``cells`` holds
-    ``sessions`` and ``purchasing_sessions`` by period and dimensions.
+    of them go on, or the strongest ``branching`` of each parent. The search ends
+    with the dimensions or when a level keeps nothing. ``cells`` holds
+    ``sessions``, ``purchasing_sessions`` and ``revenue`` (none: 0) by period
+    and dimensions.
+
+    Counts and money are carried down: a node is priced at (conversion before -
+    after) x sessions after x revenue per purchase, and reconciles when it and
+    its siblings add up to the totals of their parent; those of the root come
+    from ``canonical`` (the same columns by period), or from the cells. A leaf
+    is a node without kept children. It is promoted to a finding when it
+    reconciles, its rate effect outweighs mix and interaction, and its price is
+    more than ``min_revenue``.
     """
-    parents = pairs.select(*PAIR, F.lit("").alias("parent"))
+    if "revenue" not in cells.columns:
+        cells = cells.withColumn("revenue", F.lit(0.0))
+    source = {"num": "purchasing_sessions", "den": "sessions", "revenue": "revenue"}
+    carried = [f"{c}_t{side}" for side in (0, 1) for c in source]
+    root = pairs.select(*PAIR, F.lit("").alias("parent"))
+    whole = (cells if canonical is None else canonical).join(pair_sides(root, period, "parent"), period)
+    parents = whole.groupBy(*PAIR, "parent").agg(*_both_sides(source))
     levels = []
     path = None
     for depth, dim in enumerate(dims, start=1):
@@ -183,11 +211,12 @@ def drill_tree(
         rows = cells.withColumn("parent", parent_path).withColumn("node", own)
         path = own if path is None else F.concat(parent_path, F.lit(" > "), own)
         sides = pair_sides(parents, period, "parent")
-        segments = rows.join(sides, [period, "parent"]).groupBy(*PAIR, "parent", F.col("node").alias("segment")).agg(
-            *_both_sides({"num": "purchasing_sessions", "den": "sessions"})
-        )
-        effects = decompose_change(segments, (*PAIR, "parent"))
-        tested = two_proportion_ztest(effects, "num_t0", "den_t0", "num_t1", "den_t1", alpha)
+        segments = rows.join(sides, [period, "parent"]).groupBy(*PAIR, "parent", F.col("node").alias("segment")).agg(*_both_sides(source))
+        sums = segments.groupBy(*PAIR, "parent").agg(*(F.sum(c).alias(f"all_{c}") for c in carried))
+        above = parents.select(*PAIR, "parent", *(F.col(c).alias(f"parent_{c}") for c in carried)).join(sums, [*PAIR, "parent"])
+        checked = above.select(*PAIR, "parent", _reconciles(list(source), tolerance).alias("reconciles"))
+        effects = decompose_change(segments, (*PAIR, "parent"), carry=[c for c in carried if c.startswith("revenue")])
+        tested = two_proportion_ztest(effects, "num_t0", "den_t0", "num_t1", "den_t1", alpha).join(checked, [*PAIR, "parent"])
         kept = tested.filter(
             (F.abs("rate") >= min_rate_effect) & (F.col("den_t1") >= min_sessions) & F.col("significant")
         )
@@ -195,18 +224,23 @@ def drill_tree(
         strongest = kept.withColumn("node_rank", F.row_number().over(order))
         if branching is not None:
             strongest = strongest.filter(F.col("node_rank") <= branching)
+        value = F.coalesce(safe_divide("revenue_t1", "num_t1"), safe_divide("revenue_t0", "num_t0"), F.lit(0.0))
         nodes = strongest.select(
             *PAIR, F.lit(depth).alias("depth"), "parent",
             F.concat_ws(" > ", F.when(F.col("parent") != "", F.col("parent")), F.col("segment")).alias("node"),
-            "node_rank", "den_t1", "r_t0", "r_t1", "mix", "rate", "interaction", "p_value",
+            "node_rank", *carried, "r_t0", "r_t1", "mix", "rate", "interaction", "p_value", "reconciles", value.alias("aov"),
+            ((F.col("r_t0") - F.col("r_t1")) * F.col("den_t1") * value).alias("revenue_at_risk"),
         )
         nodes = materialize(nodes, "drill-level")  # few rows that the next level and the result both read
+        if depth > 1 and nodes.isEmpty():
+            break
         levels.append(nodes)
-        parents = nodes.select(*PAIR, F.col("node").alias("parent"))
-    tree = levels[0]
-    for level in levels[1:]:
-        tree = tree.unionByName(level)
-    return tree
+        parents = nodes.select(*PAIR, F.col("node").alias("parent"), *carried)
+    tree = reduce(lambda a, b: a.unionByName(b), levels)
+    parent_of = tree.select(*PAIR, F.col("parent").alias("node")).distinct().withColumn("split", F.lit(True))
+    marked = tree.join(parent_of, [*PAIR, "node"], "left").withColumn("leaf", F.col("split").isNull()).drop("split")
+    rate_story = dominant_effect() == "rate"
+    return marked.withColumn("promoted", F.col("leaf") & F.col("reconciles") & rate_story & (F.abs("revenue_at_risk") > min_revenue))
 
 
 def identity_check(totals: DataFrame, tolerance: float = 0.005) -> DataFrame:

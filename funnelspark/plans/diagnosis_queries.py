@@ -276,6 +276,29 @@ def drill_tree(m: Marts) -> DataFrame:
     cells = m.funnel.groupBy(time_grain("event_date", "week").alias("week"), *dims).agg(*funnel_counts())
     cells = materialize(cells, "drill-cells")
     tree = diagnosis.drill_tree(cells, diagnosis.adjacent_pairs(cells), dims, min_sessions=5, min_rate_effect=0.0005, alpha=0.25)
+    return report(tree, *PAIR, "depth", "parent", "node", "node_rank", "den_t1", "r_t0", "r_t1", "mix", "rate", "interaction", "p_value")
+
+
+@query
+def drill_leaves(m: Marts) -> DataFrame:
+    """The search at its documented bounds: why did the share of returned lines move between two years of all orders?
+
+    A line counts as a session and a returned one as a purchase of its price.
+    """
+    dims = ("l_linestatus", "region", "o_orderpriority")
+    lines = m.table("lineitem").join(m.table("orders"), F.expr("l_orderkey = o_orderkey")).join(m.table("customer"), F.expr("o_custkey = c_custkey"))
+    lines = lines.join(m.table("nation"), F.expr("c_nationkey = n_nationkey")).join(m.table("region"), F.expr("n_regionkey = r_regionkey"))
+    returned = F.col("l_returnflag") == "R"
+    measures = (
+        F.count(F.lit(1)).alias("sessions"), F.count_if(returned).alias("purchasing_sessions"),
+        money_sum(F.when(returned, F.col("l_extendedprice")).otherwise(0.0)).alias("revenue"),
+    )
+    year = F.to_date(F.trunc(F.to_date("l_shipdate"), "year")).alias("year")
+    cells = materialize(lines.groupBy(year, "l_linestatus", F.col("r_name").alias("region"), "o_orderpriority").agg(*measures), "drill-cells")
+    years = cells.agg(F.collect_set("year").alias("ys"))  # calendar years
+    pairs = years.selectExpr("inline(flatten(transform(ys, a -> transform(filter(ys, b -> b > a), b -> struct(a AS w0, b AS w1)))))")
+    canonical = m.table("lineitem").groupBy(year).agg(*measures)
+    tree = diagnosis.drill_tree(cells, pairs, dims, period="year", canonical=canonical, min_revenue=1000.0)
     return report(tree)
 
 

@@ -273,6 +273,46 @@ ORACLES["drill_tree"] = with_sessions("\nUNION ALL\n".join(
     f"SELECT w0, w1, depth, parent, node, node_rank, den_t1, {_drilled} FROM nd{d}" for d in (1, 2, 3)
 ), _cells, PAIRS, *(_drill_level(d, 5, 0.0005, 0.25) for d in (1, 2, 3)))
 
+_MEASURES = [f"{c}_t{t}" for t in (0, 1) for c in ("num", "den", "revenue")]
+_LINES = """
+cells AS (
+ SELECT CAST(date_trunc('year', l_shipdate) AS DATE) AS year, l_linestatus, r_name AS region, o_orderpriority, count(*) AS den,
+  count(*) FILTER (l_returnflag = 'R') AS num, sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS revenue
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+ GROUP BY ALL),
+years AS (SELECT DISTINCT year FROM cells),
+pairs AS (SELECT a.year AS w0, b.year AS w1 FROM years a JOIN years b ON a.year < b.year)"""
+
+
+def _leaf_level(depth: int, dims: tuple[str, ...]) -> str:
+    labels = [f"'{d}=' || {d}" for d in dims]
+    above = " || ' > ' || ".join(labels[: depth - 1]) or "''"
+    side = lambda w, c: f"CAST(sum(CASE WHEN year = {w} THEN {c} ELSE 0 END) AS DOUBLE)"
+    both = ", ".join(f"{side(f'w{m[-1]}', m[:-3])} AS {m}" for m in _MEASURES)
+    parents = f"SELECT w0, w1, '' AS parent, {both} FROM pairs JOIN cells ON year IN (w0, w1) GROUP BY 1, 2" if depth == 1 else f"SELECT w0, w1, node AS parent, {', '.join(_MEASURES)} FROM nd{depth - 1}"
+    share = lambda t: f"den_{t} / nullif(sum(den_{t}) OVER (PARTITION BY w0, w1, parent), 0)"
+    agree = " AND ".join(f"abs(sum(s.{m}) OVER (PARTITION BY s.w0, s.w1, s.parent) - p.{m}) <= 0.005 * abs(p.{m})" for m in _MEASURES)
+    return f"""
+pr{depth} AS ({parents}),
+sg{depth} AS (SELECT p.w0, p.w1, p.parent, {labels[depth - 1]} AS segment, {both.replace('THEN den', 'THEN cells.den').replace('THEN num', 'THEN cells.num').replace('THEN revenue', 'THEN cells.revenue')}
+ FROM pr{depth} p JOIN cells ON year IN (p.w0, p.w1) AND {above} = p.parent GROUP BY 1, 2, 3, 4),
+rc{depth} AS (SELECT s.*, {agree} AS reconciles FROM sg{depth} s JOIN pr{depth} p USING (w0, w1, parent)),
+sh{depth} AS (SELECT *, {share('t0')} AS w_t0, {share('t1')} AS w_t1, coalesce(num_t0 / nullif(den_t0, 0), 0) AS r_t0, coalesce(num_t1 / nullif(den_t1, 0), 0) AS r_t1,
+  {z_test('num_t0', 'den_t0', 'num_t1', 'den_t1')} AS z, coalesce(revenue_t1 / nullif(num_t1, 0), revenue_t0 / nullif(num_t0, 0), 0) AS aov FROM rc{depth}),
+ef{depth} AS (SELECT *, (w_t1 - w_t0) * r_t0 AS mix, w_t0 * (r_t1 - r_t0) AS rate, (w_t1 - w_t0) * (r_t1 - r_t0) AS interaction, {p_value('z')} AS p_value FROM sh{depth}),
+nd{depth} AS (SELECT w0, w1, {depth} AS depth, parent, CASE WHEN parent <> '' THEN parent || ' > ' ELSE '' END || segment AS node,
+  row_number() OVER (PARTITION BY w0, w1, parent ORDER BY abs(rate) DESC, segment) AS node_rank, {', '.join(_MEASURES)}, r_t0, r_t1, mix, rate, interaction, p_value,
+  reconciles, aov, (r_t0 - r_t1) * den_t1 * aov AS revenue_at_risk
+ FROM ef{depth} WHERE abs(rate) >= 0.003 AND den_t1 >= 500 AND z IS NOT NULL AND p_value < 0.05)"""
+
+
+_priced = ", ".join(f"{r(c)} AS {c}" for c in (*_MEASURES, "r_t0", "r_t1", "mix", "rate", "interaction", "p_value", "aov", "revenue_at_risk"))
+ORACLES["drill_leaves"] = "WITH " + ",".join((_LINES, *(_leaf_level(d, ("l_linestatus", "region", "o_orderpriority")) for d in (1, 2, 3)), """
+tree AS (SELECT * FROM nd1 UNION ALL SELECT * FROM nd2 UNION ALL SELECT * FROM nd3),
+lv AS (SELECT *, NOT EXISTS (SELECT 1 FROM tree c WHERE c.w0 = tree.w0 AND c.w1 = tree.w1 AND c.parent = tree.node) AS leaf FROM tree)""")) + f"""
+SELECT w0, w1, depth, parent, node, node_rank, {_priced}, reconciles, leaf,
+ leaf AND reconciles AND abs(rate) > abs(mix) AND abs(rate) >= abs(interaction) AND abs(revenue_at_risk) > 1000 AS promoted FROM lv"""
+
 # ── memory, experiments ───────────────────────────────────────────────────────
 SEASON = "(VALUES (0, 'New Year', DATE '2024-01-01', DATE '2024-01-02'), (1, 'Sale', DATE '2024-01-15', DATE '2024-01-17')) cal(ordinal, event, a, b)"
 NEW_YEAR = SEASON.replace(", (1, 'Sale', DATE '2024-01-15', DATE '2024-01-17')", "")

@@ -123,3 +123,27 @@ def test_drill_finds_the_planted_slice(spark):
     cells = spark.createDataFrame(data, "week date, channel_group string, device_category string, sessions long, purchasing_sessions long")
     tree = rows(diagnosis.drill_tree(cells, diagnosis.adjacent_pairs(cells), ("channel_group", "device_category")), "depth", "node")
     assert [r["node"] for r in tree] == ["channel_group=Email", "channel_group=Email > device_category=mobile"]
+
+
+def test_leaves_of_the_drill_down_are_priced_and_reconciled(spark):
+    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 8)]
+    cells = [
+        # one cell of channel a lost half of its purchases; the rest stays as it was
+        *((d, c, v, 2000, 40 if (c, v, i) == ("a", "x", 1) else 100, 10.0 * (40 if (c, v, i) == ("a", "x", 1) else 100)) for i, d in enumerate(days) for c in "ab" for v in "xy"),
+        *((d, "small", "x", 400, 10 + 90 * i, 10.0 * (10 + 90 * i)) for i, d in enumerate(days)),
+    ]
+    frame = spark.createDataFrame(cells, "week date, channel string, device string, sessions long, purchasing_sessions long, revenue double")
+    pairs = spark.createDataFrame([tuple(days)], "w0 date, w1 date")
+    tree = {r["node"]: r for r in rows(diagnosis.drill_tree(frame, pairs, ("channel", "device")))}
+    assert set(tree) == {"channel=a", "channel=a > device=x"}
+    leaf, top = tree["channel=a > device=x"], tree["channel=a"]
+    assert leaf["leaf"] and leaf["promoted"] and leaf["reconciles"] and not top["leaf"] and not top["promoted"]
+    assert leaf["aov"] == 10.0 and leaf["revenue_at_risk"] == pytest.approx((100 - 40) / 2000 * 2000 * 10.0)
+    assert top["num_t0"] == 200 and top["revenue_t1"] == 1400.0
+    # totals that the cells don't add up to: nothing is promoted at the level that misses them
+    off = frame.groupBy("week").agg(*(F.sum(c).alias(c) for c in ("sessions", "purchasing_sessions", "revenue"))).withColumn("revenue", F.col("revenue") * 1.01)
+    drifted = rows(diagnosis.drill_tree(frame, pairs, ("channel",), canonical=off))
+    assert [(r["node"], r["reconciles"], r["leaf"], r["promoted"]) for r in drifted] == [("channel=a", False, True, False)]
+    # bounds that keep nothing end the search at once
+    assert diagnosis.drill_tree(frame, pairs, ("channel", "device", "week"), min_rate_effect=0.5).count() == 0
+    assert diagnosis.drill_tree(frame, pairs, ("channel", "device"), min_revenue=1e6).filter("promoted").count() == 0
