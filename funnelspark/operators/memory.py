@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funnelspark.functions.numeric import safe_divide
@@ -14,6 +16,8 @@ from funnelspark.operators.verdict import MATERIALITY, top_driver
 REPEAT_WINDOW_DAYS = 14
 PRIOR_DECAY_DAYS = 60.0
 WEEK_DAYS = 7
+CANDIDATE_BLOCK = 512
+MEMORY_BLOCK = 8192
 
 # Default seasonal calendar, in order of precedence.
 SEASONS = (
@@ -75,6 +79,12 @@ def to_findings(judged: DataFrame, as_of: Column | str) -> DataFrame:
     )
 
 
+def recall_order(findings: DataFrame) -> DataFrame:
+    """Adds ``recall_rank``: 1 for the newest finding of each key."""
+    newest = Window.partitionBy("key").orderBy(F.col("as_of").desc(), F.col("w1").desc(), F.col("w0").desc())
+    return findings.withColumn("recall_rank", F.row_number().over(newest))
+
+
 def recall_prior(findings: DataFrame, key: str, as_of: dt.date | None = None, within_days: int | None = None) -> DataFrame:
     """Earlier findings with this key, most recent first."""
     found = findings.filter(F.col("key") == key)
@@ -154,3 +164,64 @@ def similar_findings(
         .drop("candidate", vector)
         .orderBy(F.col("score").desc(), key).limit(k)
     )
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as rows, scaled to length 1; a zero vector stays zero."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.where(size == 0, 1.0, size)[:, None]
+
+
+def _best_in_blocks(k: int, decay_days: float):
+    """Compares a block of candidates with a block of memory; keeps the k best of each candidate."""
+    def compare(candidates: pa.Table, memory: pa.Table) -> pa.Table:
+        names = ["candidate_id", "prior_id", "similarity", "score"]
+        if not len(candidates) or not len(memory):
+            return pa.table({n: pa.array([], pa.int64() if n.endswith("_id") else pa.float64()) for n in names})
+        asked, held = _vectors(candidates["vector"]), _vectors(memory["vector"])
+        ids, prior = candidates["id"].to_numpy(), memory["id"].to_numpy()
+        day, reported = (t["day"].to_numpy().astype(np.int64) for t in (candidates, memory))
+        out = []
+        for i in range(len(ids)):
+            similarity = np.einsum("ij,j->i", held, asked[i])
+            age = day[i] - reported
+            score = np.where((age >= 0) & (prior != ids[i]), similarity * np.exp(-age / decay_days), -np.inf)
+            # ranks go by 12 digits, as in the merge
+            best = np.lexsort([prior, -np.round(score, 12)])[:k]
+            best = best[np.isfinite(score[best])]
+            out.append((np.full(len(best), ids[i]), prior[best], similarity[best], score[best]))
+        return pa.table({n: np.concatenate(c) for n, c in zip(names, zip(*out))})
+
+    return compare
+
+
+def recall_similar(
+    memory: DataFrame, candidates: DataFrame, k: int = 10, decay_days: float = PRIOR_DECAY_DAYS,
+    key: str = "vec_id", vector: str = "embedding", reported: str = "as_of",
+) -> DataFrame:
+    """candidate_id, prior_rank, prior_id, similarity, score: the k remembered findings closest to each candidate.
+
+    Scores are those of ``similar_findings``, each candidate as of its own day;
+    it never finds itself. Both sides come in blocks by hash of their key; each
+    block of candidates meets each block of memory in a task of its own, which
+    hands on k rows a candidate, so what is merged is bounded by candidates x k
+    x blocks of memory. Rows without a vector or a day take no part.
+    """
+    def block(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+        used = rows.filter(F.col(vector).isNotNull() & F.col(reported).isNotNull())
+        n = max(1, -(-used.count() // size))
+        of = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        return used.select(of.alias("own"), F.col(key).alias("id"), F.col(vector).alias("vector"), F.unix_date(reported).cast("long").alias("day")), n
+
+    asked, n_asked = block(candidates, CANDIDATE_BLOCK)
+    held, n_held = block(memory, MEMORY_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select(F.col("own").alias("a"), every(n_held).alias("b"), "id", "vector", "day")
+    held = held.select(every(n_asked).alias("a"), F.col("own").alias("b"), "id", "vector", "day")
+    best = asked.groupBy("a", "b").cogroup(held.groupBy("a", "b")).applyInArrow(
+        _best_in_blocks(k, decay_days), "candidate_id long, prior_id long, similarity double, score double")
+    order = Window.partitionBy("candidate_id").orderBy(F.round("score", 12).desc(), "prior_id")
+    ranked = best.withColumn("prior_rank", F.row_number().over(order)).filter(F.col("prior_rank") <= k)
+    return ranked.select("candidate_id", "prior_rank", "prior_id", "similarity", "score")

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from funnelspark.functions.events import channel_group, event_param
+from funnelspark.functions.numeric import money_sum
 from funnelspark.operators import checks
 from funnelspark.operators.checks import is_false, is_null, not_in, outside
 from funnelspark.operators.daily import COUNTS
@@ -15,6 +17,7 @@ from funnelspark.plans.common import query, report
 from funnelspark.plans.marts import Marts
 from funnelspark.session import materialize, scratch_path
 from funnelspark.sources.daytable import DayTable
+from funnelspark.sources.events import read_event_shards, read_seed, seed_channel, write_seed
 from funnelspark.streaming import daily_funnel
 
 CHANNEL_NAMES = [name for name, _, _ in CHANNELS]
@@ -120,6 +123,44 @@ def recency(m: Marts) -> DataFrame:
     return checks.recency(m.daily, AS_OF.date())
 
 
+# ── sources ──────────────────────────────────────────────────────────────────
+
+@query
+def event_shards(m: Marts) -> DataFrame:
+    """Day shards of three schemas as one table: fields that old shards lack, and numbers that were narrower, in a window."""
+    raw = materialize(m.raw_with_items, "all-events")
+    folder = scratch_path(m.spark, "shards")
+    day = F.dayofmonth("event_date")
+    old = raw.filter(day <= 10).drop("items").withColumns({
+        "device": F.col("device").dropFields("web_info"), "ecommerce": F.col("ecommerce").dropFields("unique_items", "tax_value_in_usd"),
+        "geo": F.struct(F.col("geo.country").alias("country"), F.lit("x").alias("continent")),
+    })
+    narrow = raw.filter((day > 10) & (day <= 20)).withColumns({
+        "event_params": F.transform("event_params", lambda p: p.withField("value.int_value", p["value"]["int_value"].cast("int"))),
+        "ecommerce": F.col("ecommerce").withField("total_item_quantity", F.col("ecommerce.total_item_quantity").cast("int")),
+    })
+    for part in (old, narrow, raw.filter(day > 20)):
+        # one folder a day, named by its date
+        part.withColumn("shard", F.date_format("event_date", "yyyyMMdd")).drop("event_date").write.mode("append").partitionBy("shard").parquet(folder)
+    events = read_event_shards(m.spark, f"{folder}/shard=*", dt.date(2024, 1, 3), dt.date(2024, 1, 28))
+    return report(events.groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("events"), F.count("device.category").alias("devices"), F.count("device.web_info.browser").alias("browsers"), F.count("geo.country").alias("countries"),
+        F.count("geo.region").alias("regions"), F.sum("ecommerce.total_item_quantity").alias("quantity"), F.sum("ecommerce.unique_items").alias("unique_items"),
+        money_sum("ecommerce.purchase_revenue_in_usd").alias("revenue"), F.sum(event_param("engagement_time_msec", "int")).alias("msec"),
+    ))
+
+
+@query
+def channel_seed(m: Marts) -> DataFrame:
+    """The mapping seed against the channel rules, for every source and medium of the events."""
+    path = scratch_path(m.spark, "seed")
+    write_seed(m.spark, path)
+    clicked = F.when(F.col("gclid").isNotNull(), F.lit("id"))
+    pairs = m.stg.groupBy("event_source", "event_medium", clicked.alias("gclid")).agg(F.count(F.lit(1)).alias("events"))
+    both = seed_channel(pairs.withColumn("channel_group", channel_group("event_source", "event_medium", "gclid")), read_seed(m.spark, path), "event_source", "event_medium")
+    return both.withColumn("agrees", F.col("seed_channel").eqNullSafe(F.col("channel_group")))
+
+
 # ── incremental and streaming builds, compared with the batch result ─────────
 
 def _land(raw: DataFrame, path: str | None = None) -> str:

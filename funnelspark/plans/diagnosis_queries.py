@@ -16,7 +16,8 @@ from funnelspark.operators.diagnosis import PAIR
 from funnelspark.operators.metrics import metric_query
 from funnelspark.plans.common import query, report
 from funnelspark.plans.marts import Marts
-from funnelspark.session import materialize
+from funnelspark.session import materialize, scratch_path
+from funnelspark.sources.findings import append_run, latest_findings, read_runs
 
 # Seasonal calendar of the test data.
 CALENDAR_2024 = (
@@ -343,6 +344,37 @@ def recall_prior(m: Marts) -> DataFrame:
     return memory.latest_prior(asked, log, memory.REPEAT_WINDOW_DAYS, as_of="asked_on")
 
 
+def logged_twice(m: Marts) -> str:
+    """A log of two runs over the findings of all days, the second of them replayed; returns its path."""
+    found = materialize(memory.to_findings(day_diagnoses(m), "w1"), "findings")
+    path = scratch_path(m.spark, "finding-log")
+    even = F.dayofmonth("w1") % 2 == 0
+    append_run(found.filter(~even), path, "odd")
+    for _ in range(2):
+        append_run(found.filter(even).unionByName(found.filter(even)), path, "even")
+    return path
+
+
+@query
+def finding_log_recall(m: Marts) -> DataFrame:
+    """The log read back, findings of each key numbered from the newest."""
+    recalled = memory.recall_order(read_runs(m.spark, logged_twice(m)))
+    return report(recalled, "run_id", "recall_rank", "as_of", *PAIR, "key", "direction", "delta", "verdict", digits=6)
+
+
+@query
+def finding_log_latest(m: Marts) -> DataFrame:
+    """The newest finding of each key in a window of days."""
+    window = read_runs(m.spark, logged_twice(m), dt.date(2024, 1, 8), dt.date(2024, 1, 25))
+    return report(latest_findings(window), "run_id", "as_of", *PAIR, "key", "delta", digits=6)
+
+
+@query
+def weeks(m: Marts) -> DataFrame:
+    """Weeks of the funnel in order."""
+    return m.weekly.select("week").distinct().orderBy("week")
+
+
 @query
 def acknowledged(m: Marts) -> DataFrame:
     """Top driver of each pair of days without those on an unexpired suppression list."""
@@ -365,6 +397,14 @@ def similar_findings(m: Marts) -> DataFrame:
     return report(memory.similar_findings(remembered, candidate, MEMORY_AS_OF), digits=6)
 
 
+@query
+def recall_similar(m: Marts) -> DataFrame:
+    """All findings of a run at once: every twentieth vector asked for, as of a day of its own, against all."""
+    remembered = m.table("embeddings").select("vec_id", "embedding", F.date_sub(F.lit(MEMORY_AS_OF), (F.col("vec_id") % 180).cast("int")).alias("as_of"))
+    asked = remembered.filter("vec_id % 20 = 0").withColumn("as_of", F.date_sub(F.lit(MEMORY_AS_OF), (F.col("vec_id") % 7).cast("int")))
+    return report(memory.recall_similar(remembered, asked), digits=6)
+
+
 @query
 def sample_size(m: Marts) -> DataFrame:
     segments = base_segments(m.weekly).withColumn("baseline_rate", safe_divide("num", "den"))

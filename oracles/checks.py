@@ -1,6 +1,6 @@
 """Oracle SQL of the data checks."""
 
-from oracles.common import FLAGS, COUNT_NAMES, ORACLES, ORDERS, div, money, r, sql, with_sessions
+from oracles.common import COUNT_NAMES, FLAGS, ORACLES, ORDERS, STG, channel, div, money, r, sql, with_sessions
 from oracles.marts import CHANNELS, DAILY
 
 STATUS = "CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END AS status"
@@ -75,3 +75,19 @@ ORACLES["recency"] = with_sessions(f"""
 SELECT rule, checked, violations, {STATUS} FROM (
  SELECT 'newest day is recent' AS rule, count(*) AS checked, CAST(date_diff('day', max(event_date), DATE '2024-02-01') > 2 AS BIGINT) AS violations FROM daily
  UNION ALL SELECT 'yesterday has rows', count(*), CAST(count(CASE WHEN event_date = DATE '2024-01-31' THEN 1 END) < 1 AS BIGINT) FROM daily)""", DAILY)
+
+_old = "day(event_date) <= 10"
+ORACLES["event_shards"] = sql(STG, select=f"""
+SELECT event_date, count(*) AS events, count(device_category) AS devices, count(CASE WHEN NOT {_old} THEN browser END) AS browsers, count(country) AS countries,
+ count(CASE WHEN NOT {_old} THEN region END) AS regions, CAST(sum(total_item_quantity) AS BIGINT) AS quantity, CAST(sum(CASE WHEN NOT {_old} THEN unique_items END) AS BIGINT) AS unique_items,
+ {r(money('purchase_revenue_in_usd'))} AS revenue, CAST(sum(engagement_time_msec) AS BIGINT) AS msec
+FROM stg WHERE event_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-28' GROUP BY 1""")
+# the pairs of the mapping that the seed lists, with its channel
+_SEEDED = """(VALUES ('(direct)', '(none)', 'Direct'), ('google', 'organic', 'Organic Search'), ('google', 'cpc', 'Paid Search'), ('dv360', 'display', 'Display'),
+ ('facebook', 'cpc', 'Paid Social'), ('instagram', 'social', 'Organic Social'), ('newsletter', 'email', 'Email'), ('partner', 'affiliate', 'Affiliates'),
+ ('some-blog', 'referral', 'Referral'), ('other', 'unknown', 'Other'), ('bing', 'organic', 'Organic Search'), ('youtube', 'social', 'Organic Social')) seed(s, m, seed_channel)"""
+ORACLES["channel_seed"] = sql(STG, select=f"""
+SELECT *, seed_channel IS NOT DISTINCT FROM channel_group AS agrees FROM (
+ SELECT event_source, event_medium, gclid, events, {channel('event_source', 'event_medium', 'gclid')} AS channel_group, seed_channel
+ FROM (SELECT event_source, event_medium, CASE WHEN gclid IS NOT NULL THEN 'id' END AS gclid, count(*) AS events FROM stg GROUP BY 1, 2, 3)
+ LEFT JOIN {_SEEDED} ON s = event_source AND m = event_medium)""")

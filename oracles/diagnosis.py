@@ -332,6 +332,15 @@ ORACLES["findings_log"] = with_sessions(f"""
 SELECT w1 + 1 AS as_of, w0, w1, key, dominant, top_segment AS segment, direction, {r('delta', 6)} AS delta, {r('revenue_at_risk', 6)} AS revenue_at_risk, verdict FROM fk""",
     *DAY_DIAG, FINDINGS)
 
+_LOG = "lg AS (SELECT *, w1 AS as_of, CASE WHEN day(w1) % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id FROM fk)"
+ORACLES["finding_log_recall"] = with_sessions(f"""
+SELECT run_id, row_number() OVER (PARTITION BY key ORDER BY as_of DESC, w1 DESC, w0 DESC) AS recall_rank, as_of, w0, w1, key, direction, {r('delta', 6)} AS delta, verdict FROM lg""",
+    *DAY_DIAG, FINDINGS, _LOG)
+ORACLES["finding_log_latest"] = with_sessions(f"""
+SELECT run_id, as_of, w0, w1, key, {r('delta', 6)} AS delta FROM lg WHERE as_of BETWEEN DATE '2024-01-08' AND DATE '2024-01-25'
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY as_of DESC, w1 DESC, w0 DESC) = 1""", *DAY_DIAG, FINDINGS, _LOG)
+ORACLES["weeks"] = with_sessions(f"SELECT DISTINCT {WEEK} AS week FROM fct ORDER BY 1")
+
 
 def decided(calendar: str, log: str, asked: int) -> str:
     return f"""
@@ -356,6 +365,14 @@ ORACLES["similar_findings"] = f"""
 WITH q AS (SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS c FROM embeddings),
 s AS (SELECT vec_id, label, DATE '2024-06-01' - CAST(vec_id % 180 AS INT) AS as_of, vec_id % 180 AS age_days, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) AS similarity FROM embeddings, q)
 SELECT vec_id, CAST(label AS BIGINT) AS label, as_of, age_days, {r('similarity', 6)} AS similarity, {r('similarity * exp(-age_days / 60.0)', 6)} AS score FROM s ORDER BY similarity * exp(-age_days / 60.0) DESC, vec_id LIMIT 10"""
+ORACLES["recall_similar"] = f"""
+WITH m AS (SELECT vec_id, DATE '2024-06-01' - CAST(vec_id % 180 AS INT) AS as_of, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (
+ SELECT q.vec_id AS candidate_id, m.vec_id AS prior_id, list_cosine_similarity(m.v, q.v) AS similarity,
+  list_cosine_similarity(m.v, q.v) * exp(-date_diff('day', m.as_of, DATE '2024-06-01' - CAST(q.vec_id % 7 AS INT)) / 60.0) AS score
+ FROM m q JOIN m ON q.vec_id % 20 = 0 AND m.vec_id <> q.vec_id AND m.as_of <= DATE '2024-06-01' - CAST(q.vec_id % 7 AS INT)),
+k AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY round(score, 12) DESC, prior_id) AS prior_rank FROM s)
+SELECT candidate_id, prior_rank, prior_id, {r('similarity', 6)} AS similarity, {r('score', 6)} AS score FROM k WHERE prior_rank <= 10"""
 _p1, _p2 = "p", "(p * 1.1::DOUBLE)"
 _bar = f"(({_p1} + {_p2}) / 2)"
 SIZE = f"""(CASE WHEN p > 0 AND p < 1 AND {_p2} < 1 THEN CAST(ceil(pow({Z95} * sqrt(2 * {_bar} * (1 - {_bar})) + {Z80} * sqrt({_p1} * (1 - {_p1}) + {_p2} * (1 - {_p2})), 2)
