@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 
 from funnelspark.session import materialize, scratch_path
 
-__all__ = ["bounded_rows", "crc32_sql", "let", "materialize", "read_table", "release", "replace_text", "saved", "scratch_path", "small_batches", "with_row_key"]
+__all__ = ["bounded_rows", "crc32_sql", "let", "materialize", "read_table", "replace_text", "scratch_path", "small_batches", "with_row_key"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,25 +27,6 @@ def crc32_sql(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_transform({codes}, lambda b: CAST(b AS BIGINT)), lambda s, b: {step}, 4294967295))"
 
 
-def release(spark: SparkSession, *paths: str) -> None:
-    """Let Spark drop the shuffle files of plans that nobody holds any more, and delete tables of ``saved``."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    for _ in range(2):  # the first round finds what Python let go, the second what that held in the JVM
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.5)
-
-
-def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As ``materialize``, with the path, for a table that is deleted when it has been used."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row from its id and content; nulls count as values of their own."""
     parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]

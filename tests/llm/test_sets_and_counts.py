@@ -1,9 +1,11 @@
 """Near-dedup, quality rules and scoring against plain Python."""
 
 import collections
+import math
 import re
 
 import pyarrow as pa
+import pytest
 
 from funnelspark.llm import lm_scoring, near_dedup, quality_rules
 
@@ -122,3 +124,34 @@ def test_scores_of_odd_texts(odd_docs, documents):
     twice = [r for r in out if r.doc_id == 4]
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0].n_words == 1
     assert lm_scoring.score(documents.limit(0)).count() == 0
+
+
+def plain_scores(texts, corpus, alpha=0.4):
+    """Sums of logs with c(v w) / c(v) where the bigram was counted, else alpha * c(w) / N."""
+    one, two = collections.Counter(), collections.Counter()
+    split = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    for t in corpus:
+        w = split(t)
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    n = sum(one.values()) or 1
+    out = []
+    for t in texts:
+        w = split(t)
+        total = math.log(max(one[w[0]], 1) / n) if w else 0.0
+        for v, x in zip(w, w[1:]):
+            total += math.log(two[v, x] / one[v]) if two[v, x] else math.log(alpha * max(one[x], 1) / n)
+        out.append(total)
+    return out
+
+
+def test_scores_equal_plain_counts_with_and_without_a_corpus(documents, make_docs):
+    docs = documents.limit(60).unionByName(make_docs((7000, "never Seen never seen words"), (7001, "lone"), (7002, None)))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.log_score for r in lm_scoring.score(docs).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(plain_scores([t for _, t in rows], [t for _, t in rows]))
+    same = {r.doc_id: r.log_score for r in lm_scoring.score(docs, docs).collect()}
+    assert same == pytest.approx(got)
+    corpus = documents.filter("doc_id >= 100")
+    other = {r.doc_id: r.log_score for r in lm_scoring.score(docs, corpus).collect()}
+    assert [other[i] for i, _ in rows] == pytest.approx(plain_scores([t for _, t in rows], [r.text for r in corpus.collect()]))
