@@ -17,7 +17,9 @@ the source of counts, unseen bigrams back off: the back-off term is summed over
 all words, and a counted bigram adds the difference.
 
 Every task adds up its own occurrences before the shuffle: counts for a batch of
-texts, occurrences for each document.
+texts, occurrences for each document. Tables hold a row for each n-gram, so a
+partition of one is as large as the table over the number of partitions; joins
+hash that side and don't sort the occurrences.
 """
 
 from __future__ import annotations
@@ -124,7 +126,7 @@ def _bigram_table(texts: DataFrame, least: int) -> DataFrame:
 
 def _gram_sums(texts: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum of the weights (gram, v) over the bigrams of each document."""
-    joined = texts.mapInArrow(_bigrams, "gram long, key long, times int").join(weights.hint("merge"), "gram")
+    joined = texts.mapInArrow(_bigrams, "gram long, key long, times int").join(weights.hint("shuffle_hash"), "gram")
     return joined.groupBy("key").agg(F.sum(F.col("times") * F.col("v")).alias("g"))
 
 
@@ -150,7 +152,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA
 
 def _word_sums(found: DataFrame, counts: DataFrame, how: str, weight: Callable) -> DataFrame:
     """(key, s, n): the weighted words of each document, and how many it has."""
-    joined = found.join(counts.hint("merge"), "a", how)
+    joined = found.join(counts.hint("shuffle_hash"), "a", how)
     return joined.groupBy("key").agg(F.sum(weight(F.coalesce("c", F.lit(1)))).alias("s"), F.sum("times").alias("n"))
 
 
