@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from funnelspark.session import materialize, scratch_path
 
-__all__ = ["bounded_rows", "crc32_sql", "let", "materialize", "read_table", "replace_text", "scratch_path", "small_batches", "with_row_key"]
+__all__ = ["bounded_rows", "crc32_sql", "let", "materialize", "nested", "read_table", "replace_text", "scratch_path", "small_batches", "with_row_key"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def nested(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], known: tuple[str, ...] = ("doc_id", "text", "lang", "n_chars")) -> DataFrame:
+    """``stage`` of ``docs`` with the columns of ``docs``; those it doesn't know travel in one struct, so their names can't clash."""
+    own, other = [c for c in docs.columns if c in known], [c for c in docs.columns if c not in known]
+    if not other:
+        return stage(docs).select(*own)
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    out = stage(docs.select(*own, F.struct(*(F.col(quoted(c)) for c in other)).alias("other_columns")))
+    return out.select(*(F.col(c) if c in own else F.col(f"other_columns.{quoted(c)}").alias(c) for c in docs.columns))
+
+
 def replace_text(docs: DataFrame, text: Column, changed: Column) -> DataFrame:
     """``docs`` with a new ``text``; ``n_chars``, where there is one, follows it in rows that ``changed``."""
     out = docs.withColumns({"_changed": changed, "text": text})

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import materialize, small_batches
+from funnelspark.llm.common import materialize, nested, small_batches
 from funnelspark.llm.textarrays import mix, shingles, sorted_in_rows
 
 WORDS = 5
@@ -84,8 +84,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         flat = pa.array(bands.astype(np.int64).ravel())
         offsets = pa.array(np.arange(0, flat.__len__() + 1, BINS // ROWS, dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n.astype(np.int64)), *map(pa.array, digests), pa.ListArray.from_arrays(offsets, flat)],
-            names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(n.astype(np.int64)), *map(pa.array, digests), pa.ListArray.from_arrays(offsets, flat)],
+            names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands"],
         )
 
 
@@ -186,28 +186,29 @@ def _exact_pairs(classes: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "rep_a").alias("a"), F.greatest("rep", "rep_a").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and first (doc_id and text_hash of the group's first text) of every row.
 
-    Null, empty and blank texts have no shingle and are linked with nothing, as
-    are rows without doc_id (component_id null, kept). Repeated rows are one
-    document; texts that differ under one doc_id are linked each on its own.
-    Extra columns are ignored.
+    Classes of equal sets go by numbers of their own, as several texts may share
+    a doc_id; a group takes the smallest doc_id of its classes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(texts.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    kind = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, bands array<long>"
+    sets = materialize(texts.mapInArrow(_sketch_batches, kind), "sketches")
     usable = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(
-        usable.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")),
-        "classes",
-    )
+    same = usable.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("bands").alias("bands"))
+    classes = materialize(same.withColumn("rep", F.monotonically_increasing_id()), "classes")
     # buckets of two classes or more, and the texts of those classes, taken out of the documents once
     spread = _buckets(classes)
     shared = spread.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     inside = materialize(spread.join(shared, "key", "left_semi"), "buckets")
-    wanted = materialize(inside.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    held = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate_texts")
-    grouped = classes.join(wanted, F.col("rep") == F.col("doc_id"), "left_semi")
+    wanted = materialize(inside.select("rep").distinct(), "wanted")
+    named = classes.join(wanted, "rep").select("rep", "first.doc_id", "first.text_hash")
+    held = texts.join(named, ["doc_id", "text_hash"]).dropDuplicates(["rep"]).select(F.col("rep").alias("doc_id"), "text")
+    held = materialize(held, "candidate_texts")
+    grouped = classes.join(wanted, "rep", "left_semi")
 
     confirmed = tested = label = None
     for kind in (*ROUNDS, "exact"):
@@ -234,15 +235,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         label = components(confirmed)
     member = classes.drop("bands")
     if label is not None:
-        member = member.join(label, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep")).drop("node", "component")
-    rows = sets.select("doc_id", "d1", "d2", F.col("n_shingles").alias("n"))
-    component = F.when(F.col("n") > 0, F.least("doc_id", "rep")).otherwise(F.col("doc_id"))
-    return rows.join(member, ["d1", "d2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        label = materialize(label, "labels")
+        # a component's root has no row of its own among the labels
+        every = label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
+        first = every.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+        least = every.join(first, "component").select(F.col("node").alias("rep"), "least").dropDuplicates(["rep"])
+        member = member.join(least, "rep", "left").withColumn("first", F.coalesce("least", "first")).drop("least")
+    rows = sets.select("doc_id", "text_hash", "d1", "d2", F.col("n_shingles").alias("n"))
+    component = F.when(F.col("n") > 0, F.least("doc_id", "first.doc_id")).otherwise(F.col("doc_id"))
+    return rows.join(member.drop("rep"), ["d1", "d2", "n"], "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), "first")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
+
+    Null, empty and blank texts have no shingle and are linked with nothing, as
+    are rows without doc_id (component_id null, kept). Repeated rows are one
+    document; texts that differ under one doc_id are linked each on its own.
+    Extra columns are ignored.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id").withColumn("kept", kept)
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose document isn't the first of its near-duplicate group."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of ``docs`` for each group: of the text with the smallest doc_id, and of texts that share it one.
+
+    Texts without shingles and rows without doc_id are no group, but of rows that
+    agree in doc_id and text one stays.
+    """
+    def first_rows(own: DataFrame) -> DataFrame:
+        hashed = own.withColumns({"row_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(F.col("text").cast("string"))})
+        verdicts = materialize(_grouped(own), "groups")
+        is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+        later = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & ~is_first
+        gone = verdicts.filter(later).select(F.col("doc_id").alias("row_id"), "text_hash").distinct()
+        left = hashed.join(gone, ["row_id", "text_hash"], "left_anti")
+        # only rows that stand there twice are compared with each other
+        twice = verdicts.filter(~F.coalesce(later, F.lit(False))).groupBy(F.col("doc_id").alias("same_id"), F.col("text_hash").alias("same_hash")).agg(F.count("*").alias("n")).filter("n > 1")
+        same = F.col("row_id").eqNullSafe(F.col("same_id")) & (F.col("text_hash") == F.col("same_hash"))
+        single = left.join(twice, same, "left_anti")
+        return single.unionByName(left.join(twice, same, "left_semi").dropDuplicates(["row_id", "text_hash"]))
+
+    return nested(docs, first_rows)

@@ -67,6 +67,20 @@ def test_many_near_copies_and_copies(make_docs):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_texts_that_share_a_doc_id_keep_their_links(make_docs):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    near = lambda text: text.replace("50", "fifty")
+    docs = make_docs((5, a), (5, b), (7, near(a)), (8, near(b)), (9, "alone"))
+    assert sorted(tuple(r)[::2] for r in near_dedup.near_duplicates(docs).collect()) == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+    assert len({r.text for r in near_dedup.keep_one_of_each_group(docs).collect()}) == 3
+
+
+def test_one_of_repeated_rows_stays(make_docs):
+    docs = make_docs((1, "some words of a text"), (1, "some words of a text"), (None, "no id"), (None, "no id"), (None, None), (2, None), (2, None), (3, ""), (3, "x"))
+    got = sorted(((r.doc_id or 0), r.text or "") for r in near_dedup.keep_one_of_each_group(docs).collect())
+    assert got == [(0, ""), (0, "no id"), (1, "some words of a text"), (2, ""), (3, ""), (3, "x")]
+
+
 def test_pairs_among_documents_of_one_template_are_found(make_docs):
     template = [f"t{i}" for i in range(304)]
     # pairs share 310 of 410 shingles, other documents 300 of 420: their buckets hold the template
