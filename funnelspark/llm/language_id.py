@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import small_batches
+from funnelspark.llm.common import nested, small_batches
 from funnelspark.llm.textarrays import utf8
 
 ORDER = 3
@@ -29,6 +29,8 @@ ROWS_PER_LANGUAGE = 2000
 MIN_CONTEXT = 16
 #: Bits that one more bit of code length difference counts for in the score; bytes of a text aren't independent.
 EVIDENCE = 0.1
+#: A text that no language codes in fewer bits than its bytes hold is in none of them.
+MOST_BITS = 8.0
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 
@@ -199,9 +201,9 @@ def code_lengths(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def predict(docs: DataFrame, counts: list[tuple[str, np.ndarray, np.ndarray]]) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with lang_pred and score; other columns than text are passed on.
+    """``docs`` (doc_id, text and any others) with lang_pred, score and bits_per_byte; other columns than text are passed on.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is all
+    bits_per_byte is the code length in the predicted language, null without one. Null texts and texts without a letter are ``und`` with score 0, as is all
     text if nothing was learned. Ties go to the language first in the alphabet.
     """
     kept = [f for f in docs.schema.fields if f.name != "text"]
@@ -214,6 +216,7 @@ def predict(docs: DataFrame, counts: list[tuple[str, np.ndarray, np.ndarray]]) -
         for batch in small_batches(batches, "text", 1 << 19):
             clear = batch.column("_letter").to_numpy(zero_copy_only=False)
             lang, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
+            density, known = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
             if counts:
                 model = _models[name]
                 bits = code_lengths(batch.column("text"), model)
@@ -221,10 +224,13 @@ def predict(docs: DataFrame, counts: list[tuple[str, np.ndarray, np.ndarray]]) -
                 behind = bits - bits[np.arange(len(best)), best][:, None]
                 lang = np.where(clear, np.array(model.languages, dtype=object)[best], UNKNOWN)
                 score = np.where(clear, 1 / np.exp2(-EVIDENCE * behind).sum(axis=1), 0.0)
+                size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+                density, known = bits.min(axis=1) / np.maximum(size, 1), clear
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in kept), pa.array(lang, pa.string()), pa.array(score)], names=[*(f.name for f in kept), "lang_pred", "score"])
+                [*(batch.column(f.name) for f in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(density, mask=~known)],
+                names=[*(f.name for f in kept), "lang_pred", "score", "bits_per_byte"])
 
-    schema = docs.select(*(f.name for f in kept)).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*(f.name for f in kept)).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     return docs.withColumn("_letter", has_letter(F.col("text"))).mapInArrow(run, schema)
 
 
@@ -240,12 +246,23 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     counts = train(rows.filter(~F.col("held_out")))
-    return predict(rows.select("doc_id", "held_out", "text"), counts)
+    return predict(rows.select("doc_id", "held_out", "text"), counts).drop("bits_per_byte")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; its columns stay as they are."""
+    """The rows of ``docs`` whose text is in a learned language; columns stay as they are.
+
+    Texts without a letter go, null ones included, and texts that their nearest
+    language codes in ``MOST_BITS`` a byte or more. Where no row has a language
+    to learn from, all rows stay.
+    """
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     counts = train(rows.filter(~F.col("held_out")))
-    return predict(docs.withColumn("_text", F.col("text")), counts).filter(F.col("lang_pred") != UNKNOWN).select(
-        *(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    if not counts:
+        return docs
+
+    def identified(own: DataFrame) -> DataFrame:
+        found = predict(own.withColumn("whole_text", F.col("text")), counts)
+        return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < MOST_BITS)).withColumnRenamed("whole_text", "text")
+
+    return nested(docs, identified)
