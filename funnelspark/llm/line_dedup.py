@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import let, materialize, replace_text
+from funnelspark.llm.common import let, materialize, nested, replace_text
 
 MIN_LINES = 2
 #: A line of more words is compared on its own.
@@ -138,7 +138,11 @@ def _marked(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``removed_ranges``: the ranges of lines (first, last, from 0) to remove, apart and in order; null if none."""
+    """``docs`` with ``removed_ranges``: the ranges of lines (first, last, from 0) to remove, apart and in order; null if none.
+
+    Null and blank texts have none. Rows without doc_id come first; rows equal in
+    doc_id and text are one document and get the same ranges.
+    """
     return _marked(docs, repeated_runs(docs))
 
 
@@ -161,14 +165,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     empty texts and texts of one line stay as they are. Rows equal in doc_id and
     text are one document: they keep the same lines. Rows without doc_id come first.
     """
-    marked = _marked(docs, repeated_chunks(docs))
+    return nested(docs, lambda own: _without_marked(_marked(own, repeated_chunks(own))))
+
+
+def _without_marked(marked: DataFrame) -> DataFrame:
     text = without_ranges(F.col("text"), F.col("removed_ranges"))
-    return replace_text(marked, text, F.col("removed_ranges").isNotNull()).select(*docs.columns)
+    return replace_text(marked, text, F.col("removed_ranges").isNotNull())
 
 
 def drop_emptied(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated runs of lines, and without the rows that lost all of their text; columns as in ``dedup_lines``."""
-    marked = mark(docs)
-    text = without_ranges(F.col("text"), F.col("removed_ranges"))
-    new = replace_text(marked, text, F.col("removed_ranges").isNotNull())
-    return new.filter(F.col("removed_ranges").isNull() | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")).select(*docs.columns)
+    """``docs`` without repeated runs of lines, and without the rows that lost all of their text; columns as in ``dedup_lines``.
+
+    Null, empty and blank texts lose nothing and stay, as does the first
+    occurrence of a run: that of the least doc_id, rows without doc_id first.
+    Rows equal in doc_id and text are one document and keep the same lines.
+    """
+    def rest(own: DataFrame) -> DataFrame:
+        return _without_marked(mark(own)).filter(F.col("removed_ranges").isNull() | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
+
+    return nested(docs, rest)

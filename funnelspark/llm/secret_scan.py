@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelspark.llm.common import bounded_rows, let, replace_text, row_key
+from funnelspark.llm.common import bounded_rows, let, nested, replace_text, row_key
 
 # The patterns, in the order in which spans at one place are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -162,6 +162,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", model: list[float] | None =
 
     ``n_chars``, where there is one, follows the new text. Null texts stay null.
     """
+    return nested(docs, lambda own: _redacted(own, mark, model))
+
+
+def _redacted(docs: DataFrame, mark: str, model: list[float] | None) -> DataFrame:
     found = scan(docs, model).withColumn("_n", F.size("secrets"))
     # pieces of text that no span covers: between the furthest end so far and the next start
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -172,4 +176,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", model: list[float] | None =
     )
     pieces = F.aggregate("secrets", state, step, lambda a: F.concat(a["out"], F.array(F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))))
     text = F.when(F.col("_n") == 0, F.col("text")).otherwise(F.array_join(pieces, ""))
-    return replace_text(found, text, F.col("_n") > 0).select(*docs.columns)
+    return replace_text(found, text, F.col("_n") > 0)
