@@ -120,7 +120,8 @@ def _word_counts(found: DataFrame) -> DataFrame:
 
 
 def _bigram_table(texts: DataFrame, least: int) -> DataFrame:
-    counted = texts.mapInArrow(_bigram_counts, "gram long, n int")
+    # a batch has each bigram once, so adding up again before the shuffle would find little to add
+    counted = texts.mapInArrow(_bigram_counts, "gram long, n int").repartition("gram")
     return counted.groupBy("gram").agg(F.sum("n").alias("c2")).filter(F.col("c2") >= least)
 
 
