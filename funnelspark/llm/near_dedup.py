@@ -235,12 +235,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
         label = components(confirmed)
     member = classes.drop("bands")
     if label is not None:
-        label = materialize(label, "labels")
-        # a component's root has no row of its own among the labels
-        every = label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
-        first = every.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
-        least = every.join(first, "component").select(F.col("node").alias("rep"), "least").dropDuplicates(["rep"])
-        member = member.join(least, "rep", "left").withColumn("first", F.coalesce("least", "first")).drop("least")
+        member = member.join(label, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep")).drop("node", "component")
+        least = member.groupBy("group").agg(F.min("first").alias("least"))
+        member = member.join(least, "group").withColumn("first", F.col("least")).drop("least", "group")
     rows = sets.select("doc_id", "text_hash", "d1", "d2", F.col("n_shingles").alias("n"))
     component = F.when(F.col("n") > 0, F.least("doc_id", "first.doc_id")).otherwise(F.col("doc_id"))
     return rows.join(member.drop("rep"), ["d1", "d2", "n"], "left").select(
