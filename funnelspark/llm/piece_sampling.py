@@ -68,6 +68,7 @@ class Lattices:
             self.pieces[piece] = i, weight[i] / total
         self.fallback = min(weight.values()) / total
         self.longest = max(map(len, self.pieces))
+        self._build_trie()
         self.spelled = [model.id_to_piece(i).encode() for i in range(size)]
         for value, i in self.byte.items():
             self.spelled[i] = bytes([value])
@@ -76,6 +77,23 @@ class Lattices:
                 self.spelled[i] = b""
         self._reset()
 
+    def _build_trie(self) -> None:
+        """The prefixes of pieces as numbered nodes; a step is looked up by node and class of character."""
+        node = {prefix: i + 1 for i, prefix in enumerate(self.pieces)}
+        chars = sorted({c for prefix in self.pieces for c in prefix})
+        self.class_of = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.class_of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.classes = len(chars) + 1
+        step = sorted((node.get(x[:-1], 0) * self.classes + int(self.class_of[ord(x[-1])]), i) for x, i in node.items())
+        self.step_key, self.step_node = np.array([k for k, _ in step], np.int64), np.array([i for _, i in step], np.int32)
+        root = int(np.searchsorted(self.step_key, self.classes))
+        self.of_root = np.zeros(self.classes, np.int32)
+        self.of_root[self.step_key[:root]] = self.step_node[:root]
+        self.node_token = np.array([-1, *(t for t, _ in self.pieces.values())], np.int32)
+        self.node_chance = np.array([0.0, *(p for _, p in self.pieces.values())])
+        #: Masses of words of no more bytes can't become too small for a float.
+        self.short = int(150 / -np.log10(self.fallback))
+
     @classmethod
     def of(cls, path: str) -> Lattices:
         if path not in cls._held:
@@ -97,7 +115,91 @@ class Lattices:
             setattr(self, name, grown(getattr(self, name), edges))
 
     def learn(self, new: list[str]) -> None:
-        """Add the lattices of words; the states of a word run from its last place to its first."""
+        """Add the lattices of words."""
+        is_short = [len(u.encode("utf-8", "replace")) <= self.short for u in new]
+        if any(is_short):
+            self._learn_short([u for u, short in zip(new, is_short) if short])
+        if not all(is_short):
+            self._learn_long([u for u, short in zip(new, is_short) if not short])
+
+    def _spelt(self, char: str) -> tuple[int, int]:
+        """Token and number of bytes of a character that is no piece."""
+        spelt = [self.byte.get(b, self.unknown) for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown]
+        if len(spelt) == 1:
+            return spelt[0], 1
+        self.bytes.append(spelt)
+        return -len(self.bytes), len(spelt)
+
+    def _add(self, weight: np.ndarray, size: np.ndarray, nexts: np.ndarray, tokens: np.ndarray) -> None:
+        """Append states with ``size`` edges each."""
+        states, edges = self.states + len(size), self.edges + len(weight)
+        self._room(states, edges)
+        start = np.cumsum(size) - size
+        part = weight / np.repeat(np.add.reduceat(weight, start), size)
+        self.log[self.edges : edges] = np.log(part)
+        # summed within each state alone, so that a word's lattice is the same in any batch
+        rank = np.arange(len(weight)) - np.repeat(start, size)
+        for r in range(1, int(size.max())):
+            at = np.flatnonzero(rank == r)
+            part[at] += part[at - 1]
+        self.first[self.states + 1 : states + 1] = self.edges + np.cumsum(size)
+        self.upto[self.edges : edges] = part
+        self.next[self.edges : edges] = nexts
+        self.token[self.edges : edges] = tokens
+        self.states, self.edges = states, edges
+
+    def _learn_short(self, new: list[str]) -> None:
+        """All words at once; the states of a word run from its first place to its last."""
+        joined = "".join(new)
+        n = np.fromiter(map(len, new), np.int64, len(new))
+        begin = np.cumsum(n) - n
+        places = len(joined)
+        left = np.repeat(begin + n, n) - np.arange(places)  # characters from a place to the end of its word
+        kind = self.class_of[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        at, node = np.arange(places), self.of_root[kind]
+        alone = self.node_token[node] >= 0
+        from_, length, token, chance = [], [], [], []
+        for size in range(1, self.longest + 1):
+            piece = self.node_token[node] >= 0
+            from_.append(at[piece])
+            length.append(np.full(len(from_[-1]), size))
+            token.append(self.node_token[node[piece]])
+            chance.append(self.node_chance[node[piece]])
+            on = (node > 0) & (left[at] > size)
+            at = at[on]
+            if not len(at):
+                break
+            key = node[on].astype(np.int64) * self.classes + kind[at + size]
+            found = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            same = self.step_key[found] == key
+            at, node = at[same], self.step_node[found[same]]
+        bare = np.flatnonzero(~alone)  # characters that are no piece are spelled in bytes
+        spelt = [self._spelt(joined[i]) for i in bare.tolist()]
+        from_.append(bare)
+        length.append(np.ones(len(bare), np.int64))
+        token.append(np.array([t for t, _ in spelt], np.int32))
+        chance.append(np.array([self.fallback**m for _, m in spelt]))
+        from_, length, token, weight = (np.concatenate(x) for x in (from_, length, token, chance))
+        order = np.argsort(from_, kind="stable")
+        from_, length, token, weight = from_[order], length[order], token[order], weight[order]
+        ends = left[from_] == length
+        # masses from the end: places at the same distance from the end of their words together
+        mass = np.ones(places + 1)
+        to = np.where(ends, places, from_ + length)
+        by_left = np.argsort(left[from_], kind="stable")
+        bounds = np.searchsorted(left[from_][by_left], np.arange(1, int(n.max()) + 2))
+        for a, b in zip(bounds, bounds[1:]):
+            e = by_left[a:b]
+            weight[e] *= mass[to[e]]
+            starts = np.flatnonzero(np.diff(from_[e], prepend=-1))
+            group = np.zeros(len(e), np.int64)
+            group[starts[1:]] = 1
+            mass[from_[e[starts]]] = np.bincount(np.cumsum(group), weights=weight[e])
+        self.known.update(zip(new, (self.states + begin).tolist()))
+        self._add(weight, np.bincount(from_, minlength=places), np.where(ends, -1, self.states + to), token)
+
+    def _learn_long(self, new: list[str]) -> None:
+        """Word by word; the states of a word run from its last place to its first."""
         get, weights, nexts, tokens, sizes = self.pieces.get, [], [], [], []
         state = self.states
         for unit in new:
@@ -120,12 +222,8 @@ class Lattices:
                         if j == i + 1:
                             alone = True
                 if not alone:  # a character that is no piece is spelled in bytes
-                    spelt = [self.byte.get(b, self.unknown) for b in unit[i].encode("utf-8", "replace")] if self.byte else [self.unknown]
-                    token = spelt[0]
-                    if len(spelt) > 1:
-                        self.bytes.append(spelt)
-                        token = -len(self.bytes)
-                    p = self.fallback ** len(spelt) * mass[i + 1]
+                    token, size = self._spelt(unit[i])
+                    p = self.fallback**size * mass[i + 1]
                     total += p
                     weights.append(p)
                     tokens.append(token)
@@ -138,20 +236,7 @@ class Lattices:
                         mass[j] *= 1e120
             state += n
             self.known[unit] = last
-        edges = self.edges + len(weights)
-        self._room(state, edges)
-        size = np.array(sizes, np.int64)
-        weight = np.array(weights)
-        start = np.cumsum(size) - size
-        chance = weight / np.repeat(np.add.reduceat(weight, start), size)
-        self.first[self.states + 1 : state + 1] = self.edges + np.cumsum(size)
-        part = np.cumsum(chance)
-        part -= np.repeat(part[start] - chance[start], size)
-        self.upto[self.edges : edges] = part
-        self.log[self.edges : edges] = np.log(chance)
-        self.next[self.edges : edges] = nexts
-        self.token[self.edges : edges] = tokens
-        self.states, self.edges = state, edges
+        self._add(np.array(weights), np.array(sizes, np.int64), np.array(nexts), np.array(tokens))
 
     def starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The start state of every word of the texts, and the text each belongs to."""
