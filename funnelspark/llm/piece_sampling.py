@@ -279,7 +279,11 @@ def _uniform(*parts: np.ndarray) -> np.ndarray:
 
 def _below(location: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel draws at ``location`` cut off at ``limit``."""
-    return location - np.logaddexp(location - limit, np.log(-np.log(u)))
+    return _cut_off(location, limit, np.log(-np.log(u)))
+
+
+def _cut_off(location: np.ndarray, limit: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    return location - np.logaddexp(location - limit, draw)
 
 
 def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
@@ -330,9 +334,8 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
         state, owner, place = (np.concatenate([np.asarray(x, np.int64) for x in c]) if c else none for c in (state, owner, place))
         got, at = [], np.arange(len(state))
         step = 0
-        first_in_word = state.copy()
         while len(at):
-            u = _uniform(keys[owner[at]], np.full(len(at), number), place[at], first_in_word[at] * 0 + step, np.full(len(at), 7))
+            u = _uniform(keys[owner[at]], np.array([number]), place[at], np.array([step]), np.array([7]))
             edge = lattices.draw(state[at], u)
             got.append((at, np.full(len(at), step), edge, state[at]))
             onward = lattices.next[edge]
@@ -349,6 +352,10 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
             edge = stood = owners = places = none
         bounds = np.searchsorted(owners, np.arange(n + 1))
         logs = lattices.log[edge]
+        had = np.array([0 if g is None else len(g[0]) + (g[3] >= 0) for g in going], np.int64)
+        rests = -np.expm1(logs)
+        draws = _uniform(keys[owners], np.array([number]), had[owners] + np.arange(len(owners)) - bounds[owners], np.array([11]))
+        draws = np.log(-np.log(draws))
         for i in live:
             a, b = bounds[i], bounds[i + 1]
             path, log, word, inside, used = going[i]
@@ -361,11 +368,10 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
             words = np.concatenate([words, places[a:b]])
             out[i].append((whole, float(before[-1]), float(value[i])))
             # siblings of the path's new edges; only the best can be needed
-            rest = -np.expm1(logs[a:b])
+            rest = rests[a:b]
             forks = np.flatnonzero(rest > 1e-15)
             if len(forks):
-                u = _uniform(np.full(len(forks), keys[i]), np.full(len(forks), number), len(path) + forks, np.full(len(forks), 11))
-                v = _below(before[:-1][forks] + np.log(rest[forks]), np.full(len(forks), value[i]), u)
+                v = _cut_off(before[:-1][forks] + np.log(rest[forks]), value[i], draws[a:b][forks])
                 need = k - number
                 best = np.argpartition(-v, need - 1)[:need] if len(v) > need else np.arange(len(v))
                 for x in best.tolist():
