@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from funnelspark.llm.textarrays import mix
 SAMPLES = 2
 BOUNDARY = "▁"
 #: Edges remembered by a worker; the memory is emptied when full.
-REMEMBERED = 3_000_000
+REMEMBERED = 6_000_000
 _UNIT = re.compile(f"{BOUNDARY}*[^{BOUNDARY}]+|{BOUNDARY}+")
 
 
@@ -75,6 +76,12 @@ class Lattices:
         for i in range(size):
             if model.is_control(i):
                 self.spelled[i] = b""
+        self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
+        self.spelled_start = np.cumsum(self.spelled_size) - self.spelled_size
+        self.spelled_bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.first = np.zeros(1 << 16, np.int64)  # first edge of each state, and the end of the last
+        self.upto, self.log = np.zeros(1 << 18), np.zeros(1 << 18)
+        self.next, self.token = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
         self._reset()
 
     def _build_trie(self) -> None:
@@ -85,9 +92,10 @@ class Lattices:
         self.class_of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.classes = len(chars) + 1
         step = sorted((node.get(x[:-1], 0) * self.classes + int(self.class_of[ord(x[-1])]), i) for x, i in node.items())
-        self.step_key, self.step_node = np.array([k for k, _ in step], np.int64), np.array([i for _, i in step], np.int32)
+        key_type = np.int32 if (len(node) + 1) * self.classes < 2**31 else np.int64
+        self.step_key, self.step_node = np.array([k for k, _ in step], key_type), np.array([i for _, i in step], key_type)
         root = int(np.searchsorted(self.step_key, self.classes))
-        self.of_root = np.zeros(self.classes, np.int32)
+        self.of_root = np.zeros(self.classes, key_type)
         self.of_root[self.step_key[:root]] = self.step_node[:root]
         self.node_token = np.array([-1, *(t for t, _ in self.pieces.values())], np.int32)
         self.node_chance = np.array([0.0, *(p for _, p in self.pieces.values())])
@@ -103,9 +111,6 @@ class Lattices:
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.states = self.edges = 0
-        self.first = np.zeros(1 << 16, np.int64)  # first edge of each state, and the end of the last
-        self.upto, self.log = np.zeros(1 << 18), np.zeros(1 << 18)
-        self.next, self.token = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
         self.bytes: list[list[int]] = []
 
     def _room(self, states: int, edges: int) -> None:
@@ -116,11 +121,15 @@ class Lattices:
 
     def learn(self, new: list[str]) -> None:
         """Add the lattices of words."""
-        is_short = [len(u.encode("utf-8", "replace")) <= self.short for u in new]
-        if any(is_short):
-            self._learn_short([u for u, short in zip(new, is_short) if short])
-        if not all(is_short):
-            self._learn_long([u for u, short in zip(new, is_short) if not short])
+        code = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = np.fromiter(map(len, new), np.int64, len(new))
+        size = 1 + (code >= 0x80).view(np.int8) + (code >= 0x800) + (code >= 0x10000)  # of UTF-8
+        is_short = np.add.reduceat(size, np.cumsum(n) - n, dtype=np.int64) <= self.short
+        if not is_short.all():
+            self._learn_long([u for u, short in zip(new, is_short.tolist()) if not short])
+            new, code, n = [u for u, short in zip(new, is_short.tolist()) if short], code[np.repeat(is_short, n)], n[is_short]
+        if new:
+            self._learn_short(new, code, n)
 
     def _spelt(self, char: str) -> tuple[int, int]:
         """Token and number of bytes of a character that is no piece."""
@@ -148,46 +157,47 @@ class Lattices:
         self.token[self.edges : edges] = tokens
         self.states, self.edges = states, edges
 
-    def _learn_short(self, new: list[str]) -> None:
+    def _learn_short(self, new: list[str], code: np.ndarray, n: np.ndarray) -> None:
         """All words at once; the states of a word run from its first place to its last."""
-        joined = "".join(new)
-        n = np.fromiter(map(len, new), np.int64, len(new))
         begin = np.cumsum(n) - n
-        places = len(joined)
+        places = len(code)
         left = np.repeat(begin + n, n) - np.arange(places)  # characters from a place to the end of its word
-        kind = self.class_of[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        kind = self.class_of[code]
         at, node = np.arange(places), self.of_root[kind]
-        alone = self.node_token[node] >= 0
-        from_, length, token, chance = [], [], [], []
+        bare = np.flatnonzero(self.node_token[node] < 0)  # characters that are no piece are spelled in bytes
+        found = []  # (places, length, token, probability, number of the edge at its place)
+        count = np.zeros(places, np.int64)
+
+        def take(places: np.ndarray, length: int, token: np.ndarray, chance: np.ndarray) -> None:
+            found.append((places, np.full(len(places), length), token, chance, count[places]))
+            count[places] += 1
+
         for size in range(1, self.longest + 1):
-            piece = self.node_token[node] >= 0
-            from_.append(at[piece])
-            length.append(np.full(len(from_[-1]), size))
-            token.append(self.node_token[node[piece]])
-            chance.append(self.node_chance[node[piece]])
+            is_piece = self.node_token[node] >= 0
+            piece = node[is_piece]
+            take(at[is_piece], size, self.node_token[piece], self.node_chance[piece])
             on = (node > 0) & (left[at] > size)
             at = at[on]
             if not len(at):
                 break
-            key = node[on].astype(np.int64) * self.classes + kind[at + size]
-            found = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            same = self.step_key[found] == key
-            at, node = at[same], self.step_node[found[same]]
-        bare = np.flatnonzero(~alone)  # characters that are no piece are spelled in bytes
-        spelt = [self._spelt(joined[i]) for i in bare.tolist()]
-        from_.append(bare)
-        length.append(np.ones(len(bare), np.int64))
-        token.append(np.array([t for t, _ in spelt], np.int32))
-        chance.append(np.array([self.fallback**m for _, m in spelt]))
-        from_, length, token, weight = (np.concatenate(x) for x in (from_, length, token, chance))
-        order = np.argsort(from_, kind="stable")
-        from_, length, token, weight = from_[order], length[order], token[order], weight[order]
+            key = node[on] * self.step_key.dtype.type(self.classes) + kind[at + size]
+            step = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            same = self.step_key[step] == key
+            at, node = at[same], self.step_node[step[same]]
+        spelt = [self._spelt(chr(c)) for c in code[bare].tolist()]
+        take(bare, 1, np.array([t for t, _ in spelt], np.int32), np.array([self.fallback**m for _, m in spelt]))
+        start = np.cumsum(count) - count
+        slot = np.concatenate([start[f[0]] + f[4] for f in found])
+        from_, length, token, weight = (np.empty(len(slot), x.dtype) for x in found[0][:4])
+        for column, parts in zip((from_, length, token, weight), zip(*found)):
+            column[slot] = np.concatenate(parts)
         ends = left[from_] == length
         # masses from the end: places at the same distance from the end of their words together
         mass = np.ones(places + 1)
         to = np.where(ends, places, from_ + length)
-        by_left = np.argsort(left[from_], kind="stable")
-        bounds = np.searchsorted(left[from_][by_left], np.arange(1, int(n.max()) + 2))
+        distance = left[from_].astype(np.uint8)
+        by_left = np.argsort(distance, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(distance)[1:])])
         for a, b in zip(bounds, bounds[1:]):
             e = by_left[a:b]
             weight[e] *= mass[to[e]]
@@ -196,7 +206,7 @@ class Lattices:
             group[starts[1:]] = 1
             mass[from_[e[starts]]] = np.bincount(np.cumsum(group), weights=weight[e])
         self.known.update(zip(new, (self.states + begin).tolist()))
-        self._add(weight, np.bincount(from_, minlength=places), np.where(ends, -1, self.states + to), token)
+        self._add(weight, count, np.where(ends, -1, self.states + to), token)
 
     def _learn_long(self, new: list[str]) -> None:
         """Word by word; the states of a word run from its last place to its first."""
@@ -243,12 +253,12 @@ class Lattices:
         units = [_UNIT.findall(BOUNDARY + t.replace(" ", BOUNDARY)) if t else [] for t in texts]
         if self.edges > REMEMBERED:
             self._reset()
-        new = list({u for words in units for u in words if u not in self.known})
+        words = list(chain.from_iterable(units))
+        new = list(set(words).difference(self.known))
         if new:
             self.learn(new)
-        known = self.known
         counts = np.fromiter(map(len, units), np.int64, len(units))
-        return np.fromiter((known[u] for words in units for u in words), np.int64, int(counts.sum())), np.repeat(np.arange(len(texts)), counts)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), np.repeat(np.arange(len(texts)), counts)
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         edge = self.first[state]
@@ -339,13 +349,15 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> li
             edge = lattices.draw(state[at], u)
             got.append((at, np.full(len(at), step), edge, state[at]))
             onward = lattices.next[edge]
-            state = state.copy()
             state[at] = onward
             at = at[onward >= 0]
             step += 1
         if got:
             at, steps, edge, stood = (np.concatenate(c) for c in zip(*got))
-            order = np.lexsort((steps, at))
+            count_at = np.bincount(at)  # each word's edges in turn
+            slot = (np.cumsum(count_at) - count_at)[at] + steps
+            order = np.empty(len(slot), np.int64)
+            order[slot] = np.arange(len(slot))
             at, edge, stood = at[order], edge[order], stood[order]
             owners, places = owner[at], place[at]
         else:
@@ -443,7 +455,9 @@ def _encode(docs: DataFrame, samples: int, model: str | None, form, kind: str) -
 
 def decode_bytes(lattices: Lattices, ids: np.ndarray) -> bytes:
     """The UTF-8 text of ids: boundaries become spaces, the first one is dropped."""
-    return b"".join(map(lattices.spelled.__getitem__, ids.tolist())).replace(BOUNDARY.encode(), b" ")[1:]
+    size = lattices.spelled_size[ids]
+    shift = lattices.spelled_start[ids] - (np.cumsum(size) - size)
+    return lattices.spelled_bytes[np.repeat(shift, size) + np.arange(size.sum())].tobytes().replace(BOUNDARY.encode(), b" ")[1:]
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
