@@ -9,9 +9,11 @@ by byte with their first occurrence and removed. First means least in
 
 ``dedup_lines`` stops there, so it keeps what lies between the edge of a repeated
 passage and its outermost boundaries. ``mark``, which the query and the pipeline
-use, compares every run instead: each two lines, and each line of over
-LONG_WORDS words. A repeated passage of two lines or more is the union of its
-runs of two, so it goes whatever its length and whatever stands around it.
+use, goes on with what the chunks leave: each two lines, and each line of over
+LONG_WORDS words, unless it lies inside a removed chunk. So a repeated passage of
+two lines or more goes whole, whatever its length and whatever stands around it.
+A run inside a removed chunk needs no search of its own: it stands in the chunk's
+first occurrence as well, which is kept and earlier.
 """
 
 from __future__ import annotations
@@ -43,67 +45,79 @@ def chunk_ranges(lines: Column) -> Column:
         v["s"], lambda s, i: F.struct(s.alias("first"), (F.coalesce(F.get(v["s"], i + 1), v["n"]) - 1).alias("last"))))
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, first, last, chunk, chunk_hash) of the chunks with enough lines and some text."""
+def _has_text(text: Column) -> Column:
+    return F.trim(F.translate(text, "\n\t\r", "   ")) != ""
 
-    def texts(v: Column) -> Column:
-        long_ = F.filter(v["ranges"], lambda r: r["last"] - r["first"] + 1 >= MIN_LINES)
-        return F.transform(long_, lambda r: F.struct(
-            r["first"].alias("first"), r["last"].alias("last"),
-            F.array_join(F.slice(v["lines"], r["first"] + 1, r["last"] - r["first"] + 1), "\n").alias("chunk")))
 
-    several = docs.filter(F.col("text").contains("\n")).select("doc_id", F.xxhash64("text").alias("text_hash"), _lines(F.col("text")).alias("lines"))
-    cut = several.select("doc_id", "text_hash", F.explode(
-        let(F.struct(F.col("lines").alias("lines"), chunk_ranges(F.col("lines")).alias("ranges")), texts)).alias("c"))
-    return cut.select("doc_id", "text_hash", "c.*").filter(F.trim(F.translate("chunk", "\n\t\r", "   ")) != "").withColumn(
-        "chunk_hash", F.xxhash64("chunk", F.length("chunk")))
+def _run_text(lines: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, first, last): every chunk of lines that equals an earlier one."""
-    place = F.struct("doc_id", "text_hash", "first")
-    chunks = _chunks(docs)
-    counted = chunks.groupBy("chunk_hash").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1").drop("n")
-    counted = materialize(counted, "repeated_hashes")
-    # merge joins whatever the sizes: the small sides grow with the documents
-    members = materialize(chunks.join(counted.hint("merge"), "chunk_hash").withColumn("is_first", place.eqNullSafe(F.col("least"))).drop("least"), "repeated_chunks")
-    firsts = members.filter("is_first").select("chunk_hash", F.col("chunk").alias("first_chunk")).dropDuplicates(["chunk_hash"])
-    same = members.filter("NOT is_first").join(firsts.hint("merge"), "chunk_hash").filter(F.col("chunk") == F.col("first_chunk"))
-    return same.select("doc_id", "text_hash", "first", "last").distinct()
-
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, first, last, chunk_hash, inner, edge): every chunk with its runs.
 
-def _has_text(text: Column) -> Column:
-    return F.trim(F.translate(text, "\n\t\r", "   ")) != ""
+    A chunk of one line or without text has no hash. ``inner`` are the runs inside the
+    chunk, ``edge`` is the one across its end: every two lines with some text, and
+    every long line, as (first, last, run_hash).
+    """
+    hashed = lambda text, lines: F.xxhash64(text, F.length(text), lines)
 
+    def chunks(v: Column) -> Column:
+        lines = v["lines"]
 
-def _run_text(lines: Column, first: Column, last: Column) -> Column:
-    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
+        def twos(from_: Column, n: Column) -> Column:
+            """The runs of two lines that start at ``n`` places on from a place."""
+            run = lambda i: F.struct(i.alias("first"), (i + 1).alias("last"), _run_text(lines, i, i + 1).alias("run"))
+            places = F.transform(F.slice(F.sequence(from_, from_ + n), 1, n), lambda i: run(i))
+            return F.transform(F.filter(places, lambda r: _has_text(r["run"])), lambda r: F.struct(r["first"], r["last"], hashed(r["run"], F.lit(1)).alias("run_hash")))
 
+        def longs(c: Column) -> Column:
+            long_ = F.filter(F.sequence(c["first"], c["last"]), lambda i: F.size(F.split(F.trim(F.get(lines, i)), r"\s+")) > LONG_WORDS)
+            return F.transform(long_, lambda i: F.struct(i.alias("first"), i.alias("last"), hashed(F.get(lines, i), F.lit(0)).alias("run_hash")))
 
-def _all_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, first, last, run_hash) of every two lines with some text and of every long line."""
+        def chunk(c: Column) -> Column:
+            whole = let(_run_text(lines, c["first"], c["last"]), lambda t: F.when(_has_text(t), hashed(t, c["last"] - c["first"])))
+            return F.struct(
+                c["first"].alias("first"), c["last"].alias("last"), F.when(c["last"] - c["first"] + 1 >= MIN_LINES, whole).alias("chunk_hash"),
+                F.concat(twos(c["first"], c["last"] - c["first"]), longs(c)).alias("inner"),
+                twos(c["last"], F.when(c["last"] < F.size(lines) - 1, 1).otherwise(0)).alias("edge"))
 
-    def runs(lines: Column) -> Column:
-        n = F.size(lines)
-        run = lambda i, k: F.struct(i.alias("first"), (i + k).alias("last"), _run_text(lines, i, i + k).alias("run"))
-        two = F.filter(F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: i < n - 1), lambda i: run(i, 1)), lambda r: _has_text(r["run"]))
-        long_ = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.size(F.split(F.trim(F.get(lines, i)), r"\s+")) > LONG_WORDS)
-        every = F.concat(two, F.transform(long_, lambda i: run(i, 0)))
-        return F.transform(every, lambda r: F.struct(r["first"], r["last"], F.xxhash64(r["run"], F.length(r["run"]), r["last"] - r["first"]).alias("run_hash")))
+        return F.transform(v["ranges"], chunk)
 
     some = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), _lines(F.col("text")).alias("lines"))
-    return some.select("doc_id", "text_hash", F.explode(let(F.col("lines"), runs)).alias("r")).select("doc_id", "text_hash", "r.*")
+    cut = let(F.struct(F.col("lines").alias("lines"), chunk_ranges(F.col("lines")).alias("ranges")), chunks)
+    return some.select("doc_id", "text_hash", F.explode(cut).alias("c")).select("doc_id", "text_hash", "c.*")
+
+
+def _chunks_of(pieces: DataFrame) -> DataFrame:
+    return pieces.filter(F.col("chunk_hash").isNotNull()).select("doc_id", "text_hash", "first", "last", F.col("chunk_hash").alias("run_hash"))
+
+
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, first, last): every chunk of lines that equals an earlier one."""
+    return _repeated(docs, _chunks_of(materialize(_pieces(docs), "chunks")))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, first, last): every run of ``_all_runs`` that equals an earlier one.
+    """(doc_id, text_hash, first, last): the repeated chunks, and every run outside of them that equals an earlier one."""
+    pieces = materialize(_pieces(docs), "chunks_and_runs")
+    whole = materialize(_repeated(docs, _chunks_of(pieces)), "repeated_chunks")
+    gone = whole.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("first").alias("_first"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("first") == F.col("_first"))
+    left = pieces.select("doc_id", "text_hash", "first", "inner", "edge").join(gone.hint("merge"), same, "left")
+    runs = F.when(F.col("_hash").isNull(), F.concat("inner", "edge")).otherwise(F.col("edge"))
+    rest = materialize(left.select("doc_id", "text_hash", F.explode(runs).alias("r")).select("doc_id", "text_hash", "r.*"), "runs")
+    return whole.unionByName(_repeated(docs, rest))
+
+
+def _repeated(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, first, last): those of ``runs`` (with run_hash) that equal an earlier one.
 
     Hashes find the runs; texts are read for runs of repeated hashes alone. Two
     equal lines after the first of their kind don't count where they overlap it.
     """
     place = F.struct("doc_id", "text_hash", "first")
     before = F.struct("doc_id", "text_hash", (F.col("first") - (F.col("last") - F.col("first"))).alias("first"))
-    runs = materialize(_all_runs(docs), "runs")
     counted = materialize(runs.groupBy("run_hash").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1").drop("n"), "repeated_hashes")
     found = runs.join(counted.hint("merge"), "run_hash").withColumn("is_first", place.eqNullSafe(F.col("least")) | before.eqNullSafe(F.col("least")))
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("first", "last", "run_hash", "is_first")).alias("found"))
@@ -120,7 +134,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def _united(ranges: Column) -> Column:
-    """Ordered ranges of one or two lines, with those that overlap or touch made one."""
+    """Ranges whose starts and ends both rise, with those that overlap or touch made one."""
 
     def starts(v: Column) -> Column:
         fresh = lambda i: (i == 0) | (F.get(v, i)["first"] > F.get(v, i - 1)["last"] + 1)

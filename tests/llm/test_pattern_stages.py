@@ -4,6 +4,7 @@ import hashlib
 import re
 import struct
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def test_emptied_rows_leave_the_pipeline_stage(make_docs):
 
 
 def test_native_plans_hold_no_python(documents):
-    for df in (secret_scan.redact(documents, model=[0.0] * 128 * 128), line_dedup.dedup_lines(documents)):
+    for df in (secret_scan.redact(documents, model=[0.0] * 128 * 128), line_dedup.mark(documents), line_dedup.drop_emptied(documents), line_dedup.repeated_runs(documents)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas|CartesianProduct|BroadcastNestedLoop", plan)
 
@@ -143,23 +144,37 @@ def test_native_plans_hold_no_python(documents):
 def test_empty_tables(documents):
     none = documents.limit(0)
     assert secret_scan.redact(none).count() == 0 and line_dedup.dedup_lines(none).count() == 0
+    assert line_dedup.mark(none).count() == 0 and line_dedup.drop_emptied(none).count() == 0
 
 
 def plain_runs(rows):
     """Texts without any two lines, or line of over 50 words, that stand in an earlier place."""
     seen, out = {}, {}
-    for i, t in sorted(rows):
+    texts = {(i, t) for i, t in rows if t is not None}
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64(x[1].encode(), 42).intdigest()).astype(np.int64))):
         lines, gone = t.split("\n"), set()
         runs = [(j, j + 1) for j in range(len(lines) - 1)] + [(j, j) for j in range(len(lines)) if len(lines[j].split()) > 50]
         for a, b in sorted(runs):
             run = "\n".join(lines[a : b + 1])
             if run.strip(" \n\t\r"):
-                at = seen.setdefault((b - a, run), (i, a))
-                gone |= set(range(a, b + 1)) if at not in ((i, a), (i, a - (b - a))) else set()
-        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+                at = seen.setdefault((b - a, run), (i, t, a))
+                gone |= set(range(a, b + 1)) if at not in ((i, t, a), (i, t, a - (b - a))) else set()
+        out[i, t] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
     return out
 
 
+def test_marked_lines_equal_plain_python(documents, odd_docs, make_docs):
+    passage = [f"line {i} of a passage that stands in several documents" for i in range(40)]
+    made = [(900_000 + i, "\n".join([*(f"own {i} {j}" for j in range(i)), *passage[i : 40 - i], f"end {i}", *passage[:3]])) for i in range(12)]
+    docs = documents.unionByName(odd_docs).unionByName(make_docs(*made, *made[:3], (900_050, "x\nx\nx\nx\nx"), (900_051, "x\nx\n \n \nx\nx")))
+    text = line_dedup.without_ranges(F.col("text"), F.col("removed_ranges"))
+    want = plain_runs([(r.doc_id, r.text) for r in docs.collect()])
+    got = line_dedup.mark(docs).select("doc_id", "text", text.alias("rest"), "removed_ranges").collect()
+    assert len(got) == docs.count() and any(k[1] != v for k, v in want.items())
+    assert [(r.doc_id, r.text, r.rest) for r in got if r.rest != want.get((r.doc_id, r.text))] == []
+    assert line_dedup.repeated_chunks(docs).count() > 0
+
+
 def test_repeated_passages_of_any_length_go(make_docs):
     rows, n = [], 0
     for size in range(1, 11):
@@ -174,6 +189,6 @@ def test_repeated_passages_of_any_length_go(make_docs):
     docs = make_docs(*rows)
     text = line_dedup.without_ranges(F.col("text"), F.col("removed_ranges"))
     got = {r.doc_id: r.text for r in line_dedup.mark(docs).select("doc_id", text.alias("text")).collect()}
-    assert got == plain_runs(rows)
+    assert got == {i: t for (i, _), t in plain_runs(rows).items()}
     assert all(f"p{size}x" not in got[3 * (size - 1) + copy] for size in range(1, 11) for copy in (1, 2))
     assert got[n] == one and got[n + 1] == "" and got[n + 3] == "short line" and got[n + 4] == "same\nsame\nother"
