@@ -46,7 +46,7 @@ def chunk_ranges(lines: Column) -> Column:
 
 
 def _has_text(text: Column) -> Column:
-    return F.trim(F.translate(text, "\n\t\r", "   ")) != ""
+    return text.rlike(r"[^ \n\t\r]")
 
 
 def _run_text(lines: Column, first: Column, last: Column) -> Column:
@@ -72,7 +72,7 @@ def _pieces(docs: DataFrame) -> DataFrame:
             return F.transform(F.filter(places, lambda r: _has_text(r["run"])), lambda r: F.struct(r["first"], r["last"], hashed(r["run"], F.lit(1)).alias("run_hash")))
 
         def longs(c: Column) -> Column:
-            long_ = F.filter(F.sequence(c["first"], c["last"]), lambda i: F.size(F.split(F.trim(F.get(lines, i)), r"\s+")) > LONG_WORDS)
+            long_ = F.filter(F.sequence(c["first"], c["last"]), lambda i: F.get(lines, i).rlike(rf"^\s*+(?:\S++\s++){{{LONG_WORDS}}}\S"))
             return F.transform(long_, lambda i: F.struct(i.alias("first"), i.alias("last"), hashed(F.get(lines, i), F.lit(0)).alias("run_hash")))
 
         def chunk(c: Column) -> Column:
