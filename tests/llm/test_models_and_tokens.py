@@ -203,3 +203,24 @@ def test_arc_headers_of_both_versions_and_damage():
 
 def test_archive_of_no_pages(spark):
     assert warc.archive(spark.read.parquet(f"{SMALL}/pages.parquet").limit(0)).count() == 0
+
+
+def test_lattices_built_at_once_equal_those_built_word_by_word():
+    words = ["▁the", "▁window", "▁a😀b", "▁ünïcödé", "▁日本語", "\x00\x01", "▁▁▁", "▁" + "long" * 40, "▁" + "😀" * 40, "é"]
+    lattices = piece_sampling.Lattices.of(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def paths(build):
+        lattices._reset()
+        build(words)
+        out = {}
+        for word in words:
+            state, steps = lattices.known[word], []
+            while state >= 0:
+                a, b = lattices.first[state : state + 2]
+                steps.append((lattices.log[a:b].round(9).tolist(), lattices.upto[a:b].round(9).tolist(), lattices.ids(np.arange(a, b)).tolist()))
+                state = lattices.next[b - 1]  # the longest piece
+            out[word] = steps
+        lattices._reset()
+        return out
+
+    assert paths(lattices.learn) == paths(lattices._learn_long)
