@@ -7,12 +7,19 @@ in any order and at any age. Every merge gives the session's row before and
 after, with signs, so that whatever is summed over sessions follows by adding.
 A micro-batch thus reads its own events and the states of its own sessions.
 
+The store keeps sessions in pages: a page holds the sessions of one range of
+``ga_session_id`` (a day, where ids are seconds) that share a hash. A page is
+read and written as one value, which costs about as much as one session alone,
+so a batch costs as many calls as it touches pages, however many sessions they
+hold.
+
 Tasks reduce their events to a row for each (session, transaction) before the
 shuffle, so a session with very many events reaches its state as a few rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,8 +37,10 @@ LARGEST = (
 )
 PARTIAL = "session_date date, {}, furthest_step int, is_new_user boolean".format(", ".join(f"{c} string" for c in LARGEST))
 REDUCED = f"user_pseudo_id string, ga_session_id long, transaction_id string, {PARTIAL}, cents long"
-STATE = f"{PARTIAL}, transactions array<string>, cents array<long>"
+PAGE = "page binary"
 CHANGE = f"sign int, {PARTIAL}, cents long"
+#: Pages of a range of session ids, and the width of a range. Both are part of the state: a stream keeps those it began with.
+PAGES, RANGE = 8192, 86_400
 _NAMES = ("session_date", *LARGEST, "furthest_step", "is_new_user")
 
 
@@ -77,34 +86,41 @@ def merged(before: tuple | None, rows: Iterator[tuple]) -> tuple:
     return (*values, order, [paid[t] for t in order])
 
 
-def _plain(value):
-    """Cells of a pandas frame: missing values are None, numpy numbers plain."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
-        return None
-    return value.item() if hasattr(value, "item") else value
+def _cells(column: pd.Series) -> list:
+    """Values of a pandas column: missing ones are None, numbers plain; a nullable whole number travels as a float."""
+    if column.dtype.kind == "f":
+        return [None if v != v else int(v) for v in column.tolist()]
+    return [None if v is None or v is pd.NaT or v != v else v for v in column.tolist()]
 
 
 def changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Merge a batch's partial rows into the session's state; gives its row before (sign -1) and after (sign 1)."""
-    before = state.get if state.exists else None
-    after = before
+    """Merge a batch's partial rows into the sessions of a page; gives the row of each that changed before (sign -1) and after (sign 1)."""
+    held = pickle.loads(state.get[0]) if state.exists else {}
+    before = {}
     for frame in frames:
-        columns = [frame["transaction_id"], *(frame[c] for c in _NAMES), frame["cents"]]
-        rows = [[_plain(v) for v in column] for column in columns]
-        # a nullable whole number travels as a float
-        rows[-1] = [None if v is None else int(v) for v in rows[-1]]
-        after = merged(after, zip(*rows))
-    if after is None or after == (before and tuple(before)):
+        columns = [_cells(frame[c]) for c in (*SESSION, "transaction_id", *_NAMES, "cents")]
+        new = {}
+        for session, *row in zip(zip(*columns[:2]), *columns[2:]):
+            new.setdefault(session, []).append(row)
+        for session, rows in new.items():
+            before.setdefault(session, held.get(session))
+            held[session] = merged(held.get(session), iter(rows))
+    signed = [
+        (sign, *row[:-2], sum(row[-1]))
+        for session, old in before.items() if old != held[session]
+        for sign, row in ((-1, old), (1, held[session])) if row
+    ]
+    if not signed:
         return
-    state.update(after)
-    signed = [(sign, *row[:-2], sum(row[-1])) for sign, row in ((-1, before), (1, after)) if row]
+    state.update((pickle.dumps(held, protocol=5),))
     yield pd.DataFrame(signed, columns=["sign", *_NAMES, "cents"])
 
 
 def session_changes(stg: DataFrame) -> DataFrame:
     """A stream of staged events -> signed session rows with channel, flags and revenue."""
     reduced = partial_rows(stg).mapInArrow(reduce_rows, REDUCED)
-    signed = reduced.groupBy(*SESSION).applyInPandasWithState(changes, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
+    paged = reduced.withColumns({"id_range": F.floor(F.col("ga_session_id") / RANGE), "page": F.pmod(F.xxhash64(*SESSION), F.lit(PAGES))})
+    signed = paged.groupBy("id_range", "page").applyInPandasWithState(changes, CHANGE, PAGE, "update", GroupStateTimeout.NoTimeout)
     source, medium = F.coalesce("event_source", "first_touch_source"), F.coalesce("event_medium", "first_touch_medium")
     return signed.select(
         "sign", F.col("session_date").alias("event_date"), channel_group(source, medium, "gclid").alias("channel_group"), "device_category", "country",

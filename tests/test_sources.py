@@ -170,3 +170,17 @@ def test_stream_equals_batch(spark, landing, tmp_path):
     mart = str(tmp_path / "mart")
     daily_funnel.stream_daily_funnel(stream, mart, str(tmp_path / "state")).awaitTermination()
     assert same(DayTable(spark, mart).read(), daily_funnel.daily_from_raw(events.read_events(spark, landing)))
+
+
+def test_a_batch_costs_as_many_state_calls_as_pages(spark, landing, tmp_path, monkeypatch):
+    monkeypatch.setattr(session_state, "PAGES", 8, raising=False)
+    raw = materialize(events.read_events(spark, landing).filter("event_date < '2024-01-07'"), "few-pages")
+    place, mart = str(tmp_path / "raw"), str(tmp_path / "mart")
+    for i in range(3):  # every batch comes back to sessions of all pages
+        raw.filter(F.col("event_timestamp") % 3 == i).coalesce(1).write.mode("append").parquet(place)
+    query = daily_funnel.stream_daily_funnel(daily_funnel.stream_raw_events(spark, place, files_per_batch=1), mart, str(tmp_path / "state"))
+    query.awaitTermination()
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(batches) == 3 and stg_events(raw).select("user_pseudo_id", "ga_session_id").distinct().count() > 3 * 8
+    assert all(0 < s["numRowsUpdated"] <= 8 for p in batches for s in p["stateOperators"])
+    assert same(DayTable(spark, mart).read(), daily_funnel.daily_from_raw(raw))
