@@ -7,9 +7,11 @@ classifier learns from a vector the share of its neighbours in each part.
 Every vector is indexed in its most probable part; a query is sent to its most
 probable parts and compared with all vectors there in double precision.
 
-A part of many vectors is split into blocks by hash of the id, and its queries
-into groups, so that a task sees BLOCK vectors and QUERY_GROUP queries at most,
-about, however many copies one vector has.
+Parts are put together to blocks of BLOCK vectors at most, and a larger part is
+split into such blocks by hash of the id. The queries of a block are split into
+groups, so that a task sees BLOCK vectors and QUERY_GROUP queries at most, about,
+however many copies one vector has. A task compares a query with the parts that
+it probes, and hands on its nearest in the whole block.
 """
 
 from __future__ import annotations
@@ -163,23 +165,33 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def _route(rows: DataFrame, weights: list[np.ndarray], dimension: int, probes: int) -> DataFrame:
-    """``rows`` (id, vector) with one row for each of the ``probes`` most probable parts."""
+    """``rows`` (id, vector) with their ``probes`` most probable parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = 1
+            part = np.zeros((batch.num_rows, 1), dtype=np.int32)
             if weights:
                 odds = probable(weights, _matrix(batch.column("vector"), dimension))
-                n = min(probes, odds.shape[1])
-                part = np.argsort(-odds, axis=1, kind="stable")[:, :n].ravel()
-            else:
-                part = np.zeros(batch.num_rows, dtype=np.int64)
-            whole = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
-            yield pa.RecordBatch.from_arrays([whole.column("id"), whole.column("vector"), pa.array(part.astype(np.int32))], names=["id", "vector", "part"])
-
-    return rows.select("id", "vector").mapInArrow(run, "id long, vector array<double>, part int")
+                part = np.argsort(-odds, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            ends = pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32))
+            parts = pa.ListArray.from_arrays(ends, pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), parts], names=["id", "vector", "parts"])
+
+    return rows.select("id", "vector").mapInArrow(run, "id long, vector array<double>, parts array<int>")
+
+
+def blocks_of(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """First and last block of each part: small parts share one, parts of more than BLOCK rows have several of their own."""
+    out, block, room = {}, -1, 0
+    for part, n in sorted(sizes.items()):
+        if n > room:
+            block, room = block + 1, BLOCK
+        more = max(0, -(-n // BLOCK) - 1)
+        out[part] = block, block + more
+        block, room = block + more, 0 if more else room - n
+    return out
 
 
 def nearest_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, ...]:
@@ -208,6 +220,19 @@ def nearest_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def best_of(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, ...]:
+    """The k best of each query among (query id, id, score) found in several parts; a repeated id counts once, with its best score."""
+    order = np.lexsort((-scores, ids, query_ids))
+    query_ids, ids, scores = query_ids[order], ids[order], scores[order]
+    once = np.ones(len(ids), dtype=bool)
+    once[1:] = (ids[1:] != ids[:-1]) | (query_ids[1:] != query_ids[:-1])
+    query_ids, ids, scores = query_ids[once], ids[once], scores[once]
+    order = np.lexsort((ids, -scores, query_ids))
+    query_ids, ids, scores = query_ids[order], ids[order], scores[order]
+    place = np.arange(len(ids)) - np.searchsorted(query_ids, query_ids, side="left")
+    return query_ids[place < k], ids[place < k], scores[place < k]
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for the rows of ``vectors`` (vec_id, embedding) where ``is_query``.
 
@@ -229,25 +254,33 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
     parts = max(1, min(MAX_PARTS, n // ROWS_PER_PART))
     weights, probes = learn(sample, parts)
 
-    index = materialize(_route(rows, weights, dimension, 1), "index")
+    index = materialize(_route(rows, weights, dimension, 1).withColumn("part", F.col("parts")[0]).drop("parts"), "index")
     asked = materialize(_route(rows.filter("asks"), weights, dimension, probes), "queries")
-    blocks = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    groups = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_GROUP).cast("int").alias("groups"))
-    plan = materialize(blocks.join(groups, "part"), "parts")  # a row for each part
-    hashed = lambda n: F.pmod(F.xxhash64("id", F.lit(9)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(plan, "part").withColumns({"group": hashed("groups"), "block": every("blocks")}).select("part", "block", "group", "id", "vector")
-    right = index.join(plan, "part").withColumns({"block": hashed("blocks"), "group": every("groups")}).select("part", "block", "group", "id", "vector")
+    blocks = blocks_of({r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()})  # MAX_PARTS rows at most
+    first, last = (F.create_map(*(F.lit(x) for part, ends in blocks.items() for x in (part, ends[i]))) for i in (0, 1))
+    reached = F.flatten(F.transform(F.filter("parts", lambda p: first[p].isNotNull()), lambda p: F.sequence(first[p], last[p])))
+    probing = asked.withColumn("block", F.explode(F.array_distinct(reached)))
+    plan = materialize(probing.groupBy("block").agg(F.ceil(F.count("*") / QUERY_GROUP).cast("int").alias("groups")), "blocks")  # a row for each block
+    hashed = lambda n: F.pmod(F.xxhash64("id", F.lit(9)), n).cast("int")
+    held_in = first[F.col("part")] + hashed(last[F.col("part")] - first[F.col("part")] + 1)
+    left = probing.join(plan, "block").withColumn("group", hashed(F.col("groups"))).select("block", "group", "id", "vector", "parts")
+    right = index.withColumn("block", held_in).join(plan, "block")
+    right = right.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select("block", "group", "id", "vector", "part")
 
     def compare(queries: pa.Table, held: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if queries.num_rows and held.num_rows:
+            asking, vectors = (_matrix(t["vector"].combine_chunks(), dimension) for t in (queries, held))
+            probed = np.asarray(queries["parts"].combine_chunks().flatten()).reshape(queries.num_rows, -1)
+            ids, query_ids, part = held["id"].to_numpy(), queries["id"].to_numpy(), held["part"].to_numpy()
+            for p in np.unique(part):
+                here, probing_it = part == p, (probed == p).any(axis=1)
+                found.append(nearest_of(asking[probing_it], query_ids[probing_it], vectors[here], ids[here], k))
+        found = best_of(*(np.concatenate(c) for c in zip(*found)), k)
         kinds = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
-        if not queries.num_rows or not held.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in kinds})
-        found = nearest_of(
-            _matrix(queries["vector"].combine_chunks(), dimension), queries["id"].to_numpy(), _matrix(held["vector"].combine_chunks(), dimension), held["id"].to_numpy(), k)
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds, found)})
 
-    key = ["part", "block", "group"]
+    key = ["block", "group"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

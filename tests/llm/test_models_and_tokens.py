@@ -166,6 +166,27 @@ def test_recall_of_nearest_neighbours(spark):
     assert sum(len({r.vec_id for r in out[q]} & set(_plain_nearest(rows, q))) for q in some) >= 0.9 * 20 * len(some)
 
 
+def test_parts_share_blocks_and_a_block_hands_on_the_nearest_alone(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    assert ann.blocks_of({0: 60, 1: 40, 2: 1, 3: 250, 4: 99, 5: 1, 6: 1}) == {0: (0, 0), 1: (0, 0), 2: (1, 1), 3: (2, 4), 4: (5, 5), 5: (5, 5), 6: (6, 6)}
+    found = [(7, 3, 1.0), (7, 1, 1.0), (7, 2, 2.0), (7, 3, 1.0), (7, 9, 0.5), (5, 1, 0.1), (7, 4, -1.0)]
+    best = ann.best_of(*(np.array(c) for c in zip(*found)), 3)
+    assert list(zip(*(c.tolist() for c in best))) == [(5, 1, 0.1), (7, 2, 2.0), (7, 1, 1.0), (7, 3, 1.0)]
+    assert [len(c) for c in ann.best_of(*(np.zeros(0),) * 3, 3)] == [0, 0, 0]
+
+
+def test_a_block_gives_the_same_as_parts_alone(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2400, 8)))] + [(3000 + i, [1.0] * 8) for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "ROWS_PER_PART", 300)
+    lists = []
+    for block in (4096, 700, 100):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        lists.append([tuple(r) for r in ann.search(table, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()])
+    assert len(lists[0]) == 130 * 20 and lists[0] == lists[1] == lists[2]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (20, [0.5, 0.5]), (None, [1.0, 1.0]), (7, [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
