@@ -21,32 +21,35 @@ among the first k with probability 1 - exp(-exp(log p(y) - threshold)).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from funnelspark.llm.common import row_key, small_batches
-from funnelspark.llm.textarrays import mix
+from funnelspark.llm.textarrays import mix, utf8
 
 SAMPLES = 2
 BOUNDARY = "▁"
 #: Edges remembered by a worker; the memory is emptied when full.
 REMEMBERED = 6_000_000
-_UNIT = re.compile(f"{BOUNDARY}*[^{BOUNDARY}]+|{BOUNDARY}+")
+#: A second segmentation that leaves the first where that is less likely by this much (natural log) needs no look: see ``_best_forks``.
+REACH = 40.0
+#: No draw of ``_uniform`` gives a Gumbel value beyond.
+_HIGHEST_GUMBEL = 37.0
 
 
 class Lattices:
     """Lattices of words over one vocabulary: states are places in a word, edges are pieces.
 
     ``upto`` holds, for the edges of a state in turn, the probability of all up to
-    this one; ``first`` the first edge of each state; ``next`` the state that an
-    edge leads to, -1 at the end of the word.
+    this one, infinity at the last; ``first`` the first edge of each state; ``next``
+    the state that an edge leads to, -1 at the end of the word.
     """
 
     _held: dict[str, Lattices] = {}
@@ -76,9 +79,7 @@ class Lattices:
         for i in range(size):
             if model.is_control(i):
                 self.spelled[i] = b""
-        self.spelled_size = np.array([len(x) for x in self.spelled], np.int64)
-        self.spelled_start = np.cumsum(self.spelled_size) - self.spelled_size
-        self.spelled_bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.spelled_column = pa.array([x.replace(BOUNDARY.encode(), b" ") for x in self.spelled], pa.large_binary())
         self.first = np.zeros(1 << 16, np.int64)  # first edge of each state, and the end of the last
         self.upto, self.log = np.zeros(1 << 18), np.zeros(1 << 18)
         self.next, self.token = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
@@ -91,17 +92,46 @@ class Lattices:
         self.class_of = np.zeros(0x110000, np.int32)  # 0: in no piece
         self.class_of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.classes = len(chars) + 1
-        step = sorted((node.get(x[:-1], 0) * self.classes + int(self.class_of[ord(x[-1])]), i) for x, i in node.items())
-        key_type = np.int32 if (len(node) + 1) * self.classes < 2**31 else np.int64
-        self.step_key, self.step_node = np.array([k for k, _ in step], key_type), np.array([i for _, i in step], key_type)
-        root = int(np.searchsorted(self.step_key, self.classes))
-        self.of_root = np.zeros(self.classes, key_type)
-        self.of_root[self.step_key[:root]] = self.step_node[:root]
+        step = np.array([node.get(x[:-1], 0) * self.classes + int(self.class_of[ord(x[-1])]) for x in node], np.int64)
+        to, inner = np.arange(1, len(node) + 1, dtype=np.int32), step >= self.classes
+        self.of_root = np.zeros(self.classes, np.int32)
+        self.of_root[step[~inner]] = to[~inner]
+        self.goes_on = np.zeros(len(node) + 1, bool)
+        self.goes_on[step[inner] // self.classes] = True
+        self._index_steps(step[inner], to[inner])
         self.node_token = np.array([-1, *(t for t, _ in self.pieces.values())], np.int32)
         self.node_chance = np.array([0.0, *(p for _, p in self.pieces.values())])
         #: Masses of words of no more bytes can't become too small for a float.
         self.short = int(150 / -np.log10(self.fallback))
 
+    def _index_steps(self, step: np.ndarray, to: np.ndarray) -> None:
+        """Put each step in the first free slot from its hash on."""
+        bits = max(4, (4 * len(step)).bit_length())
+        self.step_shift = np.uint64(64 - bits)
+        self.step_key, self.step_node = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot = self._slot(step)
+        while len(step):
+            free = self.step_key[slot] < 0
+            self.step_key[slot[free]] = step[free]  # one of those that share a slot stays
+            done = self.step_key[slot] == step
+            self.step_node[slot[done]] = to[done]
+            step, to, slot = step[~done], to[~done], (slot[~done] + 1) % len(self.step_key)
+
+    def _slot(self, step: np.ndarray) -> np.ndarray:
+        return ((step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.step_shift).astype(np.int64)
+
+    def _onward(self, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The nodes that steps lead to, 0 where there is none."""
+        step = node * np.int64(self.classes) + kind
+        slot = self._slot(step)
+        held = self.step_key[slot]
+        other = np.flatnonzero((held != step) & (held >= 0))
+        while len(other):
+            at = (slot[other] + 1) % len(self.step_key)
+            slot[other], held[other] = at, self.step_key[at]
+            other = other[(held[other] != step[other]) & (held[other] >= 0)]
+        return np.where(held == step, self.step_node[slot], 0)
+
     @classmethod
     def of(cls, path: str) -> Lattices:
         if path not in cls._held:
@@ -112,6 +142,7 @@ class Lattices:
         self.known: dict[str, int] = {}
         self.states = self.edges = 0
         self.bytes: list[list[int]] = []
+        self.spelt: dict[str, tuple[int, int]] = {}
 
     def _room(self, states: int, edges: int) -> None:
         grown = lambda x, n: np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)]) if n > len(x) else x
@@ -126,18 +157,19 @@ class Lattices:
         size = 1 + (code >= 0x80).view(np.int8) + (code >= 0x800) + (code >= 0x10000)  # of UTF-8
         is_short = np.add.reduceat(size, np.cumsum(n) - n, dtype=np.int64) <= self.short
         if not is_short.all():
-            self._learn_long([u for u, short in zip(new, is_short.tolist()) if not short])
-            new, code, n = [u for u, short in zip(new, is_short.tolist()) if short], code[np.repeat(is_short, n)], n[is_short]
+            self._learn_long([new[i] for i in np.flatnonzero(~is_short).tolist()])
+            new, code, n = [new[i] for i in np.flatnonzero(is_short).tolist()], code[np.repeat(is_short, n)], n[is_short]
         if new:
             self._learn_short(new, code, n)
 
     def _spelt(self, char: str) -> tuple[int, int]:
         """Token and number of bytes of a character that is no piece."""
-        spelt = [self.byte.get(b, self.unknown) for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown]
-        if len(spelt) == 1:
-            return spelt[0], 1
-        self.bytes.append(spelt)
-        return -len(self.bytes), len(spelt)
+        if char not in self.spelt:
+            spelt = [self.byte.get(b, self.unknown) for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown]
+            if len(spelt) > 1:
+                self.bytes.append(spelt)
+            self.spelt[char] = spelt[0] if len(spelt) == 1 else -len(self.bytes), len(spelt)
+        return self.spelt[char]
 
     def _add(self, weight: np.ndarray, size: np.ndarray, nexts: np.ndarray, tokens: np.ndarray) -> None:
         """Append states with ``size`` edges each."""
@@ -147,10 +179,15 @@ class Lattices:
         part = weight / np.repeat(np.add.reduceat(weight, start), size)
         self.log[self.edges : edges] = np.log(part)
         # summed within each state alone, so that a word's lattice is the same in any batch
-        rank = np.arange(len(weight)) - np.repeat(start, size)
-        for r in range(1, int(size.max())):
-            at = np.flatnonzero(rank == r)
+        ends, held, rank = start + size - 1, size, 1
+        while True:
+            start, held = start[held > rank], held[held > rank]
+            if not len(start):
+                break
+            at = start + rank
             part[at] += part[at - 1]
+            rank += 1
+        part[ends] = np.inf
         self.first[self.states + 1 : states + 1] = self.edges + np.cumsum(size)
         self.upto[self.edges : edges] = part
         self.next[self.edges : edges] = nexts
@@ -165,46 +202,49 @@ class Lattices:
         kind = self.class_of[code]
         at, node = np.arange(places), self.of_root[kind]
         bare = np.flatnonzero(self.node_token[node] < 0)  # characters that are no piece are spelled in bytes
-        found = []  # (places, length, token, probability, number of the edge at its place)
+        found = []  # (places, length, nodes, number of the edge at its place)
         count = np.zeros(places, np.int64)
-
-        def take(places: np.ndarray, length: int, token: np.ndarray, chance: np.ndarray) -> None:
-            found.append((places, np.full(len(places), length), token, chance, count[places]))
-            count[places] += 1
-
         for size in range(1, self.longest + 1):
-            is_piece = self.node_token[node] >= 0
-            piece = node[is_piece]
-            take(at[is_piece], size, self.node_token[piece], self.node_chance[piece])
-            on = (node > 0) & (left[at] > size)
+            is_piece = np.flatnonzero(self.node_token[node] >= 0)
+            here = at[is_piece]
+            rank = count[here]
+            found.append((here, size, node[is_piece], rank))
+            count[here] = rank + 1
+            on = np.flatnonzero(self.goes_on[node] & (left[at] > size))
             at = at[on]
             if not len(at):
                 break
-            key = node[on] * self.step_key.dtype.type(self.classes) + kind[at + size]
-            step = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            same = self.step_key[step] == key
-            at, node = at[same], self.step_node[step[same]]
-        spelt = [self._spelt(chr(c)) for c in code[bare].tolist()]
-        take(bare, 1, np.array([t for t, _ in spelt], np.int32), np.array([self.fallback**m for _, m in spelt]))
+            node = self._onward(node[on], kind[at + size])
+            on = np.flatnonzero(node)
+            at, node = at[on], node[on]
+        rank = count[bare]
+        count[bare] = rank + 1
         start = np.cumsum(count) - count
-        slot = np.concatenate([start[f[0]] + f[4] for f in found])
-        from_, length, token, weight = (np.empty(len(slot), x.dtype) for x in found[0][:4])
-        for column, parts in zip((from_, length, token, weight), zip(*found)):
-            column[slot] = np.concatenate(parts)
-        ends = left[from_] == length
+        nodes, length = np.zeros(int(count.sum()), np.int32), np.ones(int(count.sum()), np.int32)
+        for here, size, piece, number in found:
+            slot = start[here] + number
+            nodes[slot], length[slot] = piece, size
+        token, weight = self.node_token[nodes], self.node_chance[nodes]
+        if len(bare):
+            spelt = [self._spelt(chr(c)) for c in code[bare].tolist()]
+            slot = start[bare] + rank
+            token[slot], weight[slot] = [t for t, _ in spelt], [self.fallback**m for _, m in spelt]
+        from_, distance = np.repeat(np.arange(places, dtype=np.int32), count), np.repeat(left.astype(np.uint8), count)
+        ends = distance == length
         # masses from the end: places at the same distance from the end of their words together
         mass = np.ones(places + 1)
-        to = np.where(ends, places, from_ + length)
-        distance = left[from_].astype(np.uint8)
+        to = np.where(ends, np.int32(places), from_ + length)
         by_left = np.argsort(distance, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(distance)[1:])])
-        for a, b in zip(bounds, bounds[1:]):
-            e = by_left[a:b]
-            weight[e] *= mass[to[e]]
-            starts = np.flatnonzero(np.diff(from_[e], prepend=-1))
-            group = np.zeros(len(e), np.int64)
-            group[starts[1:]] = 1
-            mass[from_[e[starts]]] = np.bincount(np.cumsum(group), weights=weight[e])
+        weight_by, to_by, from_by = weight[by_left], to[by_left], from_[by_left]
+        first = np.ones(len(from_by), bool)
+        np.not_equal(from_by[1:], from_by[:-1], out=first[1:])
+        group, firsts = np.cumsum(first) - 1, from_by[first]
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            if a < b:
+                weight_by[a:b] *= mass[to_by[a:b]]
+                mass[firsts[group[a] : group[b - 1] + 1]] = np.bincount(group[a:b] - group[a], weights=weight_by[a:b])
+        weight[by_left] = weight_by
         self.known.update(zip(new, (self.states + begin).tolist()))
         self._add(weight, count, np.where(ends, -1, self.states + to), token)
 
@@ -248,27 +288,31 @@ class Lattices:
             self.known[unit] = last
         self._add(np.array(weights), np.array(sizes, np.int64), np.array(nexts), np.array(tokens))
 
-    def starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def starts(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The start state of every word of the texts, and the text each belongs to."""
-        units = [_UNIT.findall(BOUNDARY + t.replace(" ", BOUNDARY)) if t else [] for t in texts]
         if self.edges > REMEMBERED:
             self._reset()
-        words = list(chain.from_iterable(units))
-        new = list(set(words).difference(self.known))
-        if new:
+        words, counts = _words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        words = words.dictionary_encode()
+        distinct = pc.replace_substring(words.dictionary, " ", BOUNDARY).to_numpy(zero_copy_only=False).tolist()
+        states = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(states < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
             self.learn(new)
-        counts = np.fromiter(map(len, units), np.int64, len(units))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), np.repeat(np.arange(len(texts)), counts)
+            states[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        return states[words.indices.to_numpy()], np.repeat(np.arange(len(counts)), counts)
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         edge = self.first[state]
-        last = self.first[state + 1] - 1
         # a state has a few edges, so they are tried one after the other
-        open_ = np.flatnonzero((self.upto[edge] <= u) & (edge < last))
+        open_ = np.flatnonzero(self.upto[edge] <= u)
+        at, drawn = edge[open_], u[open_]
         while len(open_):
-            edge[open_] += 1
-            at = edge[open_]
-            open_ = open_[(self.upto[at] <= u[open_]) & (at < last[open_])]
+            at += 1
+            on = np.flatnonzero(self.upto[at] <= drawn)
+            edge[open_] = at
+            open_, at, drawn = open_[on], at[on], drawn[on]
         return edge
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
@@ -278,15 +322,47 @@ class Lattices:
         parts = [[t] if t >= 0 else self.bytes[-t - 1] for t in token.tolist()]
         return np.fromiter((i for p in parts for i in p), np.int32)
 
+    def ids_of_paths(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        token = self.token[np.concatenate([np.zeros(0, np.int64), *paths])]
+        bounds = np.cumsum([0, *map(len, paths)]).tolist()
+        spelt = np.minimum.reduceat(np.append(token, 0), bounds[:-1]) < 0 if paths else []
+        return [self.ids(path) if s else token[a:b] for path, s, a, b in zip(paths, spelt, bounds, bounds[1:])]
 
-def _uniform(*parts: np.ndarray) -> np.ndarray:
-    """Hashes of the parts as numbers strictly between 0 and 1."""
-    x = np.zeros(1, np.uint64)
+    def states_of(self, edges: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first[: self.states + 1], edges, side="right") - 1
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, spaces for boundaries, and the number of each text's; a text that isn't empty begins with a boundary."""
+    texts = pc.replace_substring(texts.cast(pa.large_string()), BOUNDARY, " ")
+    texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+    data, offsets = utf8(texts)
+    space = data == 32
+    starts = space.copy()
+    starts[1:] &= ~space[:-1]
+    starts[offsets[:-1][np.diff(offsets) > 0]] = True
+    start = np.flatnonzero(starts)
+    words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.append(start, len(data))), pa.py_buffer(data)])
+    return words, np.diff(np.searchsorted(start, offsets))
+
+
+def _hashed(x: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
+    """The hashes ``x`` carried on by more parts."""
     for p in parts:
-        x = mix(x + np.asarray(p).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+        x = mix(x + (np.atleast_1d(p).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)))
+    return x
+
+
+def _as_uniform(x: np.ndarray) -> np.ndarray:
+    """Hashes as numbers strictly between 0 and 1."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def _uniform(*parts: np.ndarray) -> np.ndarray:
+    """Hashes of the parts as numbers strictly between 0 and 1."""
+    return _as_uniform(_hashed(np.zeros(1, np.uint64), *parts))
+
+
 def _below(location: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel draws at ``location`` cut off at ``limit``."""
     return _cut_off(location, limit, np.log(-np.log(u)))
@@ -296,106 +372,142 @@ def _cut_off(location: np.ndarray, limit: np.ndarray, draw: np.ndarray) -> np.nd
     return location - np.logaddexp(location - limit, draw)
 
 
-def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+def _best_forks(bounds: np.ndarray, logs: np.ndarray, before: np.ndarray, log: np.ndarray, base: np.ndarray, had: np.ndarray, need: int) -> tuple[np.ndarray, ...]:
+    """The ``need`` best nodes beside each text's new edges (at most): text, edge, location and draw, best first.
+
+    ``before`` holds the log-probability of the new path up to each edge, ``log`` that of each text's path up to there.
+    The value of a node with location ``l`` and a Gumbel draw ``g``, cut off at its text's value,
+    rises with ``l + g``. Locations fall along a path and ``g`` is below ``_HIGHEST_GUMBEL``, so edges that begin where the path
+    is already so unlikely that no draw lifts them above the nodes found are not drawn.
+    """
+    texts = len(bounds) - 1
+    size = np.diff(bounds)
+    parts, todo = [], np.ones(texts, bool)
+    for reach in (REACH, np.inf):
+        near = np.flatnonzero((before >= -reach) & np.repeat(todo, size))
+        whole = np.diff(np.searchsorted(near, bounds)) == size
+        rest = -np.expm1(logs[near])
+        near, rest = near[rest > 1e-15], rest[rest > 1e-15]
+        text = np.searchsorted(bounds, near, side="right") - 1
+        location = log[text] + before[near] + np.log(rest)
+        draw = np.log(-np.log(_as_uniform(_hashed(base[text], had[text] + near - bounds[text], 11))))
+        score = location - draw
+        cut = np.searchsorted(text, np.arange(texts + 1)).tolist()
+        top = [a + np.argpartition(-score[a:b], need - 1)[:need] if b - a > need else np.arange(a, b) for a, b in zip(cut, cut[1:])]
+        number = np.array([len(x) for x in top])
+        best = np.concatenate(top)
+        best = best[np.lexsort((-score[best], text[best]))]
+        worst = np.full(texts, -np.inf)
+        worst[number == need] = score[best[np.cumsum(number)[number == need] - 1]]
+        done = todo & (whole | (worst >= log - reach + _HIGHEST_GUMBEL))
+        best = best[done[text[best]]]
+        parts.append((text[best], near[best], location[best], draw[best]))
+        todo &= ~done
+        if not todo.any():
+            break
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+def sample(lattices: Lattices, texts: list[str] | pa.Array, keys: np.ndarray, k: int) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
     """For each text its first ``k`` segmentations, fewer if it has fewer: (edges, log-probability, perturbed value); then the value of the next, if any."""
     n = len(texts)
     start, text_of = lattices.starts(texts)
     count = np.bincount(text_of, minlength=n)
     offset = np.cumsum(count) - count
-    keys = keys.astype(np.uint64)
-    value = -np.log(-np.log(_uniform(keys, np.zeros(n), np.zeros(n))))
+    keyed = _hashed(np.zeros(1, np.uint64), keys.astype(np.uint64))
+    value = -np.log(-np.log(_as_uniform(_hashed(keyed, 0, 0))))
     out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in range(n)]
     # a node left behind: (value, path before it, log-probability of that path, word it stands in, state, edges used up)
     behind: list[list[tuple]] = [[] for _ in range(n)]
     none = np.zeros(0, np.int64)
     # where each text goes on: path so far, its log-probability, next word, state inside the word before (or -1), edges used up there
     going = [(none, 0.0, 0, -1, ()) if count[i] else None for i in range(n)]
-    word_of_edge: list[np.ndarray] = [none] * n
 
     for number in range(k):
-        live = [i for i in range(n) if going[i] is not None]
-        if not live:
+        live = np.array([i for i in range(n) if going[i] is not None], np.int64)
+        if not len(live):
             break
+        base = _hashed(keyed[live], number)
         # the words still to segment, the rest of the word in hand first
-        state, owner, place = [], [], []
-        heads: dict[int, tuple[int, float, float]] = {}
-        for i in live:
+        paths, logs_before, first_word, states = [], [], [], []
+        depth = np.array([len(going[i][0]) for i in live], np.int64)
+        of_pick, of_left = (_as_uniform(_hashed(base, 2 * depth + j)) for j in (1, 0))
+        siblings = []
+        for x, i in enumerate(live.tolist()):
             path, log, word, inside, used = going[i]
+            state = -1
             if inside >= 0:
                 # a sibling of the edges used up, by the mass it has
                 edges = [e for e in range(lattices.first[inside], lattices.first[inside + 1]) if e not in used]
                 chance = np.exp(lattices.log[edges])
-                u = _uniform(keys[i : i + 1], [number], [2 * len(path) + 1])[0]
-                pick = min(int(np.searchsorted(np.cumsum(chance), u * chance.sum(), side="right")), len(edges) - 1)
-                left = float(chance.sum() - chance[pick]) if len(edges) > 1 else 0.0
+                total = chance.sum()
+                pick = min(int(np.searchsorted(np.cumsum(chance), of_pick[x] * total, side="right")), len(edges) - 1)
+                left = float(total - chance[pick]) if len(edges) > 1 else 0.0
                 edge = edges[pick]
                 if left > 0:
-                    v = _below(np.array([log + np.log(left)]), value[i : i + 1], _uniform(keys[i : i + 1], [number], [2 * len(path)]))[0]
-                    behind[i].append((float(v), path, log, word, inside, (*used, edge)))
-                heads[i] = edge, log + float(lattices.log[edge]), word
-                if lattices.next[edge] >= 0:
-                    state.append([lattices.next[edge]])
-                    owner.append([i])
-                    place.append([word])
-                word += 1
-            state.append(start[offset[i] + word : offset[i] + count[i]])
-            owner.append(np.full(count[i] - word, i))
-            place.append(np.arange(word, count[i]))
-        state, owner, place = (np.concatenate([np.asarray(x, np.int64) for x in c]) if c else none for c in (state, owner, place))
-        got, at = [], np.arange(len(state))
-        step = 0
+                    siblings.append((x, left, (path, log, word, inside, (*used, edge))))
+                path, log, state = np.append(path, edge), log + float(lattices.log[edge]), int(lattices.next[edge])
+                word += state < 0
+            paths.append(path)
+            logs_before.append(log)
+            first_word.append(word)
+            states.append(state)
+        if siblings:
+            at = [x for x, _, _ in siblings]
+            location = np.array([node[1] for _, _, node in siblings]) + np.log([left for _, left, _ in siblings])
+            for x, v, (_, _, node) in zip(at, _below(location, value[live[at]], of_left[at]).tolist(), siblings):
+                behind[live[x]].append((v, *node))
+        log, first_word, states = np.array(logs_before), np.array(first_word, np.int64), np.array(states, np.int64)
+        size = count[live] - first_word
+        begin = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(live)), size)
+        place = np.arange(len(owner)) - np.repeat(begin - first_word, size)
+        state = start[np.repeat(offset[live], size) + place]
+        inside = np.flatnonzero(states >= 0)
+        state[begin[inside]] = states[inside]
+        hashes = _hashed(base[owner], place)
+        steps = np.zeros(len(state), np.int64)
+        got, at, step = [], np.arange(len(state)), 0
         while len(at):
-            u = _uniform(keys[owner[at]], np.array([number]), place[at], np.array([step]), np.array([7]))
-            edge = lattices.draw(state[at], u)
-            got.append((at, np.full(len(at), step), edge, state[at]))
-            onward = lattices.next[edge]
-            state[at] = onward
-            at = at[onward >= 0]
+            edge = lattices.draw(state, _as_uniform(_hashed(hashes, step, 7)))
+            got.append((at, edge))
             step += 1
-        if got:
-            at, steps, edge, stood = (np.concatenate(c) for c in zip(*got))
-            count_at = np.bincount(at)  # each word's edges in turn
-            slot = (np.cumsum(count_at) - count_at)[at] + steps
-            order = np.empty(len(slot), np.int64)
-            order[slot] = np.arange(len(slot))
-            at, edge, stood = at[order], edge[order], stood[order]
-            owners, places = owner[at], place[at]
-        else:
-            edge = stood = owners = places = none
-        bounds = np.searchsorted(owners, np.arange(n + 1))
+            steps[at] = step
+            state = lattices.next[edge]
+            on = np.flatnonzero(state >= 0)
+            at, state, hashes = at[on], state[on], hashes[on]
+        first = np.concatenate([[0], np.cumsum(steps)])  # each word's edges in turn
+        edge = np.zeros(first[-1], np.int64)
+        for step, (at, drawn) in enumerate(got):
+            edge[first[at] + step] = drawn
+        bounds = first[np.append(begin, len(steps))]
         logs = lattices.log[edge]
-        had = np.array([0 if g is None else len(g[0]) + (g[3] >= 0) for g in going], np.int64)
-        rests = -np.expm1(logs)
-        draws = _uniform(keys[owners], np.array([number]), had[owners] + np.arange(len(owners)) - bounds[owners], np.array([11]))
-        draws = np.log(-np.log(draws))
-        for i in live:
-            a, b = bounds[i], bounds[i + 1]
-            path, log, word, inside, used = going[i]
-            words = word_of_edge[i][: len(path)]
-            if inside >= 0:
-                head, log, _ = heads[i]
-                path, words = np.append(path, head), np.append(words, word)
-            before = log + np.concatenate([np.zeros(1), np.cumsum(logs[a:b])])
+        wholes, before = [], np.zeros(len(edge))
+        for x, (i, path, a, b) in enumerate(zip(live.tolist(), paths, bounds.tolist(), bounds[1:].tolist())):
             whole = np.concatenate([path, edge[a:b]])
-            words = np.concatenate([words, places[a:b]])
-            out[i].append((whole, float(before[-1]), float(value[i])))
-            # siblings of the path's new edges; only the best can be needed
-            rest = rests[a:b]
-            forks = np.flatnonzero(rest > 1e-15)
-            if len(forks):
-                v = _cut_off(before[:-1][forks] + np.log(rest[forks]), value[i], draws[a:b][forks])
-                need = k - number
-                best = np.argpartition(-v, need - 1)[:need] if len(v) > need else np.arange(len(v))
-                for x in best.tolist():
-                    f = int(forks[x])
-                    behind[i].append((float(v[x]), whole[: len(path) + f], float(before[f]), int(places[a + f]), int(stood[a + f]), (int(edge[a + f]),)))
-            word_of_edge[i] = words
-            if behind[i] and number + 1 < k:
-                top = max(range(len(behind[i])), key=lambda x: behind[i][x][0])
-                value[i], path, log, word, inside, used = behind[i].pop(top)
-                going[i] = path, log, word, inside, used
-            else:
-                going[i] = None
+            wholes.append(whole)
+            total = log[x]
+            if b > a:
+                np.cumsum(logs[a : b - 1], out=before[a + 1 : b])
+                total = total + (before[b - 1] + logs[b - 1])
+            out[i].append((whole, float(total), float(value[i])))
+            going[i] = None
+        # siblings of the path's new edges; only the best can be needed
+        had = np.array([len(p) for p in paths], np.int64)
+        text, fork, location, draw = _best_forks(bounds, logs, before, log, base, had, k - number)
+        v = _cut_off(location, value[live[text]], draw)
+        words = place[np.searchsorted(first, fork, side="right") - 1]
+        lengths = had[text] + fork - bounds[text]
+        taken = edge[fork]
+        columns = (text, v, lengths, log[text] + before[fork], words, lattices.states_of(taken), taken)
+        for x, top, length, chance, word, inside, e in zip(*(c.tolist() for c in columns)):
+            behind[live[x]].append((top, wholes[x][:length], chance, word, inside, (e,)))
+        if number + 1 < k:
+            for i in live.tolist():
+                if behind[i]:
+                    top = max(range(len(behind[i])), key=lambda x: behind[i][x][0])
+                    value[i], *node = behind[i].pop(top)
+                    going[i] = tuple(node)
     # the best node left behind has the value that the next segmentation would have
     return [(paths, max((node[0] for node in left), default=-np.inf)) for paths, left in zip(out, behind)]
 
@@ -420,7 +532,7 @@ def encode_digest(docs: DataFrame, samples: int = SAMPLES, model: str | None = N
 
     def digest(lattices: Lattices, ids: list[np.ndarray]) -> pa.Array:
         return pa.StructArray.from_arrays(
-            [pa.array([len(x) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([decode_bytes(lattices, x) for x in ids], pa.binary())],
+            [pa.array([len(x) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(decode_bytes(lattices, ids), pa.binary())],
             names=["n", "ids", "text"])
 
     return _encode(docs, samples, model, digest, "ids struct<n:int,ids:binary,text:binary>")
@@ -434,16 +546,16 @@ def _encode(docs: DataFrame, samples: int, model: str | None, form, kind: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices.of(path)
         for batch in small_batches(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = sample(lattices, texts, batch.column("key").to_numpy().view(np.uint64), samples)
-            rows, ids = [], []
-            for doc, (paths, limit) in zip(batch.column("doc_id").to_pylist(), found):
-                if not paths:
+            found = sample(lattices, pc.fill_null(batch.column("text"), ""), batch.column("key").to_numpy().view(np.uint64), samples)
+            rows, paths = [], []
+            for doc, (segmentations, limit) in zip(batch.column("doc_id").to_pylist(), found):
+                if not segmentations:
                     rows.append((doc, 1, 0.0, 0.0, 0.0))
-                    ids.append(np.zeros(0, np.int32))
-                for number, (edges, log, value) in enumerate(paths):
+                    paths.append(np.zeros(0, np.int64))
+                for number, (edges, log, value) in enumerate(segmentations):
                     rows.append((doc, number + 1, log, value, _log_inclusion(log - limit)))
-                    ids.append(lattices.ids(edges))
+                    paths.append(edges)
+            ids = lattices.ids_of_paths(paths)
             doc, number, log, value, inclusion = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), form(lattices, ids), pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())],
@@ -453,11 +565,16 @@ def _encode(docs: DataFrame, samples: int, model: str | None, form, kind: str) -
     return rows.mapInArrow(run, f"doc_id long, sample int, {kind}, log_prob double, perturbed double, log_inclusion double")
 
 
-def decode_bytes(lattices: Lattices, ids: np.ndarray) -> bytes:
-    """The UTF-8 text of ids: boundaries become spaces, the first one is dropped."""
-    size = lattices.spelled_size[ids]
-    shift = lattices.spelled_start[ids] - (np.cumsum(size) - size)
-    return lattices.spelled_bytes[np.repeat(shift, size) + np.arange(size.sum())].tobytes().replace(BOUNDARY.encode(), b" ")[1:]
+def decode_bytes(lattices: Lattices, ids: list[np.ndarray]) -> list[bytes]:
+    """The UTF-8 texts of lists of ids: boundaries become spaces, the first one is dropped."""
+    if not any(map(len, ids)):
+        return [b""] * len(ids)
+    spelled = lattices.spelled_column.take(pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+    _, offsets, data = spelled.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
+    data = data.to_pybytes()
+    # bytes spelled one by one may make a boundary as well
+    return [data[a:b].replace(BOUNDARY.encode(), b" ")[1:] for a, b in zip(bounds, bounds[1:])]
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -470,7 +587,9 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices.of(path)
         for batch in batches:
-            texts = [None if x is None else decode_bytes(lattices, np.array(x, dtype=np.int32)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            ids = batch.column("ids").to_pylist()
+            spelled = decode_bytes(lattices, [np.array(x or [], dtype=np.int32) for x in ids])
+            texts = [None if x is None else text.decode("utf-8", "replace") for x, text in zip(ids, spelled)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     return encoded.mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -245,3 +246,51 @@ def test_lattices_built_at_once_equal_those_built_word_by_word():
         return out
 
     assert paths(lattices.learn) == paths(lattices._learn_long)
+
+
+def _lattices():
+    return piece_sampling.Lattices.of(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _sampled(texts, k):
+    keys = np.arange(len(texts), dtype=np.uint64) * np.uint64(7919) + np.uint64(5)
+    lattices = _lattices()
+    return [([(x.tolist(), log, value) for x, (_, log, value) in zip(lattices.ids_of_paths([e for e, _, _ in paths]), paths)], limit) for paths, limit in piece_sampling.sample(lattices, texts, keys, k)]
+
+
+def test_sampling_hashes_a_few_numbers_for_each_edge(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(4000))
+    hashed = []
+    plain = piece_sampling.mix
+    monkeypatch.setattr(piece_sampling, "mix", lambda x: hashed.append(np.size(x)) or plain(x))
+    ((paths, _),) = piece_sampling.sample(_lattices(), [text], np.array([11], np.uint64), 2)
+    edges = sum(len(e) for e, _, _ in paths)
+    assert len(paths) == 2 and edges > 20_000 and sum(hashed) < 4 * edges
+
+
+def test_forks_out_of_reach_change_nothing(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", "a", "ab c", " ".join("".join(rng.choices("etaoinshrdlué", k=rng.randint(1, 9))) for _ in range(600))] * 30
+    expected = _sampled(texts, 3)
+    assert all(len(paths) == 3 for (paths, _), t in zip(expected, texts) if len(t) > 1)
+    for reach in (0.0, 38.0, np.inf):
+        monkeypatch.setattr(piece_sampling, "REACH", reach)
+        assert _sampled(texts, 3) == expected
+
+
+def test_words_of_texts_begin_at_runs_of_spaces():
+    texts = [t or "" for t in ODD] + ["▁", "a▁b", " ▁a", "a ", "  ", "日本 語▁ x\n y"]
+    words, counts = piece_sampling._words(pa.array(texts))
+    expected = [re.findall("▁*[^▁]+|▁+", "▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    assert [w.replace(" ", "▁") for w in words.to_pylist()] == [w for ws in expected for w in ws]
+    assert counts.tolist() == list(map(len, expected))
+
+
+def test_steps_between_pieces_are_those_of_the_vocabulary():
+    lattices = _lattices()
+    node = {prefix: i + 1 for i, prefix in enumerate(lattices.pieces)}
+    rng = random.Random(6)
+    some = [x for x in node if len(x) > 1][::7] + [rng.choice(list(node)) + rng.choice("aeqz▁日") for _ in range(3000)]
+    got = lattices._onward(np.array([node.get(x[:-1], 0) for x in some], np.int32), lattices.class_of[[ord(x[-1]) for x in some]])
+    assert got.tolist() == [node.get(x, 0) for x in some]
