@@ -40,7 +40,7 @@ BOUNDARY = "▁"
 REMEMBERED = 6_000_000
 #: A second segmentation that leaves the first where that is less likely by this much (natural log) needs no look: see ``_best_forks``.
 REACH = 40.0
-#: No draw of ``_uniform`` gives a Gumbel value beyond.
+#: No draw of ``_uniform`` gives a Gumbel value beyond, save for one hash in 2^53 that rounds to 1.
 _HIGHEST_GUMBEL = 37.0
 
 
