@@ -569,7 +569,8 @@ def decode_bytes(lattices: Lattices, ids: list[np.ndarray]) -> list[bytes]:
     """The UTF-8 texts of lists of ids: boundaries become spaces, the first one is dropped."""
     if not any(map(len, ids)):
         return [b""] * len(ids)
-    spelled = lattices.spelled_column.take(pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+    known = np.arange(len(lattices.spelled), dtype=np.int32)  # a negative id counts from the end, one beyond it fails
+    spelled = lattices.spelled_column.take(pa.array(known[np.concatenate(ids)]))
     _, offsets, data = spelled.buffers()
     bounds = np.frombuffer(offsets, np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
     data = data.to_pybytes()

@@ -294,3 +294,12 @@ def test_steps_between_pieces_are_those_of_the_vocabulary():
     some = [x for x in node if len(x) > 1][::7] + [rng.choice(list(node)) + rng.choice("aeqz▁日") for _ in range(3000)]
     got = lattices._onward(np.array([node.get(x[:-1], 0) for x in some], np.int32), lattices.class_of[[ord(x[-1]) for x in some]])
     assert got.tolist() == [node.get(x, 0) for x in some]
+
+
+def test_ids_from_either_end_are_decoded():
+    lattices = _lattices()
+    size = len(lattices.spelled)
+    none, low, high = piece_sampling.decode_bytes(lattices, [np.zeros(0, np.int32), np.array([5000, -1], np.int32), np.array([5000, size - 1], np.int32)])
+    assert none == b"" and low == high and low
+    with pytest.raises(IndexError):
+        piece_sampling.decode_bytes(lattices, [np.array([size], np.int32)])
